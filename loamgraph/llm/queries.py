@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamgraph.llm.ann import op3_ann
 from loamgraph.llm.minhash import op2_minhash
 from loamgraph.llm.packing import op10_packing
+from loamgraph.llm.rpforest import op5_rpforest
 from loamgraph.llm.secrets import op1_secrets
 from loamgraph.llm.shards import op6_shards
 from loamgraph.llm.warc import op9_warc
@@ -15,6 +17,8 @@ from loamgraph.llm.warc import op9_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_minhash": op2_minhash,
+    "op3_ann": op3_ann,
+    "op5_rpforest": op5_rpforest,
     "op6_shards": op6_shards,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
