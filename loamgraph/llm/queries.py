@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loamgraph.llm.ann import op3_ann
+from loamgraph.llm.brown import op8_brown
 from loamgraph.llm.minhash import op2_minhash
 from loamgraph.llm.packing import op10_packing
 from loamgraph.llm.rpforest import op5_rpforest
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann": op3_ann,
     "op5_rpforest": op5_rpforest,
     "op6_shards": op6_shards,
+    "op8_brown": op8_brown,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
