@@ -10,17 +10,21 @@ from loamgraph.llm.ann import op3_ann
 from loamgraph.llm.brown import op8_brown
 from loamgraph.llm.minhash import op2_minhash
 from loamgraph.llm.packing import op10_packing
+from loamgraph.llm.pieces import op7_sentencepiece
 from loamgraph.llm.rpforest import op5_rpforest
 from loamgraph.llm.secrets import op1_secrets
 from loamgraph.llm.shards import op6_shards
+from loamgraph.llm.toxicity import op4_toxicity
 from loamgraph.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_minhash": op2_minhash,
     "op3_ann": op3_ann,
+    "op4_toxicity": op4_toxicity,
     "op5_rpforest": op5_rpforest,
     "op6_shards": op6_shards,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_brown": op8_brown,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
