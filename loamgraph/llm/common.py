@@ -1,61 +1,5 @@
-"""Small helpers shared by the training-data operators: shared storage, text hashing, paths."""
+"""Small helpers shared by the training-data operators."""
 
-from __future__ import annotations
+from loamgraph.plans.storage import forget, new_path, shared_dir, store, table
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="loamgraph-")
-    return _LOCAL[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it.
-
-    This cuts the lineage: what follows reads files that outlive any executor.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._stored_at = path
-    return back
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "_stored_at", None)
-        if path:
-            jvm = table.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def text_of(column: str) -> Column:
-    """A text column in which null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["forget", "new_path", "shared_dir", "store", "table"]
