@@ -4,8 +4,8 @@ Categories are predicted in turn by logistic models over the presence of words a
 Each later model also sees the probabilities of all earlier categories; it is trained with out-of-fold ones, so what
 it learns to expect of them is what it meets on new texts.
 
-Training uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash of the id) and the ``FEATURES``
-features that tell the last category best in it; every document is scored, over its whole text.
+Training uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash of the id) and at most ``FEATURES``
+features, those whose odds of the last category differ most surely from the rest's; every document is scored, over its whole text.
 
 Defined results: a null or empty text has no features and gets the models' base rates; rows whose labels are null are
 not learnt from; of labels that repeat an id the largest counts; without a labelled row of both kinds a category has
@@ -30,6 +30,7 @@ SAMPLE = 10_000
 FEATURES = 4096
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 LEAST_TEXTS = 5  # labelled texts that hold a feature
+LEAST_SURPRISE = 3.0  # standard errors of a feature's log odds
 FOLDS = 3
 STEPS = 150
 THRESHOLD = 0.25
@@ -93,7 +94,7 @@ class Chain:
         return out
 
 
-def logistic(text_of: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+def logistic(text_of: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of features and of the dense ``extra`` columns, and the bias; Adam on the whole sample."""
     n, e = extra.shape
     rate = (y.sum() + 0.5) / (n + 1) if y.any() else 1e-9
@@ -161,7 +162,9 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
     positive, negative = float(totals[1] or 0), float(totals[0] - (totals[1] or 0))
     told = sample.select("_text", last).mapInArrow(tell, "h bigint, hits bigint, n bigint").groupBy("h").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     odds = F.log((F.col("hits") + 0.5) / (positive + 1)) - F.log((F.col("n") - F.col("hits") + 0.5) / (negative + 1))
-    best = told.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc(F.abs(odds) * F.sqrt("n")), "h").limit(FEATURES)
+    surprise = F.abs(odds) / F.sqrt(1 / (F.col("hits") + 0.5) + 1 / (F.col("n") - F.col("hits") + 0.5))
+    telling = told.where(F.col("n") >= LEAST_TEXTS).withColumn("surprise", surprise).where(F.col("surprise") >= LEAST_SURPRISE)
+    best = telling.orderBy(F.desc("surprise"), "h").limit(FEATURES)
     chosen = np.sort(best.select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
