@@ -102,7 +102,7 @@ def labelled_samples(rows: int = 20_000, seed: int = 7) -> list[tuple[str, int]]
         elif shape == 8:
             text = "".join(rng.choices("0123456789", k=rng.randint(16, 40)))
         else:
-            text = rng.choice("=-_/+aAxX0") * rng.randint(16, 60)
+            text = rng.choice(ALPHABET) * rng.randint(16, 60)
         out.append((text, 0))
     return out
 
