@@ -47,7 +47,7 @@ class Forest:
         self.spread = np.sqrt(2 * (1 - threshold) / d)
         self.margin = self.spread / 2
         self.leaves = 0
-        share = rows / max(1, len(sample))
+        share = max(1, rows) / max(1, len(sample))
         self.roots = [self._grow(sample, np.arange(len(sample)), max(LEAST_SAMPLED, leaf / share), rng, 0) for _ in range(trees)]
 
     def _grow(self, x: np.ndarray, at: np.ndarray, least: float, rng: np.random.Generator, depth: int) -> tuple:
