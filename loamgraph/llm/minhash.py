@@ -9,11 +9,12 @@ standard deviations). All others are confirmed on their full sets, as integers.
 
 A pair at the threshold of 0.8 shares no band with a chance of (1 - 0.8^6)^48 < 5e-7.
 
-Buckets are not expanded into pairs. In the first round each member of a bucket meets two pivots: the smallest id
-and the member that shares the most buckets with others, which in a group of edited copies is the original. In
-the second round, pairs are made only in buckets that still hold several components, only across components,
-and only if sizes and estimates allow a link. So no link that joins two components is lost, and a group of copies
-costs rows in proportion to its size.
+Buckets are not expanded into pairs. A bucket's pivot is the member that shares the most buckets with others, which
+in a group of edited copies is the original. First, each document meets the most central of its pivots; then, in
+buckets that still hold several components, members meet the pivot across components; last, in what is left, all
+pairs across components are tried: as rows in buckets of up to ``SMALL``, if sizes and estimates allow a link, and
+by blocks within tasks in larger ones. So no link that joins two components is lost, and a group of copies costs
+rows in proportion to its size.
 
 Defined results: null or wordless texts have no shingles and link with nothing; shorter texts than a shingle are
 one shingle; rows that repeat an id count as one document; a null id links with nothing and has a null component;
@@ -40,6 +41,9 @@ LANES = 64 // BITS
 LONGS = BANDS * ROWS // LANES
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by a shuffle
 SLICE_BYTES = 1 << 20
+SMALL = 16  # members of a bucket whose pairs may be rows
+BLOCK = 256
+COLUMNS = 8192
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -254,37 +258,112 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words
     thin = classes.select("id", "n", "sig")
 
     banded = classes.select(F.explode("bands").alias("key"), "id").distinct()
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = store(banded.join(buckets, "key"), "members")
-    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    central = members.select("key", "id").join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("central"))
-    met = members.join(central, "key").select("id", F.explode(F.array_distinct(F.array("first", "central"))).alias("pivot"))
-    met = met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirm(store(_allowed(met, thin, percent), "pairs"), documents, words, percent)
-
-    joined = store(components(links, "a", "b"), "joined")
-    label = F.coalesce("component", "id").alias("label")
-    labelled = members.select("key", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = store(labelled.join(mixed, "key", "left_semi").join(thin, "id"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.id") < F.col("y.id"))
-    left = x.join(y, across & plausible(percent, "x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    tried = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = store(left.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not left.isEmpty():
+    weighed = members.join(members.groupBy("id").agg(F.sum("size").alias("degree")), "id")
+    central = weighed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("best"))
+    pivots = store(central.select("key", "best", (-F.col("best.less")).alias("pivot")), "pivots")
+
+    # 1: every member meets the most central of its buckets' pivots
+    own = members.join(pivots, "key").groupBy("id").agg(F.max_by("pivot", "best").alias("pivot"))
+    tried = store(_allowed(own.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), thin, percent), "pairs")
+    joined = store(components(confirm(tried, documents, words, percent), "a", "b"), "joined")
+
+    # 2: in buckets of several components, members meet the bucket's pivot if it is in another one
+    rest = _mixed(members, joined)
+    if not rest.isEmpty():
+        met = rest.join(pivots.select("key", "pivot"), "key")
+        met = met.join(rest.select("key", F.col("id").alias("pivot"), F.col("label").alias("other")), ["key", "pivot"])
+        met = met.where("label <> other").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        more = store(_allowed(met, thin, percent), "pairs")
+        tried = tried.unionByName(more)
+        joined = _join_on(joined, confirm(more, documents, words, percent))
+        rest = _mixed(members, joined)
+
+    # 3: in what is left, every pair across components: by pairs in small buckets, by blocks in large ones
+    if not rest.isEmpty():
+        sizes = rest.groupBy("key").agg(F.count("*").alias("size"))
+        small = store(rest.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi").join(thin, "id"), "rest")
+        x, y = small.alias("x"), small.alias("y")
+        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.id") < F.col("y.id"))
+        left = x.join(y, across & plausible(percent, "x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left = store(left.join(done, ["a", "b"], "left_anti"), "pairs")
+        large = store(rest.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi"), "rest")
         more = confirm(left, documents, words, percent)
-        known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = store(components(more.unionByName(known), "a", "b"), "joined")
+        if not large.isEmpty():
+            more = more.unionByName(_across_blocks(large, documents, words, percent))
+        joined = _join_on(joined, more)
+        forget(small, large)
     named = classes.select("f1", "f2", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     own = signed.select("id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     out = own.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    forget(members, rest)
+    forget(members, pivots)
     return out.withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))
 
 
+def _across_blocks(rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b), stored: links across components among documents of large buckets (key, id, label).
+
+    Documents that buckets connect form a group; it is dealt into blocks of ``BLOCK``, two blocks meet in a task, and
+    a product of their incidence matrices has all their intersections at once, so pairs are never rows.
+    """
+    firsts = rows.groupBy("key").agg(F.min("id").alias("first"))
+    groups = components(rows.select("key", "id").join(firsts, "key").select("id", "first").distinct(), "id", "first")
+    grouped = rows.select("id", "label").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    blocks = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = store(grouped.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "placed")
+    few = placed.count() <= BROADCAST_IDS
+    ids = placed.select("id")
+    sets = _hash_sets(documents.join(F.broadcast(ids) if few else ids, "id", "left_semi"), words).dropDuplicates(["id"])
+    dealt = placed.join(store(sets, "sets"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "hashes", (F.col("own") > F.col("other")).alias("side"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
+        side = np.array(t.column("side").to_pylist(), bool)
+        parts = [x.values.to_numpy() for x in t.column("hashes")]
+        n = np.array([len(x) for x in parts])
+        _, number, seen = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)
+        shared = seen[number] > 1
+        row, number = row[shared], number[shared]
+        used, number = np.unique(number, return_inverse=True)
+        common = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, len(used), COLUMNS):
+            here = (number >= at) & (number < at + COLUMNS)
+            there = np.zeros((len(n), min(COLUMNS, len(used) - at)), np.float32)
+            there[row[here], number[here] - at] = 1
+            common += there @ there.T
+        common = common.astype(np.int64)
+        linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :])
+        if side.any() and not side.all():
+            linked &= side[:, None] != side[None, :]
+        a, b = np.nonzero(np.triu(linked))
+        if len(a):  # one link for each pair of components
+            _, first = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])]), axis=1, return_index=True)
+            a, b = a[first], b[first]
+        return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
+
+    return store(dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, id, label), stored: the members of buckets that hold several components."""
+    label = F.coalesce("component", "id").alias("label")
+    labelled = members.select("key", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return store(labelled.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _join_on(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component), stored, of earlier components and further links."""
+    known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return store(components(links.select("a", "b").unionByName(known), "a", "b"), "joined")
+
+
 def _allowed(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that sizes and signatures allow."""
     x = thin.select(F.col("id").alias("a"), F.struct("n", "sig").alias("x"))
