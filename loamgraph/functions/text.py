@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Words left out of a task's terms.
 STOP_WORDS = (
@@ -169,7 +170,7 @@ def porter_stem(word: str) -> str:
     return word
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def stems(tokens: pa.Array) -> pa.Array:
     """The stems of an array of words."""
     known: dict[str, str] = {}
