@@ -167,6 +167,8 @@ class Scan:
                     end = closing(self.found, j)
                     braces = self.body(end + 1, stop) if of == "class" else None
                     last = braces[1] if braces else end
+                    while not braces and last + 1 < stop and self.found[last][1] not in ";,":
+                        last = closing(self.found, last + 1) if self.found[last + 1][1] in "{([" else last + 1
                     self.add("constructor" if name == "constructor" else "method", name, owner, first, last, not private)
                     i = last
                 else:
