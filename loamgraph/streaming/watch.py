@@ -15,12 +15,18 @@ from loamgraph.operators.adjacency import dependent_files
 from loamgraph.operators.mutations import put_edges, put_files, put_nodes, remove_files
 from loamgraph.operators.traversal import reverse_closure
 from loamgraph.plans.catalog import Catalog, file_changes
+from loamgraph.plans.storage import store
 from loamgraph.schema import Graph
 
 Extract = Callable[[DataFrame], Graph]
 FILE_COLUMNS = ["path", "hash", "language", "bytes", "lines"]
 
 
+def _kept(graph: Graph) -> Graph:
+    """The graph as written tables, so that what follows does not extract it again."""
+    return Graph(store(graph.nodes, "nodes"), store(graph.edges, "edges"))
+
+
 def index(catalog: Catalog, files: DataFrame, extract: Extract, whole: bool = True) -> int:
     """Bring the catalog up to ``files`` (path, hash, language, bytes, lines, content, manifest); its revision.
 
@@ -29,13 +35,14 @@ def index(catalog: Catalog, files: DataFrame, extract: Extract, whole: bool = Tr
     """
     revision = catalog.revision()
     if not revision:
-        graph = extract(files)
+        graph = _kept(extract(files))
         return catalog.commit({"files": files.select(FILE_COLUMNS), "nodes": graph.nodes, "edges": graph.edges}, 0)
     stored, old = catalog.table("files"), catalog.graph()
     changed, deleted = file_changes(stored, files)
     if not whole:
         deleted = deleted.where("false")
-    touched = changed.unionByName(deleted).distinct()
+    deleted = store(deleted, "deleted")
+    touched = store(changed.unionByName(deleted).distinct(), "touched")
     if touched.isEmpty():
         return revision
     fresh = changed.join(stored.select("path"), "path", "left_anti")
@@ -43,11 +50,12 @@ def index(catalog: Catalog, files: DataFrame, extract: Extract, whole: bool = Tr
         near = reverse_closure(dependent_files(old), touched.select(F.col("path").alias("seed"))).select(F.col("node").alias("path")).distinct()
     else:
         near = files.select("path")
-    affected = files.join(near.unionByName(touched).distinct(), "path", "left_semi")
-    new = extract(affected)
+    affected = store(files.join(near.unionByName(touched).distinct(), "path", "left_semi"), "affected")
+    new = _kept(extract(affected))
     left_files, left = remove_files(old, stored, deleted.unionByName(affected.select("path")).distinct())
+    left = _kept(left)
     gone = old.nodes.join(new.nodes.select("id"), "id", "left_anti").join(affected.select(F.col("path").alias("file")), "file", "left_semi").select("id")
-    edges = put_edges(left.edges, new.edges.select(left.edges.columns))
+    edges = store(put_edges(left.edges, new.edges.select(left.edges.columns)), "edges")
     # edges of untouched files into declarations that came back stay
     back = old.edges.join(new.nodes.select(F.col("id").alias("target")), "target", "left_semi").join(left.nodes.select(F.col("id").alias("source")), "source", "left_semi").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
     edges = put_edges(back.select(left.edges.columns), edges)
