@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import forget, store, table
+from loamgraph.llm.common import small_batches, store, table
 from loamgraph.llm.minhash import Shingler, slices
 from loamgraph.llm.vectors import matrix
 
@@ -42,7 +42,7 @@ ROUNDS = 2
 ADD = 0.1
 ADD_CLASS = 0.5
 FOLDS = 10
-FLUSH = 4_000_000  # words counted in memory before they are sent on
+FLUSH = 1_000_000  # words counted in memory before they are sent on
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -262,5 +262,6 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id
 def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and class-model scores of all whole documents."""
     documents = table(spark, sf_dir, "documents")
-    model, counts = fit(documents)
-    return score(documents, model, counts)
+    with small_batches(spark):
+        model, counts = fit(documents)
+        return score(documents, model, counts)

@@ -1,5 +1,25 @@
 """Small helpers shared by the training-data operators."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
 from loamgraph.plans.storage import forget, new_path, shared_dir, store, table
 
-__all__ = ["forget", "new_path", "shared_dir", "store", "table"]
+__all__ = ["forget", "new_path", "shared_dir", "small_batches", "store", "table"]
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Send whole texts to Python in batches of at most ``rows`` within the block, for what runs there."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
