@@ -68,6 +68,7 @@ class Segmenter:
                     self.single.add(piece)
             else:
                 self.bytes.append(b"")
+        self.table = np.array(self.bytes, object)
         self.automaton.make_automaton()
         self.known: dict[str, bytes] = {}
 
@@ -127,8 +128,8 @@ class Segmenter:
             out.append(np.array(self.best_path(lead), "<i4").tobytes())
         return np.frombuffer(b"".join(out), "<i4")
 
-    def decode(self, ids: list[int | None]) -> str:
-        whole = b"".join([self.bytes[i] for i in ids if i is not None])
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        whole = b"".join(self.table[np.asarray(ids, np.int64)].tolist())
         return whole.decode("utf-8", "replace").removeprefix(" ")
 
 
@@ -160,7 +161,7 @@ def decode(df: DataFrame, vocabulary: list[tuple[str, float, str]], ids: str = "
             segmenter = segmenter or Segmenter(vocabulary)
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                texts = [None if x.as_py() is None else segmenter.decode(x.as_py()) for x in part.column(at)]
+                texts = [segmenter.decode(x.values.drop_null().to_numpy()) if x.is_valid else None for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return df.mapInArrow(run, df.withColumn("decoded", F.lit(None).cast("string")).schema)
