@@ -20,6 +20,7 @@ space; bytes that are no UTF-8 decode to U+FFFD; nulls in ids are passed over; r
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,36 +76,43 @@ class Segmenter:
     def best_path(self, text: str) -> list[int]:
         """Ids of the best segmentation of ``text``, in which spaces are U+2581 already."""
         n = len(text)
-        best = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        alone = [i for i, c in enumerate(text) if c not in self.single] if not self.single.issuperset(text) else []
-        next_alone = 0
-        for end, (length, score, i) in self.automaton.iter(text):
-            while next_alone < len(alone) and alone[next_alone] < end:
-                self._take(alone[next_alone], best, back)
-                next_alone += 1
-            s = best[end + 1 - length] + score
-            if s > best[end + 1]:
-                best[end + 1] = s
-                back[end + 1] = (length, i)
-        for at in alone[next_alone:]:
-            self._take(at, best, back)
+        best = [float("-inf")] * n + [0.0]  # by last character; the last place, also place -1, is the text's start
+        back: list = [None] * n
+        if self.single.issuperset(text):
+            for end, piece in self.automaton.iter(text):
+                s = best[end - piece[0]] + piece[1]
+                if s > best[end]:
+                    best[end] = s
+                    back[end] = piece
+        else:
+            alone = [i for i, c in enumerate(text) if c not in self.single]
+            done = 0
+            for end, piece in self.automaton.iter(text):
+                while done < len(alone) and alone[done] < end:
+                    self._take(alone[done], best, back)
+                    done += 1
+                s = best[end - piece[0]] + piece[1]
+                if s > best[end]:
+                    best[end] = s
+                    back[end] = piece
+            for at in alone[done:]:
+                self._take(at, best, back)
         ids: list[int] = []
-        at = n
-        while at:
-            length, i = back[at]
+        at = n - 1
+        while at >= 0:
+            length, _, i = back[at]
             if i >= 0:
                 ids.append(i)
             else:
-                ids += [self.of_byte[b] for b in reversed(text[at - 1].encode())]
+                ids += [self.of_byte[b] for b in reversed(text[at].encode())]
             at -= length
         return ids[::-1]
 
-    def _take(self, at: int, best: list[float], back: list[tuple[int, int]]) -> None:
-        s = best[at] + self.unknown
-        if s > best[at + 1]:
-            best[at + 1] = s
-            back[at + 1] = (1, -1)
+    def _take(self, at: int, best: list[float], back: list) -> None:
+        s = best[at - 1] + self.unknown
+        if s > best[at]:
+            best[at] = s
+            back[at] = (1, self.unknown, -1)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
@@ -122,11 +130,11 @@ class Segmenter:
             if ids is None:
                 if len(known) > CACHE_SIZE:
                     known.clear()
-                ids = known[unit] = np.array(self.best_path(SPACE + unit.replace(" ", SPACE)), "<i4").tobytes()
+                ids = known[unit] = array("i", self.best_path(SPACE + unit)).tobytes()
             out.append(ids)
         if lead:
-            out.append(np.array(self.best_path(lead), "<i4").tobytes())
-        return np.frombuffer(b"".join(out), "<i4")
+            out.append(array("i", self.best_path(lead)).tobytes())
+        return np.frombuffer(b"".join(out), np.intc)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         whole = b"".join(self.table[np.asarray(ids, np.int64)].tolist())
