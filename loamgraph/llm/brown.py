@@ -1,20 +1,24 @@
 """Scoring by a Brown class-based bigram model with exchange clustering.
 
-P(text) is the product over its tokens (words, then one end) of P(class | class before) P(word | class). Words of
-at least one in ``RARE`` training tokens, ``RARE`` at most by that definition, are *common*: exchange clustering
-deals them to ``CLASSES`` classes. All other words, unseen ones too, are in one class of their own; the end is
-another, and the context before the first word.
+P(text) is the product over its tokens (words, then one end) of P(class | class before) P(word | class). Every word
+of the training texts has one of ``k`` classes, where ``k`` is the cube root of their number, ``CLASSES`` at least
+and ``MOST_CLASSES`` at most. Words of at least one in ``RARE`` training tokens, ``RARE`` at most by that definition,
+are *common*: exchange clustering deals them to the classes. All others are then placed, each in the class that makes
+its contexts in the training texts most likely. Unseen words are in one class of their own; the end is another, and
+the context before the first word.
 
 Exchange: common words start in classes by turns of falling count. A pass over all training texts counts how often
-each word follows and precedes each class; then each word in turn moves to the class that raises the likelihood of
-the class bigrams most, against counts that follow every move. ``ROUNDS`` such passes are made, and a last one
-counts transitions between the final classes.
+each common word follows and precedes each class; then each in turn moves to the class that raises the likelihood of
+the class bigrams most, against counts that follow every move. ``ROUNDS`` such passes are made, and one more counts
+transitions between the classes, all words not common being in one. Placing (``place``) compares the classes by those
+transitions, so it is one job whatever the number of words; a last count takes transitions between the final classes.
 
-The counts of words are exact over the whole corpus and live in a distributed table; a worker holds the common
-words alone. Rare words of the texts meet their counts in a join.
+The counts and classes of words are exact over the whole corpus and live in a distributed table; a worker holds the
+common words alone. All other words of the texts meet their classes in a join.
 
-Smoothing: transitions add ``ADD_CLASS``; common words have their share of their class; a rare word has (c + 0.1) /
-(N + 0.1 (V + 1)) of the rare class, so one unseen word has the rest and probabilities sum to 1.
+Smoothing: transitions add ``ADD_CLASS``; words have their share of their class, and one unseen word has all of the
+class of unseen ones, so probabilities sum to 1. In a model without ``place`` (``fit`` alone) words not common share
+the class of unseen ones, where each has (c + 0.1) / (N + 0.1 (V + 1)).
 
 Defined results: a null text is empty, one end token; a null id counts as an empty one and so is held out; rows that
 repeat are scored, and learnt from, each; with an empty table the result is empty. Texts are taken whole.
@@ -32,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import small_batches, store, table
+from loamgraph.llm.common import forget, small_batches, store, table
 from loamgraph.llm.minhash import Shingler, slices
 from loamgraph.llm.vectors import matrix
 
 RARE = 200_000
 CLASSES = 32
+MOST_CLASSES = 250  # so that a class, the two special ones and OPEN fit a byte
+OPEN = 255  # in a row of classes, a word whose class comes from the join
 ROUNDS = 2
 ADD = 0.1
 ADD_CLASS = 0.5
@@ -83,7 +89,7 @@ def word_counts(df: DataFrame, text: str, id: str) -> DataFrame:
 class Model:
     """Common words (sorted hashes, counts, classes), class sizes and log10 transitions.
 
-    Class ``CLASSES`` holds the rare words and ``CLASSES + 1`` the end.
+    Class ``k`` holds the words that are in no other and ``k + 1`` the end.
     """
 
     common: np.ndarray
@@ -92,15 +98,20 @@ class Model:
     tokens: int  # N
     distinct: int  # V
     texts: int
+    k: int = CLASSES
     transitions: np.ndarray | None = None
+    pairs: np.ndarray | None = None  # counts behind the transitions, smoothed
+    sizes: np.ndarray | None = None  # training tokens of each of the ``k`` classes
+    placed_tokens: int = 0
+    placed_distinct: int = 0
 
     @property
     def rare_tokens(self) -> int:
-        return self.tokens - self.texts - int(self.counts.sum())
+        return self.tokens - self.texts - int(self.counts.sum()) - self.placed_tokens
 
     @property
     def rare_distinct(self) -> int:
-        return self.distinct - bool(self.texts) - len(self.common)
+        return self.distinct - bool(self.texts) - len(self.common) - self.placed_distinct
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """The number of each common word, or -1."""
@@ -110,25 +121,32 @@ class Model:
         return np.where(self.common[at] == words, at, -1)
 
     def class_of(self, found: np.ndarray) -> np.ndarray:
-        return np.where(found >= 0, self.classes[found] if len(self.classes) else CLASSES, CLASSES)
+        return np.where(found >= 0, self.classes[found] if len(self.classes) else self.k, self.k)
 
 
 def sequences(model: Model, words: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each common word or -1 or -2 for an end, class, text) of all tokens of some texts in order."""
     ends = np.searchsorted(owner, np.arange(texts), "right")
     found = np.insert(model.find(words), ends, -2)
-    classes = np.where(found == -2, CLASSES + 1, model.class_of(np.maximum(found, -1)))
+    classes = np.where(found == -2, model.k + 1, model.class_of(np.maximum(found, -1)))
     return found, classes, np.insert(owner, ends, np.arange(texts))
 
 
 def _training(df: DataFrame, text: str, id: str, model: Model, contexts: bool) -> np.ndarray:
     """Counts over the training texts: with ``contexts`` of (common word, class before | class after), else of
     (class before, class)."""
-    k = CLASSES + 2
+    k = model.k + 2
+    height, width = (len(model.common), 2 * k) if contexts else (k, k)
+
+    def emit(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = np.flatnonzero(counts.any(axis=1))
+        for at in range(0, len(rows), 1000):
+            part = rows[at : at + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(counts[part].astype(np.int64)), pa.list_(pa.int64()))], names=["row", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
-        counts = np.zeros((len(model.common), 2 * k) if contexts else (k, k), np.int32)  # of one task
+        counts = np.zeros((height, width), np.int32)  # of one task
         flat = counts.reshape(-1)
         for b in batches:
             out = held_out(b.column(0))
@@ -137,22 +155,25 @@ def _training(df: DataFrame, text: str, id: str, model: Model, contexts: bool) -
                 if not texts:
                     continue
                 found, classes, _ = sequences(model, *shingler.words_of(texts), len(texts))
-                before = np.concatenate([[CLASSES + 1], classes[:-1]])
+                before = np.concatenate([[k - 1], classes[:-1]])
                 if contexts:
                     there = np.flatnonzero(found >= 0)
                     np.add.at(flat, found[there] * 2 * k + before[there], 1)
                     np.add.at(flat, found[there] * 2 * k + k + classes[there + 1], 1)
                 else:
                     np.add.at(flat, before * k + classes, 1)
-        rows = np.flatnonzero(counts.any(axis=1))
-        for at in range(0, len(rows), 10_000):
-            part = rows[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(counts[part].astype(np.int64)), pa.list_(pa.int64()))], names=["row", "counts"])
+        yield from emit(counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((height, width), np.int64)
+        for b in batches:
+            if b.num_rows:
+                np.add.at(counts, b.column(0).to_numpy(), matrix(b.column(1)).astype(np.int64))
+        yield from emit(counts)
 
-    parts = df.select(id, text).mapInArrow(run, "row bigint, counts array<bigint>")
-    width = 2 * k if contexts else k
-    total = parts.groupBy("row").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(width)]).alias("counts")).toArrow()
-    result = np.zeros((len(model.common) if contexts else k, width))
+    schema = "row bigint, counts array<bigint>"
+    total = df.select(id, text).mapInArrow(run, schema).repartition("row").mapInArrow(add, schema).toArrow()
+    result = np.zeros((height, width))
     if total.num_rows:
         result[total.column(0).to_numpy()] = matrix(total.column(1))
     return result
@@ -163,7 +184,7 @@ def exchange(classes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, bigr
 
     ``contexts`` has each word's counts by class before and class after; ``bigrams`` the counts of class pairs.
     """
-    k = len(bigrams)
+    k, plain = len(bigrams), len(bigrams) - 2
     n, classes = bigrams.copy(), classes.copy()
     g = lambda x: x * np.log(np.maximum(x, 1))
     for w in np.argsort(-counts, kind="stable"):
@@ -172,9 +193,10 @@ def exchange(classes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, bigr
         n[a] -= after
         n[:, a] -= before
         np.maximum(n, 0, out=n)
-        out, into = n.sum(axis=1)[:CLASSES], n.sum(axis=0)[:CLASSES]
-        rows, columns = n[:CLASSES], n[:, :CLASSES]
-        gain = (g(rows + after) - g(rows)).sum(axis=1) + (g(columns + before[:, None]) - g(columns)).sum(axis=0)
+        out, into = n.sum(axis=1)[:plain], n.sum(axis=0)[:plain]
+        i, j = np.flatnonzero(before), np.flatnonzero(after)  # nothing changes elsewhere
+        rows, columns = n[:plain, j], n[i, :plain]
+        gain = (g(rows + after[j]) - g(rows)).sum(axis=1) + (g(columns + before[i, None]) - g(columns)).sum(axis=0)
         gain -= g(out + f) - g(out) + g(into + f) - g(into)
         best = int(gain.argmax())
         if gain[best] <= gain[a]:
@@ -186,7 +208,7 @@ def exchange(classes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, bigr
 
 
 def fit(df: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the stored table (h, c) of all training words' counts."""
+    """The model of the common words, and the stored table (h, c) of all training words' counts."""
     counts = store(word_counts(df, text, id), "words")
     total = counts.agg(F.sum(F.when(F.col("h").isNull(), F.col("c"))), F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.count("h")).first()
     texts, words, distinct = (int(x or 0) for x in total)
@@ -194,28 +216,111 @@ def fit(df: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = ROU
     common = counts.where(F.col("h").isNotNull() & (F.col("c") >= least)).toArrow()  # RARE rows at most
     h = common.column(0).to_numpy().view(np.uint64)
     order = np.argsort(h)
-    model = Model(h[order], common.column(1).to_numpy()[order], np.zeros(len(h), np.int64), words + texts, distinct + bool(texts), texts)
-    model.classes[np.argsort(-model.counts, kind="stable")] = np.arange(len(h)) % CLASSES
+    number = min(MOST_CLASSES, max(CLASSES, round(distinct ** (1 / 3))))
+    model = Model(h[order], common.column(1).to_numpy()[order], np.zeros(len(h), np.int64), words + texts, distinct + bool(texts), texts, number)
+    model.classes[np.argsort(-model.counts, kind="stable")] = np.arange(len(h)) % number
     for _ in range(rounds):
         contexts = _training(df, text, id, model, True)
-        k = CLASSES + 2
+        k = number + 2
         bigrams = np.zeros((k, k))
         np.add.at(bigrams, model.classes, contexts[:, k:])
-        for special in (CLASSES, CLASSES + 1):  # pairs of one common word, counted from its side
-            bigrams[special, :CLASSES] = np.bincount(model.classes, contexts[:, special], CLASSES)[:CLASSES]
+        for special in (number, number + 1):  # pairs of one common word, counted from its side
+            bigrams[special, :number] = np.bincount(model.classes, contexts[:, special], number)[:number]
         model.classes = exchange(model.classes, model.counts, contexts, bigrams)
     pairs = _training(df, text, id, model, False) + ADD_CLASS
     model.transitions = np.log10(pairs / pairs.sum(axis=1, keepdims=True))
+    model.sizes = np.bincount(model.classes, model.counts, number)
+    model.pairs = pairs
     return model, counts
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row per row of ``df``: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
-    and ``score`` (log10)."""
-    rare_of = math.log10(model.rare_tokens + ADD * (model.rare_distinct + 1))
-    sizes = np.bincount(model.classes, model.counts, CLASSES)[:CLASSES] if len(model.common) else np.ones(CLASSES)
-    emission = np.log10(model.counts) - np.log10(sizes[model.classes]) if len(model.common) else np.zeros(1)
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the length of each value."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[ends[0] : ends[-1]], np.diff(ends)
+
+
+def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The binary column of such bytes and lengths."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def place(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The stored table (h, c, class) of all training words that are not common; ``model`` takes up their numbers.
+
+    Each goes to the class in which its classes before and after are most likely by the model's transitions, whose
+    class ``k`` stands for a neighbour that is not common either. On a tie the first class wins.
+    """
+    k = model.k + 2
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(1)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            h, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, first = np.unique(h[order], return_index=True)
+            lengths = np.diff(np.append(first, len(order))) * 2
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), binaries(around[order], lengths)], names=["h", "around"])
+
+        for b in batches:
+            out = held_out(b.column(0))
+            for first, texts in slices(b.column(1)):
+                texts = [t for t, o in zip(texts, out[first:], strict=False) if not o]
+                if not texts:
+                    continue
+                words, owner = shingler.words_of(texts)
+                found, classes, _ = sequences(model, words, owner, len(texts))
+                there = np.flatnonzero(found == -1)
+                before = np.concatenate([[k - 1], classes[:-1]])[there]
+                parts.append((words[model.find(words) < 0], np.stack([before, classes[there + 1]], axis=1).astype(np.uint8)))
+                held += len(there)
+                if held > FLUSH:
+                    yield flush()
+                    parts, held = [], 0
+        if held:
+            yield flush()
+
+    pairs = model.pairs
+    after_of = np.log(pairs / pairs.sum(axis=1, keepdims=True))[: model.k]  # (class, class after)
+    before_of = np.log(pairs / pairs.sum(axis=0, keepdims=True))[:, : model.k]  # (class before, class)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                n, lists = b.num_rows, b.column(1)
+                data, lengths = flat_bytes(lists.flatten())
+                word = np.repeat(np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lengths // 2)
+                around = data.reshape(-1, 2)
+                before, after = (np.bincount(word * k + around[:, i], minlength=n * k).reshape(n, k) for i in (0, 1))
+                best = (after @ after_of.T + before @ before_of).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before.sum(axis=1)), pa.array(best)], names=["h", "c", "class"])
+
+    around = df.select(id, text).mapInArrow(seen, "h bigint, around binary").repartition("h")
+    placed = store(around.groupBy("h").agg(F.collect_list("around").alias("around")).mapInArrow(choose, "h bigint, c bigint, class bigint"), "placed")
+    sizes = placed.groupBy("class").agg(F.sum("c"), F.count("*")).collect()  # at most one row a class
+    for number, tokens, distinct in sizes:
+        model.sizes[number] += tokens
+        model.placed_tokens += tokens
+        model.placed_distinct += distinct
+    return placed
+
+
+def resolve(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The stored table of the rows of ``df``: id, ``held_out``, ``n``, ``known``, ``own`` and ``base`` (sums of the
+    logs of words' counts within classes and at all) and ``classes``, a byte for each token in order.
+
+    ``counts`` has all training words that are not common, and may have their classes.
+    """
     base_of = np.log10(model.counts + ADD) if len(model.common) else np.zeros(1)
+    own_of = np.log10(model.counts) if len(model.common) else np.zeros(1)
     end_base = math.log10(model.texts + ADD)
     kind = df.schema[id].dataType.simpleString()
 
@@ -227,41 +332,115 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id
                 n = len(texts)
                 words, owner = shingler.words_of(texts)
                 found, classes, text_of = sequences(model, words, owner, n)
-                before = np.concatenate([[CLASSES + 1], classes[:-1]])
                 is_common, is_end = found >= 0, found == -2
                 at = np.maximum(found, 0)
-                share = model.transitions[before, classes] + np.where(is_common, emission[at], np.where(is_end, 0.0, -rare_of))
                 base = np.where(is_common, base_of[at], np.where(is_end, end_base, 0.0))
                 known = is_common | (is_end & (model.texts > 0))
-                sums = [np.bincount(text_of, x, n) for x in (share, base)]
+                sums = [np.bincount(text_of, x, n) for x in (np.where(is_common, own_of[at], 0.0), base)]
                 rare = model.find(words) < 0
                 h, who = words[rare], owner[rare]
                 cuts = np.searchsorted(who, np.arange(1, n))
-                columns = [pa.array(out[first : first + n]), pa.array(np.bincount(text_of, minlength=n)), pa.array(np.bincount(text_of, known, n).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.split(h.view(np.int64), cuts), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), *columns], names=["row", id, "held_out", "n", "known", "share", "base", "rare"])
+                lengths = np.bincount(text_of, minlength=n)
+                codes = binaries(np.where(found == -1, OPEN, classes).astype(np.uint8), lengths)
+                columns = [pa.array(out[first : first + n]), pa.array(lengths), pa.array(np.bincount(text_of, known, n).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), codes, pa.array(np.split(h.view(np.int64), cuts), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), *columns], names=["row", id, "held_out", "n", "known", "own", "base", "classes", "rare"])
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), id, text)
-    parts = store(rows.mapInArrow(run, f"row bigint, `{id}` {kind}, held_out boolean, n bigint, known bigint, share double, base double, rare array<bigint>"), "scores")
-    words = parts.select("row", F.explode("rare").alias("h"))
-    known = words.join(counts.where("h is not null"), "h", "left").groupBy("row")
-    logs = known.agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("logs"), F.count("c").alias("seen"))
-    whole = parts.drop("rare").join(logs, "row", "left")
+    kept = f"`{id}` {kind}, held_out boolean, n bigint, known bigint, own double, base double, classes binary"
+    parts = store(rows.mapInArrow(run, f"row bigint, {kept}, rare array<bigint>"), "parts")
+    if "class" not in counts.columns:
+        counts = counts.withColumn("class", F.lit(None).cast("bigint"))
+    smooth = F.log10(F.coalesce("c", F.lit(0)) + ADD)
+    words = parts.select("row", F.posexplode("rare").alias("at", "h")).join(counts.where("h is not null"), "h", "left")
+    words = words.select("row", F.col("c").isNotNull().cast("int").alias("there"), smooth.alias("smooth"), F.when(F.col("class").isNotNull(), F.log10("c")).otherwise(smooth).alias("log"), (F.col("at").cast("long") * 256 + F.coalesce("class", F.lit(model.k))).alias("code"))
+    met = words.groupBy("row").agg(F.sum("smooth").alias("logs"), F.sum("log").alias("owns"), F.sum("there").alias("seen"), F.collect_list("code").alias("codes"))
+    whole = parts.drop("rare").join(met, "row", "left")
+    more = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    whole = whole.select(id, "held_out", "n", more("known", "seen"), more("own", "owns"), more("base", "logs"), "classes", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
+
+    names = whole.columns[:7]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            classes, lengths = flat_bytes(b.column(6))
+            codes = b.column(7).flatten().to_numpy()
+            order = np.lexsort((codes, np.repeat(np.arange(b.num_rows), b.column(7).value_lengths().to_numpy())))
+            classes = classes.copy()
+            classes[classes == OPEN] = codes[order] & 255
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], binaries(classes, lengths)], names=names)
+
+    tokens = store(whole.mapInArrow(fill, kept), "tokens")
+    forget(parts)
+    return tokens
+
+
+def transitions(tokens: DataFrame, model: Model) -> np.ndarray:
+    """Log10 of the smoothed shares of class pairs over the training rows of ``resolve``."""
+    k = model.k + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(k * k, np.int64)
+        for b in batches:
+            classes = flat_bytes(b.column(0))[0].astype(np.int64)
+            if len(classes):
+                counts += np.bincount(np.concatenate([[k - 1], classes[:-1]]) * k + classes, minlength=k * k)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "c"])
+
+    total = tokens.where("not held_out").select("classes").mapInArrow(run, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    pairs = np.full(k * k, ADD_CLASS)
+    pairs[total.column(0).to_numpy()] += total.column(1).to_numpy()
+    pairs = pairs.reshape(k, k)
+    return np.log10(pairs / pairs.sum(axis=1, keepdims=True))
+
+
+def finish(tokens: DataFrame, model: Model) -> DataFrame:
+    """The scores of the rows of ``resolve``, as ``score`` gives them."""
+    id = tokens.columns[0]
+    k, steps = model.k + 2, model.transitions
+    rare_of = math.log10(model.rare_tokens + ADD * (model.rare_distinct + 1))
+    size_of = np.append(np.log10(np.maximum(model.sizes, 1)), [rare_of, 0.0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            classes, lengths = flat_bytes(b.column(6))
+            before = np.concatenate([[k - 1], classes[:-1]])[: len(classes)].astype(np.int64)
+            text_of = np.repeat(np.arange(b.num_rows), lengths)
+            share = np.bincount(text_of, steps[before, classes] - size_of[classes], b.num_rows) + b.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), pa.array(share)], names=[id, "held_out", "n", "known", "base", "share"])
+
+    kind = tokens.schema[id].dataType.simpleString()
+    whole = tokens.mapInArrow(run, f"`{id}` {kind}, held_out boolean, n bigint, known bigint, base double, share double")
     denominator = math.log10(model.tokens + ADD * (model.distinct + 1))
-    more = F.coalesce("logs", F.lit(0.0))
     return whole.select(
         id,
         "held_out",
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n") * denominator).alias("base_score"),
-        (F.col("share") + more).alias("score"),
+        (F.col("base") - F.col("n") * denominator).alias("base_score"),
+        F.col("share").alias("score"),
     )
 
 
+def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row per row of ``df``: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
+    and ``score`` (log10)."""
+    return finish(resolve(df, model, counts, text, id), model)
+
+
+def class_scores(df: DataFrame, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, Model, DataFrame]:
+    """The scores of ``df`` by classes of all its training words, with the model and the table of placed words."""
+    model, counts = fit(df, text, id)
+    forget(counts)
+    placed = place(df, model, text, id)
+    tokens = resolve(df, model, placed, text, id)
+    model.transitions = transitions(tokens, model)
+    return finish(tokens, model), model, placed
+
+
 def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and class-model scores of all whole documents."""
     documents = table(spark, sf_dir, "documents")
     with small_batches(spark):
-        model, counts = fit(documents)
-        return score(documents, model, counts)
+        return class_scores(documents)[0]

@@ -282,6 +282,45 @@ def test_brown(spark, texts, monkeypatch):
     assert brown.score(docs_of(spark, []), empty, none).count() == 0
 
 
+def test_brown_places_every_training_word(spark, texts, monkeypatch):
+    monkeypatch.setattr(brown, "RARE", 300)  # so that some words are rare
+    df = docs_of(spark, texts)
+    out, model, placed = brown.class_scores(df)
+    got = {r.doc_id: r for r in out.collect()}
+    hashes = lambda t: [int(h) for h in minhash.Shingler(1).words_of([(t or "").encode()])[0]]
+    train, around = collections.Counter(), collections.defaultdict(list)
+    known = dict(zip(map(int, model.common), model.classes, strict=True))
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 10:
+            row = hashes(t)
+            train.update(row)
+            c = [model.k + 1, *(known.get(h, model.k) for h in row), model.k + 1]
+            for at, h in enumerate(row, 1):
+                around[h].append((c[at - 1], c[at + 1]))
+    table = {int(np.int64(r.h).view(np.uint64)): r for r in placed.collect()}
+    assert len(table) > 20 and set(table) == set(train) - set(known)
+    assert model.rare_tokens == model.rare_distinct == 0
+    after, before = (model.pairs / model.pairs.sum(axis=a, keepdims=True) for a in (1, 0))
+    for h, r in table.items():
+        gain = [sum(np.log(before[b, c]) + np.log(after[c, a]) for b, a in around[h]) for c in range(model.k)]
+        assert r.c == train[h] and gain[r["class"]] >= max(gain) - 1e-9
+    classes = known | {h: r["class"] for h, r in table.items()}
+    sizes, k = collections.Counter(), model.k + 2
+    for h, c in train.items():
+        sizes[classes[h]] += c
+    pairs, rows = np.full((k, k), brown.ADD_CLASS), {}
+    for i, t in texts:
+        rows[i] = [k - 1, *(classes.get(h, k - 2) for h in hashes(t)), k - 1]
+        if zlib.crc32(str(i).encode()) % 10:
+            np.add.at(pairs, (rows[i][:-1], rows[i][1:]), 1)
+    steps = np.log10(pairs / pairs.sum(axis=1, keepdims=True))
+    for i, t in texts:
+        own = sum(np.log10(train[h] / sizes[classes[h]]) if h in train else np.log10(0.1 / 0.1) for h in hashes(t))
+        want = own + steps[rows[i][:-1], rows[i][1:]].sum()
+        assert abs(got[i].score - want) < 1e-6 * max(1, len(rows[i]))
+    assert brown.class_scores(docs_of(spark, []))[0].count() == 0
+
+
 def test_exchange_finds_alternation():
     rng = np.random.default_rng(0)
     words = np.arange(20)  # even words follow odd ones
