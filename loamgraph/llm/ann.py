@@ -7,7 +7,9 @@ cells whose axes lie nearest to it, and all candidates are reranked by exact cos
 
 The number of probes is chosen on a bounded sample (``SAMPLE`` rows): the least of a list for which the sample's
 own queries recall ``TARGET`` of their nearest rows. Neighbours are nearer in the whole table than in a sample of
-it, so recall there is higher. Every row is indexed and every query is asked over all rows.
+it, so recall there is higher. Where no number of the list will do with two rotations, one rotation is used whatever
+the number of rows; where none will do with that either, all cells are visited, which is exact. Every row is indexed
+and every query is asked over all rows.
 
 A crowded cell is cut into blocks of ``BLOCK`` rows and its queries into blocks of ``QUERY_BLOCK``; a task holds
 one block of each, whatever the size of the cell.
@@ -97,7 +99,8 @@ class CrossPolytope:
 
 
 def choose_probes(index: CrossPolytope, x: np.ndarray, k: int, target: float) -> int:
-    """The least number of probes with which the sample's first rows find ``target`` of their ``k`` nearest others."""
+    """The least number of probes with which the sample's first rows find ``target`` of their ``k`` nearest others; all
+    cells if none of the list will do."""
     if len(x) <= 2 * index.width:
         return index.cells
     queries = min(SAMPLE_QUERIES, len(x))
@@ -114,7 +117,17 @@ def choose_probes(index: CrossPolytope, x: np.ndarray, k: int, target: float) ->
             found |= (codes[near][:, :, t][:, :, None] == probes[:, t][:, None, :]).any(axis=2)
         if found.mean() >= target:
             return count
-    return index.cells if index.axes == 1 else PROBES[-1]
+    return index.cells
+
+
+def choose_index(x: np.ndarray, rows: int, k: int, target: float) -> tuple[CrossPolytope, int]:
+    """The index of ``rows`` rows, of which ``x`` is a sample, and the number of probes that meets ``target`` there."""
+    for axes in (1,) if rows < TWO_AXES else (2, 1):
+        index = CrossPolytope(x.shape[1], axes=axes)
+        probes = choose_probes(index, x, k, target)
+        if probes < index.cells:
+            break
+    return index, probes
 
 
 def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -145,9 +158,11 @@ def nearest(df: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str =
         return spark.createDataFrame([], result)
     rows, asked = rows.where(F.size("v") == d).dropDuplicates(["id", "v"]), asked.where(F.size("v") == d).dropDuplicates(["id", "v"])
     rows = store(rows, "vectors")
-    index = CrossPolytope(d, axes=1 if rows.count() < TWO_AXES else 2)
+    n = rows.count()
     if probes is None:
-        probes = choose_probes(index, bounded_sample(rows, "id", "v", SAMPLE, 23)[1], k, TARGET)
+        index, probes = choose_index(bounded_sample(rows, "id", "v", SAMPLE, 23)[1], n, k, TARGET)
+    else:
+        index = CrossPolytope(d, axes=1 if n < TWO_AXES else 2)
 
     kind = rows.schema["v"].dataType.simpleString()
 

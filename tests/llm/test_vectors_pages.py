@@ -60,6 +60,18 @@ def test_nearest(spark, rows):
     assert found / total >= 0.9
 
 
+def test_nearest_keeps_its_recall_in_large_tables(spark, monkeypatch):
+    x = np.float32(np.random.default_rng(3).standard_normal((3000, 64)))  # nearest neighbours hardly nearer than the rest
+    df = vectors_of(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])
+    monkeypatch.setattr(ann, "TWO_AXES", 100)  # so that this table counts as large
+    got = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x[::50] @ x.T
+    sims[np.arange(60), np.arange(60) * 50] = -2
+    want = {(50 * q, int(i)) for q, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for i in row}
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) / len(want) >= 0.97
+
+
 def test_nearest_edges(spark):
     assert ann.nearest(vectors_of(spark, []), vectors_of(spark, [])).count() == 0
     few = vectors_of(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, -1.0])])
