@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgraph.llm.common import store, table
+from loamgraph.llm.common import small_batches, store, table
 
 CAPACITY = 1024
 END = 2
@@ -121,12 +121,7 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize(df: DataFrame, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY, encoder: Callable[[], Callable] | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length and ``ids``, an array of token ids."""
-    return _pieces(df, text, id, capacity, encoder, True)
-
-
-def _pieces(df: DataFrame, text: str, id: str, capacity: int, encoder: Callable[[], Callable] | None, with_ids: bool) -> DataFrame:
     kind = df.schema[id].dataType.simpleString()
-    last = "ids array<bigint>" if with_ids else "ids_crc32 bigint"
     make = encoder or (lambda: byte_bpe_encoder(ranks_path=tokenizer_path("byte_bpe_50k.tiktoken")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +139,12 @@ def _pieces(df: DataFrame, text: str, id: str, capacity: int, encoder: Callable[
                         piece.append(k)
                         start.append(s)
                         length.append(n)
-                        ids.append(all_ids[s : s + n].astype("int64") if with_ids else zlib.crc32(all_ids[s : s + n].tobytes()))
-                out = pa.array(ids, pa.list_(pa.int64()) if with_ids else pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), out], names=[id, "piece", "start", "length", last.split()[0]])
+                    ids.append(all_ids)
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)  # pieces follow one another
+                out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), out], names=[id, "piece", "start", "length", "ids"])
 
-    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, piece int, start bigint, length bigint, {last}")
+    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, piece int, start bigint, length bigint, ids array<int>")
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -226,7 +222,8 @@ def rank_in_length(pieces: DataFrame, id: str) -> DataFrame:
 
 
 def pack(pieces: DataFrame, id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a stored table with ``length``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (a stored table with ``length``) with ``sequence_id`` and ``offset``, and ``ids_crc32`` of its ``ids``,
+    if it has them.
 
     The driver gets one count for each length, ``capacity`` rows at most.
     """
@@ -235,6 +232,8 @@ def pack(pieces: DataFrame, id: str = "doc_id", capacity: int = CAPACITY) -> Dat
     columns = pieces.columns
     ranked = rank_in_length(pieces, id).select(*[f"`{c}`" for c in columns], "_lp_rank")
     at = columns.index("length")
+    ids = columns.index("ids") if "ids" in columns else None  # summed here, so that no second worker gets them
+    more = [] if ids is None else ["ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,18 +245,27 @@ def pack(pieces: DataFrame, id: str = "doc_id", capacity: int = CAPACITY) -> Dat
                 k = np.searchsorted(table_of[:, 0], rank[mine], "right") - 1
                 sequence[mine] = table_of[k, 1] + rank[mine] - table_of[k, 0]
                 offset[mine] = table_of[k, 2]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset), *(checksums(b.column(ids)) for _ in more)], names=[*columns, "sequence_id", "offset", *more])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint" + "".join(f", {c} bigint" for c in more))
+
+
+def checksums(ids: pa.Array) -> pa.Array:
+    """The CRC-32 of each list of ids as little-endian words of 32 bits."""
+    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+    flat = ids.flatten().to_numpy().astype("<u4", copy=False)
+    return pa.array([zlib.crc32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
 
 
 def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack all of ``df``; one row per piece, with a checksum of its ids in place of them."""
-    pieces = store(_pieces(df, text, id, capacity, None, False), "pieces")
+    """Tokenize, cut and pack all of ``df``; one row per piece, with its ids, their checksum and its place."""
+    with small_batches(df.sparkSession):
+        pieces = store(tokenize(df, text, id, capacity), "pieces")
     return pack(pieces, id, capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 1024 tokens; one row per piece."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    """All documents packed into sequences of at most 1024 tokens; one row per piece, with a checksum of its ids."""
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -204,6 +204,23 @@ def test_packing(spark, texts):
     assert {r.doc_id: r.n for r in whole} == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in rows}
 
 
+def test_packed_sequences_hold_their_ids(spark, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    t.encode_special_tokens = True
+    got = packing.pack_documents(docs_of(spark, texts)).collect()
+    sequences = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(sequences[r.sequence_id]) == r.offset
+        sequences[r.sequence_id] += r.ids
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    documents = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        documents[r.doc_id] += sequences[r.sequence_id][r.offset : r.offset + r.length]
+    assert documents == {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in texts}
+
+
 def test_best_two_fit():
     assert packing._tightest_pair(np.array([0, 1, 0, 2, 1, 1, 0, 0, 0]), 8) == [5, 3]
     assert packing._tightest_pair(np.array([0, 0, 1, 0, 0]), 4) is None
