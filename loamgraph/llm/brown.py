@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import forget, small_batches, store, table
+from loamgraph.llm.common import bounded_batches, forget, store, table
 from loamgraph.llm.minhash import Shingler, slices
 from loamgraph.llm.vectors import matrix
 
@@ -442,5 +442,5 @@ def class_scores(df: DataFrame, text: str = "text", id: str = "doc_id") -> tuple
 def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and class-model scores of all whole documents."""
     documents = table(spark, sf_dir, "documents")
-    with small_batches(spark):
-        return class_scores(documents)[0]
+    bounded_batches(spark)
+    return class_scores(documents)[0]

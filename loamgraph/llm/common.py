@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamgraph.plans.storage import forget, new_path, shared_dir, store, table
 
-__all__ = ["forget", "new_path", "shared_dir", "small_batches", "store", "table"]
+__all__ = ["bounded_batches", "forget", "new_path", "row_hash", "shared_dir", "store", "table", "unused"]
+
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python in batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``.
+
+    Spark reads these settings when a job is planned, which for a returned frame is after its operator is done, so they
+    stay. Smaller settings of the user's hold.
+    """
+    for key, most in (BATCH_ROWS, BATCH_BYTES):
+        now = int(spark.conf.get(key, "0") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row, nulls included, columns of kinds that cannot be hashed aside."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(F.lit(len(plain)), *plain, *[c.isNull() for c in plain])
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Send whole texts to Python in batches of at most ``rows`` within the block, for what runs there."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH, before)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

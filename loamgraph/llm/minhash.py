@@ -11,26 +11,33 @@ A pair at the threshold of 0.8 shares no band with a chance of (1 - 0.8^6)^48 <
 
 Buckets are not expanded into pairs. A bucket's pivot is the member that shares the most buckets with others, which
 in a group of edited copies is the original. First, each document meets the most central of its pivots; then, in
-buckets that still hold several components, members meet the pivot across components; last, in what is left, all
-pairs across components are tried: as rows in buckets of up to ``SMALL``, if sizes and estimates allow a link, and
-by blocks within tasks in larger ones. So no link that joins two components is lost, and a group of copies costs
-rows in proportion to its size.
+buckets that still hold several components, members meet the pivot across components; last, what is left of the
+buckets is dealt into blocks, two blocks meet in a task, and there every pair across components that shares a band,
+and whose sizes and signatures allow it, is confirmed. So no link that joins two components is lost, whatever a
+bucket's size, and a group of copies costs rows in proportion to its size.
+
+Rows are told apart by a number of their own, not by their ids, so rows that share an id and differ in text are
+documents of their own.
 
 Defined results: null or wordless texts have no shingles and link with nothing; shorter texts than a shingle are
-one shingle; rows that repeat an id count as one document; a null id links with nothing and has a null component;
-an empty table gives an empty table. Texts are taken whole.
+one shingle; rows that repeat an id are documents each, and a component has its smallest id; rows with a null id
+link like any other, their component has the smallest id that is not null (null if there is none) and ``kept`` is
+false but for a component without ids; an empty table gives an empty table; of equally central pivots the one of the
+smaller row number holds, which changes which pairs are tried and no component; further columns are not looked at,
+and ``deduplicate`` passes them on, whatever their names. Texts are taken whole, at any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import forget, store, table
+from loamgraph.llm.common import bounded_batches, forget, row_hash, store, table, unused
 from loamgraph.llm.components import components
 
 WORDS = 5
@@ -41,8 +48,8 @@ LANES = 64 // BITS
 LONGS = BANDS * ROWS // LANES
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by a shuffle
 SLICE_BYTES = 1 << 20
-SMALL = 16  # members of a bucket whose pairs may be rows
-BLOCK = 256
+BLOCK = 512  # documents of a block, about
+BLOCK_SHINGLES = 1_000_000  # and their shingles
 COLUMNS = 8192
 
 
@@ -196,12 +203,12 @@ def plausible(percent: int, a: str, b: str) -> Column:
 
 
 def signatures(df: DataFrame, text: str, id: str, words: int) -> DataFrame:
-    """(id, n, f1, f2, bands, sig) of each row; ``f1`` and ``f2`` fingerprint the whole set."""
+    """(id, row, n, f1, f2, bands, sig) of each row: ``row`` hashes all its columns, ``f1`` and ``f2`` its whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            for first, texts in slices(b.column(1)):
+            for first, texts in slices(b.column(2)):
                 sets = shingler.sets(texts)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
@@ -215,145 +222,237 @@ def signatures(df: DataFrame, text: str, id: str, words: int) -> DataFrame:
                         f2[i] = int(_mix(sets[i] ^ shingler.step).sum().view(np.int64))
                 longs = pa.list_(pa.int64())
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), n, pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, longs), pa.array(sig, longs)], names=["id", "n", "f1", "f2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, len(sets)) for c in (0, 1)), n, pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, longs), pa.array(sig, longs)], names=["id", "row", "n", "f1", "f2", "bands", "sig"])
 
-    return df.select(F.col(id).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sig array<long>")
+    rows = df.select(F.col(f"`{id}`").cast("long").alias("id"), row_hash(df).alias("row"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, "id long, row long, n long, f1 long, f2 long, bands array<long>, sig array<long>")
 
 
 def _hash_sets(df: DataFrame, words: int) -> DataFrame:
-    """(id, hashes) of (id, text)."""
+    """(node, hashes) of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
             for first, texts in slices(b.column(1)):
                 sets = [s.view(np.int64) for s in shingler.sets(texts)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return df.mapInArrow(run, "node long, hashes array<long>")
+
 
-    return df.mapInArrow(run, "id long, hashes array<long>")
+@dataclass(frozen=True)
+class Corpus:
+    """Representatives (node, id, row, n, sig) and the texts (id, row, text) that they are of."""
 
+    thin: DataFrame
+    texts: DataFrame
+    words: int
+    percent: int
 
-def confirm(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, hashes), stored, of distinct ``nodes`` (node, stored)."""
+        named = store(self.thin.join(nodes, "node", "left_semi").select("node", "id", "row"), "nodes")
+        named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+        same = (self.texts.row == named.row) & self.texts.id.eqNullSafe(named.id)
+        wanted = self.texts.join(named, same).select("node", "text")
+        # rows that repeat in full have one set
+        return store(_hash_sets(wanted, self.words).dropDuplicates(["node"]), "sets")
+
+
+def confirm(pairs: DataFrame, corpus: Corpus) -> DataFrame:
     """Those of ``pairs`` (stored; a: a pivot, b) whose full sets reach the threshold."""
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    n = ids.count()
-    wanted = documents.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-    sets = store(_hash_sets(wanted, words).dropDuplicates(["id"]), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = corpus.sets(nodes)
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("ha", "hb"))
-    linked = store(both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b"), "links")
-    forget(ids, sets)
+    linked = store(both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * corpus.percent).select("a", "b"), "links")
+    forget(nodes, sets)
     return linked
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``df``: id, ``n_shingles``, ``component_id`` and ``kept``."""
-    documents = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = store(signatures(df, text, id, words), "signed")
-    some = signed.where("n > 0 and id is not null")
-    first = F.min(F.struct("id", "n", "bands", "sig")).alias("r")
-    classes = store(some.groupBy("f1", "f2").agg(first).select("f1", "f2", "r.*"), "classes")
-    thin = classes.select("id", "n", "sig")
-
-    banded = classes.select(F.explode("bands").alias("key"), "id").distinct()
+def _classes(df: DataFrame, text: str, id: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (node, id, row, n, f1, f2) and their classes (f1, f2, component, least): ``component`` is a row's
+    number, that of the row which stays, and ``least`` the smallest id."""
+    signed = signatures(df, text, id, words).withColumn("node", F.monotonically_increasing_id())
+    signed = store(signed, "signed")  # a row's number is fixed by being written
+    some = signed.where("n > 0")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    firsts = some.groupBy("f1", "f2").agg(F.min(order).alias("r")).select(F.col("r.node").alias("node"))
+    classes = store(some.join(firsts, "node", "left_semi"), "classes")
+    thin = classes.select("node", "n", "sig")
+    texts = df.select(F.col(f"`{id}`").cast("long").alias("id"), row_hash(df).alias("row"), F.col(f"`{text}`").alias("text"))
+    corpus = Corpus(classes.select("node", "id", "row", "n", "sig"), texts, words, percent)
+
+    banded = classes.select(F.explode("bands").alias("key"), "node").distinct()
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = store(banded.join(buckets, "key"), "members")
-    weighed = members.join(members.groupBy("id").agg(F.sum("size").alias("degree")), "id")
-    central = weighed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("best"))
+    weighed = members.join(members.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+    central = weighed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"))).alias("best"))
     pivots = store(central.select("key", "best", (-F.col("best.less")).alias("pivot")), "pivots")
 
     # 1: every member meets the most central of its buckets' pivots
-    own = members.join(pivots, "key").groupBy("id").agg(F.max_by("pivot", "best").alias("pivot"))
-    tried = store(_allowed(own.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), thin, percent), "pairs")
-    joined = store(components(confirm(tried, documents, words, percent), "a", "b"), "joined")
+    own = members.join(pivots, "key").groupBy("node").agg(F.max_by("pivot", "best").alias("pivot"))
+    tried = store(_allowed(own.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), thin, percent), "pairs")
+    joined = store(components(confirm(tried, corpus), "a", "b"), "joined")
 
     # 2: in buckets of several components, members meet the bucket's pivot if it is in another one
     rest = _mixed(members, joined)
     if not rest.isEmpty():
         met = rest.join(pivots.select("key", "pivot"), "key")
-        met = met.join(rest.select("key", F.col("id").alias("pivot"), F.col("label").alias("other")), ["key", "pivot"])
-        met = met.where("label <> other").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        met = met.join(rest.select("key", F.col("node").alias("pivot"), F.col("label").alias("other")), ["key", "pivot"])
+        met = met.where("label <> other").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         more = store(_allowed(met, thin, percent), "pairs")
-        tried = tried.unionByName(more)
-        joined = _join_on(joined, confirm(more, documents, words, percent))
+        joined = _join_on(joined, confirm(more, corpus))
+        forget(more)
         rest = _mixed(members, joined)
 
-    # 3: in what is left, every pair across components: by pairs in small buckets, by blocks in large ones
+    # 3: in what is left, every pair across components that shares a band
     if not rest.isEmpty():
-        sizes = rest.groupBy("key").agg(F.count("*").alias("size"))
-        small = store(rest.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi").join(thin, "id"), "rest")
-        x, y = small.alias("x"), small.alias("y")
-        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.id") < F.col("y.id"))
-        left = x.join(y, across & plausible(percent, "x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = store(left.join(done, ["a", "b"], "left_anti"), "pairs")
-        large = store(rest.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi"), "rest")
-        more = confirm(left, documents, words, percent)
-        if not large.isEmpty():
-            more = more.unionByName(_across_blocks(large, documents, words, percent))
-        joined = _join_on(joined, more)
-        forget(small, large)
-    named = classes.select("f1", "f2", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
+        links = _across_blocks(rest, corpus)
+        joined = _join_on(joined, links)
+        forget(links)
+    forget(members, pivots, tried, rest)
+
+    named = classes.select("f1", "f2", "id", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("r")
+    least = named.groupBy("component").agg(best).select("component", F.col("r.id").alias("least"), F.col("r.node").alias("stays"))
+    named = store(named.join(least, "component").select("f1", "f2", F.col("stays").alias("component"), "least"), "named")
+    forget(joined)
+    return signed.select("node", "id", "row", "n", "f1", "f2"), named
+
+
+def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``df``: id, ``n_shingles``, ``component_id`` and ``kept``."""
+    signed, named = _classes(df, text, id, words, percent)
     own = signed.select("id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     out = own.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    forget(members, pivots)
-    return out.withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col(f"`{id}`").eqNullSafe(F.col("component_id")))
 
 
-def _across_blocks(rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b), stored: links across components among documents of large buckets (key, id, label).
+def deduplicate(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` that stay: of each component one, that of the smallest id, and every row without shingles.
 
-    Documents that buckets connect form a group; it is dealt into blocks of ``BLOCK``, two blocks meet in a task, and
-    a product of their incidence matrices has all their intersections at once, so pairs are never rows.
+    Of rows that are equal in every column one stays too. Rows that only share an id are told apart by their contents.
+    """
+    signed, named = _classes(df, text, id, words, percent)
+    rows = signed.join(named.select("f1", "f2", "component"), ["f1", "f2"], "left")
+    stays = (F.col("n") == 0) | (F.col("node") == F.col("component"))
+    # a row's contents are its key; one of several equal rows is enough to keep the contents
+    known = rows.groupBy("row", "id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n"))
+    marked = store(known.where("not stays or n > 1").select("row", F.coalesce("id", F.lit(-1)).alias("id"), "stays"), "marked")
+    few = F.broadcast if marked.count() <= BROADCAST_IDS else lambda t: t
+    row, own = unused(df, "_lm_row"), unused(df, "_lm_id")
+    tagged = df.withColumns({row: row_hash(df), own: F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(-1))})
+    keys = lambda t: few(t.select(F.col("row").alias(row), F.col("id").alias(own)))
+    once = tagged.join(keys(marked), [row, own], "left_anti")
+    again = tagged.join(keys(marked.where("stays")), [row, own], "left_semi").dropDuplicates([row, own])
+    columns = [f"`{c}`" for c in df.columns]
+    return once.select(*columns).unionByName(again.select(*columns))
+
+
+def _across_blocks(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """(a, b), stored: links across components among documents of buckets (key, node, label).
+
+    Documents that buckets connect form a group, which is dealt into blocks of about ``BLOCK`` documents and
+    ``BLOCK_SHINGLES`` shingles. Two blocks meet in a task: pairs of other components that share a bucket and whose
+    sizes and signatures allow it have their full sets compared. Of a task's links one for each pair of components
+    leaves it, so pairs are never rows. A group of several blocks costs a copy of each set for each block.
     """
-    firsts = rows.groupBy("key").agg(F.min("id").alias("first"))
-    groups = components(rows.select("key", "id").join(firsts, "key").select("id", "first").distinct(), "id", "first")
-    grouped = rows.select("id", "label").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
-    blocks = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = store(grouped.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "placed")
-    few = placed.count() <= BROADCAST_IDS
-    ids = placed.select("id")
-    sets = _hash_sets(documents.join(F.broadcast(ids) if few else ids, "id", "left_semi"), words).dropDuplicates(["id"])
-    dealt = placed.join(store(sets, "sets"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "hashes", (F.col("own") > F.col("other")).alias("side"))
+    firsts = rows.groupBy("key").agg(F.min("node").alias("first"))
+    groups = components(rows.select("key", "node").join(firsts, "key").select("node", "first").distinct(), "node", "first")
+    keyed = rows.groupBy("node", "label").agg(F.collect_set("key").alias("keys"))  # BANDS at most
+    grouped = keyed.join(groups.select("node", F.col("component").alias("group")), "node").join(corpus.thin.select("node", "n", "sig"), "node")
+    grouped = store(grouped, "grouped")
+    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = grouped.groupBy("group").agg(many.alias("blocks"))
+    placed = grouped.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = corpus.sets(store(grouped.select("node"), "nodes"))
+    dealt = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "keys", "sig", "hashes", (F.col("own") > F.col("other")).alias("side"))
+    percent = corpus.percent
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
+        nodes, label = t.column("node").to_numpy(), t.column("label").to_numpy()
         side = np.array(t.column("side").to_pylist(), bool)
-        parts = [x.values.to_numpy() for x in t.column("hashes")]
-        n = np.array([len(x) for x in parts])
-        _, number, seen = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(n)), n)
-        shared = seen[number] > 1
-        row, number = row[shared], number[shared]
-        used, number = np.unique(number, return_inverse=True)
-        common = np.zeros((len(n), len(n)), np.float32)
-        for at in range(0, len(used), COLUMNS):
-            here = (number >= at) & (number < at + COLUMNS)
-            there = np.zeros((len(n), min(COLUMNS, len(used) - at)), np.float32)
-            there[row[here], number[here] - at] = 1
-            common += there @ there.T
-        common = common.astype(np.int64)
-        linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :])
-        if side.any() and not side.all():
-            linked &= side[:, None] != side[None, :]
-        a, b = np.nonzero(np.triu(linked))
+        lists = lambda c: [x.values.to_numpy() for x in t.column(c)]
+        a, b = candidates(label, side, lists("keys"), np.stack(lists("sig")).view(np.uint64), np.array([len(x.values) for x in t.column("hashes")]), percent)
+        if len(a):
+            common = intersections(lists("hashes"), a, b)
+            n = np.array([len(x.values) for x in t.column("hashes")])
+            linked = 100 * common >= percent * (n[a] + n[b] - common)
+            a, b = a[linked], b[linked]
         if len(a):  # one link for each pair of components
             _, first = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])]), axis=1, return_index=True)
             a, b = a[first], b[first]
-        return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
-
-    return store(dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+        return pa.table([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["a", "b"])
+
+    links = store(dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    forget(grouped, sets)
+    return links
+
+
+def candidates(label: np.ndarray, side: np.ndarray, keys: list[np.ndarray], sig: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a < b) of other labels, across sides if there are two, that share a key and are plausible."""
+    rows = len(n)
+    _, number, seen = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(rows), [len(k) for k in keys])
+    used = seen[number] > 1
+    owner, number = owner[used], np.unique(number[used], return_inverse=True)[1]
+    meets = np.zeros((rows, rows), np.float32)
+    for at in range(0, int(number.max()) + 1 if len(number) else 0, COLUMNS):
+        here = (number >= at) & (number < at + COLUMNS)
+        there = np.zeros((rows, min(COLUMNS, int(number.max()) + 1 - at)), np.float32)
+        there[owner[here], number[here] - at] = 1
+        meets += there @ there.T
+    ok = (meets > 0) & (label[:, None] != label[None, :])
+    if side.any() and not side.all():
+        ok &= side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu(ok, 1))
+    sizes = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+    a, b = a[sizes], b[sizes]
+    least = percent / 100 - SLACK
+    kept = [np.flatnonzero(lane_estimate(sig[a[at : at + 100_000]], sig[b[at : at + 100_000]]) >= least) + at for at in range(0, len(a), 100_000)]
+    kept = np.concatenate([*kept, np.zeros(0, int)]).astype(int)
+    return a[kept], b[kept]
+
+
+def lane_estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``estimate`` of rows of packed signatures."""
+    differ = x ^ y
+    for s in range(1, BITS):
+        differ = differ | ((x ^ y) >> np.uint64(s))
+    lows = np.uint64(sum(1 << (BITS * i) for i in range(LANES)))
+    equal = BANDS * ROWS - np.bitwise_count(differ & lows).sum(axis=1, dtype=np.int64)
+    chance = 2.0**-BITS
+    return (equal / (BANDS * ROWS) - chance) / (1 - chance)
+
+
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets of each pair of rows."""
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = np.array([len(sets[i]) for i in used])
+    _, number, seen = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), n)
+    shared = seen[number] > 1
+    row, number = row[shared], number[shared]
+    _, number = np.unique(number, return_inverse=True)
+    common = np.zeros((len(used), len(used)), np.float32)
+    for at in range(0, int(number.max()) + 1 if len(number) else 0, COLUMNS):
+        here = (number >= at) & (number < at + COLUMNS)
+        there = np.zeros((len(used), min(COLUMNS, int(number.max()) + 1 - at)), np.float32)
+        there[row[here], number[here] - at] = 1
+        common += there @ there.T
+    return common[place[: len(a)], place[len(a) :]].astype(np.int64)
 
 
 def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, id, label), stored: the members of buckets that hold several components."""
-    label = F.coalesce("component", "id").alias("label")
-    labelled = members.select("key", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
+    """(key, node, label), stored: the members of buckets that hold several components."""
+    label = F.coalesce("component", "node").alias("label")
+    labelled = members.select("key", "node").join(joined, "node", "left").select("key", "node", label)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     return store(labelled.join(mixed, "key", "left_semi"), "mixed")
 
@@ -366,11 +465,12 @@ def _join_on(joined: DataFrame, links: DataFrame) -> DataFrame:
 
 def _allowed(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that sizes and signatures allow."""
-    x = thin.select(F.col("id").alias("a"), F.struct("n", "sig").alias("x"))
-    y = thin.select(F.col("id").alias("b"), F.struct("n", "sig").alias("y"))
+    x = thin.select(F.col("node").alias("a"), F.struct("n", "sig").alias("x"))
+    y = thin.select(F.col("node").alias("b"), F.struct("n", "sig").alias("y"))
     return pairs.join(y, "b").join(x, "a").where(plausible(percent, "x", "y")).select("a", "b")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents, on shingles of four words."""
+    bounded_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgraph.llm.common import small_batches, store, table
+from loamgraph.llm.common import bounded_batches, store, table
 
 CAPACITY = 1024
 END = 2
@@ -260,8 +260,8 @@ def checksums(ids: pa.Array) -> pa.Array:
 
 def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack all of ``df``; one row per piece, with its ids, their checksum and its place."""
-    with small_batches(df.sparkSession):
-        pieces = store(tokenize(df, text, id, capacity), "pieces")
+    bounded_batches(df.sparkSession)
+    pieces = store(tokenize(df, text, id, capacity), "pieces")
     return pack(pieces, id, capacity)
 
 

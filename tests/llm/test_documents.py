@@ -77,7 +77,66 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
     got = minhash.near_duplicates(docs_of(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f")])).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(False, 2, 2, True), (False, 2, 2, True), (False, 3, 2, False)]
-    assert [r.component_id for r in got if r.doc_id is None] == [None]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(2, False)]
+    # rows that share an id and differ in text are documents of their own
+    got = minhash.near_duplicates(docs_of(spark, [(1, "a b c d e f"), (1, "u v w x y z"), (0, "u v w x y z"), (None, "k l m n o p")])).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == [(0, 0, True), (1, 0, False), (1, 1, True), (None, None, True)]
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark, texts):
+    rows = [*texts, *texts[3:6], (3, "another text that shares the id of a copy"), (None, texts[3][1]), (None, "a text of its own without any id"), (None, None), (1, "")]
+    df = docs_of(spark, rows).withColumn("_lm_row", F.lit(1)).withColumn("row", F.lit("x"))
+    got = minhash.deduplicate(df).collect()
+    sets = shingle_sets(list(enumerate(t for _, t in rows)), 5)
+    component = brute_components(sets)
+    want = {(i, t) for i, t in rows if not (t or "").split()}
+    for c in {component[k] for k in sets if sets[k]}:
+        members = [rows[k] for k in sets if sets[k] and component[k] == c]
+        least = min(members, key=lambda r: (r[0] is None, r[0]))[0]
+        kept = [(r.doc_id, r.text) for r in got if (r.doc_id, r.text) in members]
+        assert len(kept) == 1 and kept[0][0] == least
+        want.add(kept[0])
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r._lm_row == 1 and r.row == "x" and r.label == 1 for r in got)
+
+
+def test_large_mixed_buckets_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, n = [], 0
+    for family in range(2):  # members share most of a text, so buckets are large, and hold many components
+        base = rng.choices(vocabulary, k=120)
+        for _ in range(60):
+            w = base.copy()
+            at = rng.randrange(100)
+            w[at : at + 14] = rng.choices(vocabulary, k=14)
+            rows.append((n, " ".join(w)))
+            n += 1
+            if rng.random() < 0.4:
+                w[rng.randrange(120)] = "edited"
+                rows.append((n, " ".join(w)))
+                n += 1
+    want = brute_components(shingle_sets(rows, 5))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == want and 10 < len(set(want.values())) < len(rows)
+
+
+def test_blocks_find_what_pairs_find():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - k], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in range(0, 160, 8)]
+    mins = minhash.minima(sets)
+    sig, bands = minhash.packed_bits(mins).view(np.uint64), minhash.band_keys(mins)
+    n = np.array([len(x) for x in sets])
+    a, b = minhash.candidates(np.arange(len(sets)) // 2, np.zeros(len(sets), bool), list(bands), sig, n, 80)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            likely = minhash.lane_estimate(sig[[i]], sig[[j]])[0] >= 0.8 - minhash.SLACK
+            assert ((i, j) in found) == bool(i // 2 != j // 2 and likely and (bands[i] == bands[j]).any() and min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 80)
+    common = minhash.intersections([s.view(np.int64) for s in sets], a, b)
+    assert common.tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
 
 
 def test_estimate_follows_similarity(spark):
