@@ -1,13 +1,14 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
 
 1. ``toxicity``: documents that the classifier chain rejects go.
-2. ``near_duplicates``: of each group of near-duplicates (shingles of five words, similarity 0.8) the one with the
-   smallest id stays; rows without an id stay.
+2. ``near_duplicates``: of each group of near-duplicates (shingles of five words, similarity 0.8) one row stays, that
+   of the smallest id. Rows are told apart by their contents: rows that share an id and differ in text are documents
+   of their own, rows without an id take part too.
 3. ``secrets``: found secrets are replaced by a mark; texts without any stay as they are. ``n_chars`` follows.
 4. ``packing``: what is left is tokenized and packed into sequences of 1024 tokens; one row per piece.
 
-Nulls, empty texts, repeated rows and empty tables are handled as the operators state. Rows that repeat an id in
-stage 2 are the same document, of which one row stays.
+Nulls, empty texts, repeated rows, very long texts and empty tables are handled as the operators state. Of rows that
+are equal in every column one stays after stage 2. Further columns travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,32 +16,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import store, table
-from loamgraph.llm.minhash import near_duplicates
+from loamgraph.llm.common import bounded_batches, store, table, unused
+from loamgraph.llm.minhash import deduplicate
 from loamgraph.llm.packing import pack_documents
 from loamgraph.llm.secrets import redact_secrets
 from loamgraph.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(unnamed)
+    bounded_batches(spark)
+    return deduplicate(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = redact_secrets(docs.withColumn("_before", F.char_length("text")))
-    now = F.char_length("text")
-    changed = F.when(now != F.col("_before"), now.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    bounded_batches(spark)
+    before, now = unused(docs, "_before"), F.char_length("text")
+    clean = redact_secrets(docs.withColumn(before, now))
+    changed = F.when(now != F.col(before), now.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return pack_documents(docs)
 
 
