@@ -9,8 +9,8 @@ from loamgraph.plans.storage import forget, new_path, shared_dir, store, table
 
 __all__ = ["bounded_batches", "forget", "new_path", "row_hash", "shared_dir", "store", "table", "unused"]
 
-BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -19,10 +19,11 @@ def bounded_batches(spark: SparkSession) -> None:
     Spark reads these settings when a job is planned, which for a returned frame is after its operator is done, so they
     stay. Smaller settings of the user's hold.
     """
-    for key, most in (BATCH_ROWS, BATCH_BYTES):
-        now = int(spark.conf.get(key, "0") or 0)
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def row_hash(df: DataFrame) -> Column:
