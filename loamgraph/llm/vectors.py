@@ -16,10 +16,13 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.forall(x, finite) & F.exists(x, lambda c: c != 0), F.lit(False))
 
 
-def dimension(df: DataFrame, vector: str) -> int:
-    """The most frequent length of usable vectors (the larger on a tie); 0 if there is none."""
-    sizes = df.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return sizes[0] if sizes else 0
+def lengths(df: DataFrame, vector: str) -> list[int]:
+    """The lengths that the vectors of ``df`` have, the most frequent first.
+
+    Vectors are compared with those of their own length alone, one length after another; the driver gets a row a length.
+    """
+    sizes = df.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d"))
+    return [r["d"] for r in sizes.collect()]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,9 +42,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if x.size else x
 
 
-def cosine_row(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines of one unit vector with unit rows, summed in the same order for each, so equal rows get equal values."""
-    return (q[None, :] * rows).sum(axis=1)
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows, pair by pair, summed in the same order for each, so equal rows get equal values."""
+    return (x * y).sum(axis=1)
 
 
 def bounded_sample(df: DataFrame, id: str, vector: str, limit: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
