@@ -2,26 +2,28 @@
 
 P(text) is the product over its tokens (words, then one end) of P(class | class before) P(word | class). Every word
 of the training texts has one of ``k`` classes, where ``k`` is the cube root of their number, ``CLASSES`` at least
-and ``MOST_CLASSES`` at most. Words of at least one in ``RARE`` training tokens, ``RARE`` at most by that definition,
-are *common*: exchange clustering deals them to the classes. All others are then placed, each in the class that makes
-its contexts in the training texts most likely. Unseen words are in one class of their own; the end is another, and
-the context before the first word.
+and ``MOST_CLASSES`` at most. The ``COMMON`` most frequent words (ties by hash) are *common*: exchange clustering deals
+them to the classes. All others are then placed, each in the class that makes its contexts in the training texts most
+likely. Unseen words are in one class of their own; the end is another, and the context before the first word.
 
-Exchange: common words start in classes by turns of falling count. A pass over all training texts counts how often
+Exchange: common words start in classes by turns of falling count. A pass over the training texts counts how often
 each common word follows and precedes each class; then each in turn moves to the class that raises the likelihood of
-the class bigrams most, against counts that follow every move. ``ROUNDS`` such passes are made, and one more counts
-transitions between the classes, all words not common being in one. Placing (``place``) compares the classes by those
-transitions, so it is one job whatever the number of words; a last count takes transitions between the final classes.
+the class bigrams most, against counts that follow every move. Passes go on until one has raised the log-likelihood by less than
+``STILL`` nats a token, or for ``ROUNDS`` passes. Placing (``place``) compares the classes by transitions in
+which all words not common are one class, so it is one job whatever the number of words; a last count takes transitions
+between the final classes.
 
-The counts and classes of words are exact over the whole corpus and live in a distributed table; a worker holds the
-common words alone. All other words of the texts meet their classes in a join.
+Texts are split twice: once to count words, once to be written as codes (the numbers of common words, and the hashes
+of the others in order), which all later passes read. The counts and classes of words are exact over the whole corpus
+and live in a distributed table; a worker holds the common words and their ``COMMON * 2 * (k + 2)`` context counts, the
+driver the same. All other words of the texts meet their classes in a join.
 
 Smoothing: transitions add ``ADD_CLASS``; words have their share of their class, and one unseen word has all of the
-class of unseen ones, so probabilities sum to 1. In a model without ``place`` (``fit`` alone) words not common share
-the class of unseen ones, where each has (c + 0.1) / (N + 0.1 (V + 1)).
+class of unseen ones, so probabilities sum to 1.
 
 Defined results: a null text is empty, one end token; a null id counts as an empty one and so is held out; rows that
-repeat are scored, and learnt from, each; with an empty table the result is empty. Texts are taken whole.
+repeat are scored, and learnt from, each; with an empty table the result is empty; of equally good classes a word takes
+the first; further columns are not looked at, whatever their names. Texts are taken whole, at any length.
 """
 
 from __future__ import annotations
@@ -38,17 +40,18 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm.common import bounded_batches, forget, store, table
 from loamgraph.llm.minhash import Shingler, slices
-from loamgraph.llm.vectors import matrix
 
-RARE = 200_000
+COMMON = 20_000
 CLASSES = 32
 MOST_CLASSES = 250  # so that a class, the two special ones and OPEN fit a byte
 OPEN = 255  # in a row of classes, a word whose class comes from the join
-ROUNDS = 2
+ROUNDS = 8
+STILL = 0.005
 ADD = 0.1
 ADD_CLASS = 0.5
 FOLDS = 10
 FLUSH = 1_000_000  # words counted in memory before they are sent on
+END, RARE = -2, -1  # codes of tokens that are no common words
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -82,14 +85,14 @@ def word_counts(df: DataFrame, text: str, id: str) -> DataFrame:
                     parts, held, texts_seen = [], 0, 0
         yield flush()
 
-    return df.select(id, text).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return df.select(f"`{id}`", f"`{text}`").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Model:
     """Common words (sorted hashes, counts, classes), class sizes and log10 transitions.
 
-    Class ``k`` holds the words that are in no other and ``k + 1`` the end.
+    Class ``k`` holds unseen words and ``k + 1`` the end.
     """
 
     common: np.ndarray
@@ -98,85 +101,97 @@ class Model:
     tokens: int  # N
     distinct: int  # V
     texts: int
-    k: int = CLASSES
-    transitions: np.ndarray | None = None
-    pairs: np.ndarray | None = None  # counts behind the transitions, smoothed
+    k: int
+    pairs: np.ndarray | None = None  # counts of class pairs in which words not common are class ``k``, smoothed
     sizes: np.ndarray | None = None  # training tokens of each of the ``k`` classes
-    placed_tokens: int = 0
-    placed_distinct: int = 0
-
-    @property
-    def rare_tokens(self) -> int:
-        return self.tokens - self.texts - int(self.counts.sum()) - self.placed_tokens
-
-    @property
-    def rare_distinct(self) -> int:
-        return self.distinct - bool(self.texts) - len(self.common) - self.placed_distinct
+    transitions: np.ndarray | None = None
+    rounds: int = 0
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """The number of each common word, or -1."""
+        """The number of each common word, or ``RARE``."""
         if not len(self.common):
-            return np.full(len(words), -1)
+            return np.full(len(words), RARE)
         at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
-        return np.where(self.common[at] == words, at, -1)
+        return np.where(self.common[at] == words, at, RARE)
 
-    def class_of(self, found: np.ndarray) -> np.ndarray:
-        return np.where(found >= 0, self.classes[found] if len(self.classes) else self.k, self.k)
+    def class_of(self, codes: np.ndarray) -> np.ndarray:
+        """The class of each code; words not common are class ``k``."""
+        return np.concatenate([self.classes, [self.k + 1, self.k]]).astype(np.int64)[codes]  # codes below 0 count from the end
 
 
-def sequences(model: Model, words: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each common word or -1 or -2 for an end, class, text) of all tokens of some texts in order."""
-    ends = np.searchsorted(owner, np.arange(texts), "right")
-    found = np.insert(model.find(words), ends, -2)
-    classes = np.where(found == -2, model.k + 1, model.class_of(np.maximum(found, -1)))
-    return found, classes, np.insert(owner, ends, np.arange(texts))
-
+def word_model(counts: DataFrame) -> Model:
+    """The model of such a table of word counts before clustering; the driver gets ``COMMON`` rows."""
+    total = counts.agg(F.sum(F.when(F.col("h").isNull(), F.col("c"))), F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.count("h")).first()
+    texts, words, distinct = (int(x or 0) for x in total)
+    common = counts.where("h is not null").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h = common.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    k = min(MOST_CLASSES, max(CLASSES, round(distinct ** (1 / 3))))
+    model = Model(h[order], common.column(1).to_numpy()[order], np.zeros(len(h), np.int64), words + texts, distinct + bool(texts), texts, k)
+    model.classes[np.argsort(-model.counts, kind="stable")] = np.arange(len(h)) % k
+    return model
 
-def _training(df: DataFrame, text: str, id: str, model: Model, contexts: bool) -> np.ndarray:
-    """Counts over the training texts: with ``contexts`` of (common word, class before | class after), else of
-    (class before, class)."""
-    k = model.k + 2
-    height, width = (len(model.common), 2 * k) if contexts else (k, k)
 
-    def emit(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = np.flatnonzero(counts.any(axis=1))
-        for at in range(0, len(rows), 1000):
-            part = rows[at : at + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(counts[part].astype(np.int64)), pa.list_(pa.int64()))], names=["row", "counts"])
+def coded(df: DataFrame, model: Model, text: str, id: str) -> DataFrame:
+    """The stored table (row, id, held_out, codes, rare) of ``df``: a 32-bit code for each token, and the hashes of the
+    words not common, both in order."""
+    kind = df.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
-        counts = np.zeros((height, width), np.int32)  # of one task
-        flat = counts.reshape(-1)
         for b in batches:
             out = held_out(b.column(0))
             for first, texts in slices(b.column(1)):
-                texts = [t for t, o in zip(texts, out[first:], strict=False) if not o]
-                if not texts:
-                    continue
-                found, classes, _ = sequences(model, *shingler.words_of(texts), len(texts))
-                before = np.concatenate([[k - 1], classes[:-1]])
-                if contexts:
-                    there = np.flatnonzero(found >= 0)
-                    np.add.at(flat, found[there] * 2 * k + before[there], 1)
-                    np.add.at(flat, found[there] * 2 * k + k + classes[there + 1], 1)
-                else:
-                    np.add.at(flat, before * k + classes, 1)
-        yield from emit(counts)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((height, width), np.int64)
+                n = len(texts)
+                words, owner = shingler.words_of(texts)
+                found = model.find(words)
+                ends = np.searchsorted(owner, np.arange(n), "right")
+                codes = np.insert(found, ends, END).astype("<i4")
+                lengths = np.diff(np.concatenate([[0], ends])) + 1
+                rare = found == RARE
+                cuts = np.searchsorted(owner[rare], np.arange(n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(words[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(out[first : first + n]), binaries(codes.view(np.uint8), lengths * 4), lists], names=["id", "held_out", "codes", "rare"])
+
+    rows = df.select(f"`{id}`", f"`{text}`").mapInArrow(run, f"id {kind}, held_out boolean, codes binary, rare array<bigint>")
+    return store(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "codes")
+
+
+def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All codes of a column of them, and the number of each row's."""
+    data, lengths = flat_bytes(column)
+    return np.frombuffer(data.tobytes(), "<i4"), lengths // 4
+
+
+def _training(codes: DataFrame, model: Model, contexts: bool) -> np.ndarray:
+    """Counts over the training rows of ``coded``: with ``contexts`` of (common word, class before | class after), else
+    of (class before, class)."""
+    k = model.k + 2
+    height, width = (len(model.common), 2 * k) if contexts else (k, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(height * width, np.int64)  # of one task
         for b in batches:
-            if b.num_rows:
-                np.add.at(counts, b.column(0).to_numpy(), matrix(b.column(1)).astype(np.int64))
-        yield from emit(counts)
+            found, _ = codes_of(b.column(0))
+            if not len(found):
+                continue
+            classes = model.class_of(found)
+            before = np.concatenate([[k - 1], classes[:-1]])  # a text follows the end of another
+            if contexts:
+                there = np.flatnonzero(found >= 0)
+                word = found[there].astype(np.int64) * width
+                np.add.at(counts, word + before[there], 1)
+                np.add.at(counts, word + k + classes[there + 1], 1)
+            else:
+                counts += np.bincount(before * k + classes, minlength=k * k)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(counts[at[i : i + 100_000]])], names=["cell", "c"])
 
-    schema = "row bigint, counts array<bigint>"
-    total = df.select(id, text).mapInArrow(run, schema).repartition("row").mapInArrow(add, schema).toArrow()
-    result = np.zeros((height, width))
-    if total.num_rows:
-        result[total.column(0).to_numpy()] = matrix(total.column(1))
-    return result
+    total = codes.where("not held_out").select("codes").mapInArrow(run, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    result = np.zeros(height * width)
+    result[total.column(0).to_numpy()] = total.column(1).to_numpy()
+    return result.reshape(height, width)
 
 
 def exchange(classes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
@@ -207,31 +222,29 @@ def exchange(classes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, bigr
     return classes
 
 
-def fit(df: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of the common words, and the stored table (h, c) of all training words' counts."""
-    counts = store(word_counts(df, text, id), "words")
-    total = counts.agg(F.sum(F.when(F.col("h").isNull(), F.col("c"))), F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.count("h")).first()
-    texts, words, distinct = (int(x or 0) for x in total)
-    least = max(1, math.ceil((words + texts) / RARE))
-    common = counts.where(F.col("h").isNotNull() & (F.col("c") >= least)).toArrow()  # RARE rows at most
-    h = common.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    number = min(MOST_CLASSES, max(CLASSES, round(distinct ** (1 / 3))))
-    model = Model(h[order], common.column(1).to_numpy()[order], np.zeros(len(h), np.int64), words + texts, distinct + bool(texts), texts, number)
-    model.classes[np.argsort(-model.counts, kind="stable")] = np.arange(len(h)) % number
-    for _ in range(rounds):
-        contexts = _training(df, text, id, model, True)
-        k = number + 2
+def likelihood(bigrams: np.ndarray) -> float:
+    """The log-likelihood of class pairs, less what does not depend on the classes."""
+    g = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return float(g(bigrams) - g(bigrams.sum(axis=0)) - g(bigrams.sum(axis=1)))
+
+
+def cluster(codes: DataFrame, model: Model) -> None:
+    """Give the common words of ``model`` their classes, and take the transitions between them."""
+    k = model.k + 2
+    before = -math.inf
+    for model.rounds in range(ROUNDS):
+        contexts = _training(codes, model, True)
         bigrams = np.zeros((k, k))
         np.add.at(bigrams, model.classes, contexts[:, k:])
-        for special in (number, number + 1):  # pairs of one common word, counted from its side
-            bigrams[special, :number] = np.bincount(model.classes, contexts[:, special], number)[:number]
+        for special in (k - 2, k - 1):  # pairs of one common word, counted from its side
+            bigrams[special, : model.k] = np.bincount(model.classes, contexts[:, special], model.k)[: model.k]
+        now = likelihood(bigrams)
+        if now - before < STILL * model.tokens:
+            break
+        before = now
         model.classes = exchange(model.classes, model.counts, contexts, bigrams)
-    pairs = _training(df, text, id, model, False) + ADD_CLASS
-    model.transitions = np.log10(pairs / pairs.sum(axis=1, keepdims=True))
-    model.sizes = np.bincount(model.classes, model.counts, number)
-    model.pairs = pairs
-    return model, counts
+    model.pairs = _training(codes, model, False) + ADD_CLASS
+    model.sizes = np.bincount(model.classes, model.counts, model.k)
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -249,16 +262,16 @@ def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def place(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The stored table (h, c, class) of all training words that are not common; ``model`` takes up their numbers.
+def place(codes: DataFrame, model: Model) -> DataFrame:
+    """The stored table (h, c, class) of all training words that are not common; ``model.sizes`` takes them up.
 
     Each goes to the class in which its classes before and after are most likely by the model's transitions, whose
-    class ``k`` stands for a neighbour that is not common either. On a tie the first class wins.
+    class ``k`` stands for a neighbour that is not common either. On a tie the first class wins. A word's contexts run
+    through a task in order, so a word of any frequency needs one row of counts.
     """
     k = model.k + 2
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(1)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -267,23 +280,20 @@ def place(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -
             order = np.argsort(h, kind="stable")
             h, first = np.unique(h[order], return_index=True)
             lengths = np.diff(np.append(first, len(order))) * 2
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), binaries(around[order], lengths)], names=["h", "around"])
+            return pa.RecordBatch.from_arrays([pa.array(h), binaries(around[order], lengths)], names=["h", "around"])
 
         for b in batches:
-            out = held_out(b.column(0))
-            for first, texts in slices(b.column(1)):
-                texts = [t for t, o in zip(texts, out[first:], strict=False) if not o]
-                if not texts:
-                    continue
-                words, owner = shingler.words_of(texts)
-                found, classes, _ = sequences(model, words, owner, len(texts))
-                there = np.flatnonzero(found == -1)
-                before = np.concatenate([[k - 1], classes[:-1]])[there]
-                parts.append((words[model.find(words) < 0], np.stack([before, classes[there + 1]], axis=1).astype(np.uint8)))
-                held += len(there)
-                if held > FLUSH:
-                    yield flush()
-                    parts, held = [], 0
+            found, _ = codes_of(b.column(0))
+            if not len(found):
+                continue
+            classes = model.class_of(found)
+            there = np.flatnonzero(found == RARE)
+            before = np.concatenate([[k - 1], classes[:-1]])[there]
+            parts.append((b.column(1).flatten().to_numpy(), np.stack([before, classes[there + 1]], axis=1).astype(np.uint8)))
+            held += len(there)
+            if held > FLUSH:
+                yield flush()
+                parts, held = [], 0
         if held:
             yield flush()
 
@@ -291,87 +301,67 @@ def place(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -
     after_of = np.log(pairs / pairs.sum(axis=1, keepdims=True))[: model.k]  # (class, class after)
     before_of = np.log(pairs / pairs.sum(axis=0, keepdims=True))[:, : model.k]  # (class before, class)
 
+    def chosen(h: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        best = (after @ after_of.T + before @ before_of).argmax(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(before.sum(axis=1)), pa.array(best)], names=["h", "c", "class"])
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, np.zeros((2, 1, k), np.int64)  # the word whose rows may go on
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                n, lists = b.num_rows, b.column(1)
-                data, lengths = flat_bytes(lists.flatten())
-                word = np.repeat(np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lengths // 2)
+                h, which = np.unique(b.column(0).to_numpy(), return_inverse=True)  # rows come in order
+                data, lengths = flat_bytes(b.column(1))
+                word = np.repeat(which, lengths // 2)
                 around = data.reshape(-1, 2)
-                before, after = (np.bincount(word * k + around[:, i], minlength=n * k).reshape(n, k) for i in (0, 1))
-                best = (after @ after_of.T + before @ before_of).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before.sum(axis=1)), pa.array(best)], names=["h", "c", "class"])
-
-    around = df.select(id, text).mapInArrow(seen, "h bigint, around binary").repartition("h")
-    placed = store(around.groupBy("h").agg(F.collect_list("around").alias("around")).mapInArrow(choose, "h bigint, c bigint, class bigint"), "placed")
-    sizes = placed.groupBy("class").agg(F.sum("c"), F.count("*")).collect()  # at most one row a class
-    for number, tokens, distinct in sizes:
+                n = len(h)
+                counts = np.stack([np.bincount(word * k + around[:, i], minlength=n * k).reshape(n, k) for i in (0, 1)])
+                if last is not None and h[0] == last:
+                    counts[:, :1] += kept
+                elif last is not None:
+                    yield chosen(np.array([last]), *kept)
+                if n > 1:
+                    yield chosen(h[:-1], *counts[:, :-1])
+                last, kept = int(h[-1]), counts[:, -1:]
+        if last is not None:
+            yield chosen(np.array([last]), *kept)
+
+    around = codes.where("not held_out").select("codes", "rare").mapInArrow(seen, "h bigint, around binary")
+    ordered = around.repartition("h").sortWithinPartitions("h")
+    placed = store(ordered.mapInArrow(choose, "h bigint, c bigint, class bigint"), "placed")
+    for number, tokens in placed.groupBy("class").agg(F.sum("c")).collect():  # at most one row a class
         model.sizes[number] += tokens
-        model.placed_tokens += tokens
-        model.placed_distinct += distinct
     return placed
 
 
-def resolve(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The stored table of the rows of ``df``: id, ``held_out``, ``n``, ``known``, ``own`` and ``base`` (sums of the
-    logs of words' counts within classes and at all) and ``classes``, a byte for each token in order.
-
-    ``counts`` has all training words that are not common, and may have their classes.
-    """
-    base_of = np.log10(model.counts + ADD) if len(model.common) else np.zeros(1)
-    own_of = np.log10(model.counts) if len(model.common) else np.zeros(1)
-    end_base = math.log10(model.texts + ADD)
-    kind = df.schema[id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(1)
-        for b in batches:
-            out = held_out(b.column(1))
-            for first, texts in slices(b.column(2)):
-                n = len(texts)
-                words, owner = shingler.words_of(texts)
-                found, classes, text_of = sequences(model, words, owner, n)
-                is_common, is_end = found >= 0, found == -2
-                at = np.maximum(found, 0)
-                base = np.where(is_common, base_of[at], np.where(is_end, end_base, 0.0))
-                known = is_common | (is_end & (model.texts > 0))
-                sums = [np.bincount(text_of, x, n) for x in (np.where(is_common, own_of[at], 0.0), base)]
-                rare = model.find(words) < 0
-                h, who = words[rare], owner[rare]
-                cuts = np.searchsorted(who, np.arange(1, n))
-                lengths = np.bincount(text_of, minlength=n)
-                codes = binaries(np.where(found == -1, OPEN, classes).astype(np.uint8), lengths)
-                columns = [pa.array(out[first : first + n]), pa.array(lengths), pa.array(np.bincount(text_of, known, n).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), codes, pa.array(np.split(h.view(np.int64), cuts), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), *columns], names=["row", id, "held_out", "n", "known", "own", "base", "classes", "rare"])
-
-    rows = df.select(F.monotonically_increasing_id().alias("row"), id, text)
-    kept = f"`{id}` {kind}, held_out boolean, n bigint, known bigint, own double, base double, classes binary"
-    parts = store(rows.mapInArrow(run, f"row bigint, {kept}, rare array<bigint>"), "parts")
-    if "class" not in counts.columns:
-        counts = counts.withColumn("class", F.lit(None).cast("bigint"))
+def resolve(codes: DataFrame, model: Model, placed: DataFrame) -> DataFrame:
+    """The stored table of the rows of ``coded``: id, ``held_out``, ``n``, ``known``, ``own`` and ``base`` (sums of the
+    logs of words' counts, plain and smoothed) and ``classes``, a byte for each token in order."""
     smooth = F.log10(F.coalesce("c", F.lit(0)) + ADD)
-    words = parts.select("row", F.posexplode("rare").alias("at", "h")).join(counts.where("h is not null"), "h", "left")
-    words = words.select("row", F.col("c").isNotNull().cast("int").alias("there"), smooth.alias("smooth"), F.when(F.col("class").isNotNull(), F.log10("c")).otherwise(smooth).alias("log"), (F.col("at").cast("long") * 256 + F.coalesce("class", F.lit(model.k))).alias("code"))
-    met = words.groupBy("row").agg(F.sum("smooth").alias("logs"), F.sum("log").alias("owns"), F.sum("there").alias("seen"), F.collect_list("code").alias("codes"))
-    whole = parts.drop("rare").join(met, "row", "left")
-    more = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    whole = whole.select(id, "held_out", "n", more("known", "seen"), more("own", "owns"), more("base", "logs"), "classes", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
-
-    names = whole.columns[:7]
+    words = codes.select("row", F.posexplode("rare").alias("at", "h")).join(placed, "h", "left")
+    words = words.select("row", F.col("c").isNotNull().cast("int").alias("there"), smooth.alias("smooth"), F.coalesce(F.log10("c"), F.lit(0.0)).alias("log"), (F.col("at").cast("long") * 256 + F.coalesce("class", F.lit(model.k))).alias("code"))
+    met = words.groupBy("row").agg(F.sum("smooth").alias("logs"), F.sum("log").alias("owns"), F.sum("there").alias("seen"), F.collect_list("code").alias("rest"))
+    whole = codes.select("row", "id", "held_out", "codes").join(met, "row", "left")
+    whole = whole.select("id", "held_out", "codes", *[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in (("logs", "double"), ("owns", "double"), ("seen", "long"))], F.coalesce("rest", F.array().cast("array<bigint>")).alias("rest"))
+    # by code: RARE is the last, END the one before
+    own_of = np.concatenate([np.log10(np.maximum(model.counts, 1)), [0.0, 0.0]])
+    base_of = np.concatenate([np.log10(model.counts + ADD), [math.log10(model.texts + ADD), 0.0]])
+    known_of = np.concatenate([np.ones(len(model.common)), [float(model.texts > 0), 0.0]])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            classes, lengths = flat_bytes(b.column(6))
-            codes = b.column(7).flatten().to_numpy()
-            order = np.lexsort((codes, np.repeat(np.arange(b.num_rows), b.column(7).value_lengths().to_numpy())))
-            classes = classes.copy()
-            classes[classes == OPEN] = codes[order] & 255
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], binaries(classes, lengths)], names=names)
+            n = b.num_rows
+            found, lengths = codes_of(b.column(2))
+            text_of = np.repeat(np.arange(n), lengths)
+            known, own, base = (np.bincount(text_of, x[found], n) + b.column(c).to_numpy() for x, c in ((known_of, 5), (own_of, 4), (base_of, 3)))
+            rest = b.column(6).flatten().to_numpy()
+            order = np.lexsort((rest, np.repeat(np.arange(n), b.column(6).value_lengths().to_numpy())))
+            classes = model.class_of(found)
+            classes[found == RARE] = rest[order] & 255
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(own), pa.array(base), binaries(classes.astype(np.uint8), lengths)], names=["id", "held_out", "n", "known", "own", "base", "classes"])
 
-    tokens = store(whole.mapInArrow(fill, kept), "tokens")
-    forget(parts)
-    return tokens
+    kind = codes.schema["id"].dataType.simpleString()
+    return store(whole.mapInArrow(fill, f"id {kind}, held_out boolean, n bigint, known bigint, own double, base double, classes binary"), "tokens")
 
 
 def transitions(tokens: DataFrame, model: Model) -> np.ndarray:
@@ -394,12 +384,10 @@ def transitions(tokens: DataFrame, model: Model) -> np.ndarray:
     return np.log10(pairs / pairs.sum(axis=1, keepdims=True))
 
 
-def finish(tokens: DataFrame, model: Model) -> DataFrame:
-    """The scores of the rows of ``resolve``, as ``score`` gives them."""
-    id = tokens.columns[0]
+def finish(tokens: DataFrame, model: Model, id: str) -> DataFrame:
+    """The scores of the rows of ``resolve``."""
     k, steps = model.k + 2, model.transitions
-    rare_of = math.log10(model.rare_tokens + ADD * (model.rare_distinct + 1))
-    size_of = np.append(np.log10(np.maximum(model.sizes, 1)), [rare_of, 0.0])
+    size_of = np.append(np.log10(np.maximum(model.sizes, 1)), [0.0, 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -407,13 +395,13 @@ def finish(tokens: DataFrame, model: Model) -> DataFrame:
             before = np.concatenate([[k - 1], classes[:-1]])[: len(classes)].astype(np.int64)
             text_of = np.repeat(np.arange(b.num_rows), lengths)
             share = np.bincount(text_of, steps[before, classes] - size_of[classes], b.num_rows) + b.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), pa.array(share)], names=[id, "held_out", "n", "known", "base", "share"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), pa.array(share)], names=["id", "held_out", "n", "known", "base", "share"])
 
-    kind = tokens.schema[id].dataType.simpleString()
-    whole = tokens.mapInArrow(run, f"`{id}` {kind}, held_out boolean, n bigint, known bigint, base double, share double")
+    kind = tokens.schema["id"].dataType.simpleString()
+    whole = tokens.mapInArrow(run, f"id {kind}, held_out boolean, n bigint, known bigint, base double, share double")
     denominator = math.log10(model.tokens + ADD * (model.distinct + 1))
     return whole.select(
-        id,
+        F.col("id").alias(id),
         "held_out",
         F.col("n").alias("n_tokens"),
         F.col("known").alias("n_known"),
@@ -423,24 +411,22 @@ def finish(tokens: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row per row of ``df``: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
-    and ``score`` (log10)."""
-    return finish(resolve(df, model, counts, text, id), model)
-
-
 def class_scores(df: DataFrame, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, Model, DataFrame]:
-    """The scores of ``df`` by classes of all its training words, with the model and the table of placed words."""
-    model, counts = fit(df, text, id)
+    """One row per row of ``df``: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
+    ``score`` (log10), with the model and the table of placed words."""
+    counts = store(word_counts(df, text, id), "words")
+    model = word_model(counts)
+    codes = coded(df, model, text, id)
     forget(counts)
-    placed = place(df, model, text, id)
-    tokens = resolve(df, model, placed, text, id)
+    cluster(codes, model)
+    placed = place(codes, model)
+    tokens = resolve(codes, model, placed)
+    forget(codes)
     model.transitions = transitions(tokens, model)
-    return finish(tokens, model), model, placed
+    return finish(tokens, model, id), model, placed
 
 
 def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and class-model scores of all whole documents."""
-    documents = table(spark, sf_dir, "documents")
     bounded_batches(spark)
-    return class_scores(documents)[0]
+    return class_scores(table(spark, sf_dir, "documents"))[0]

@@ -313,69 +313,29 @@ def test_pieces(spark, texts):
         assert abs(total + unknown * s.unknown - best[-1]) < 1e-9
 
 
-def brute_brown(rows, model, counts):
-    """Scores token by token from the model's tables."""
-    number = {int(h): k for k, h in enumerate(model.common)}
-    sizes = np.bincount(model.classes, model.counts, brown.CLASSES)
-    shingler = minhash.Shingler(1)
-    out = {}
-    for i, t in rows:
-        before, total = brown.CLASSES + 1, 0.0
-        for h in shingler.words_of([(t or "").encode()])[0]:
-            k = number.get(int(h))
-            c = brown.CLASSES if k is None else model.classes[k]
-            total += model.transitions[before, c]
-            if k is None:
-                total += np.log10((counts.get(int(h), 0) + 0.1) / (model.rare_tokens + 0.1 * (model.rare_distinct + 1)))
-            else:
-                total += np.log10(model.counts[k] / sizes[c])
-            before = c
-        out[i] = total + model.transitions[before, brown.CLASSES + 1]
-    return out
-
-
 def test_brown(spark, texts, monkeypatch):
-    monkeypatch.setattr(brown, "RARE", 300)  # so that some words are rare
-    df = docs_of(spark, texts)
-    model, counts = brown.fit(df)
-    got = {r.doc_id: r for r in brown.score(df, model, counts).collect()}
-    train, words = collections.Counter(), {}
-    for i, t in texts:
-        words[i] = [*(t or "").encode().lower().split(), None]
-        if zlib.crc32(str(i).encode()) % 10:
-            train.update(words[i])
-    n, v = sum(train.values()), len(train)
-    table = {int(np.int64(r.h).view(np.uint64)): r.c for r in counts.where("h is not null").collect()}
-    exact = brute_brown(texts, model, table)
-    for i, w in words.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n)
-        assert r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
-        assert abs(r.base_score - sum(np.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6 * max(1, len(w))
-        assert abs(r.score - exact[i]) < 1e-6 * max(1, len(w))
-    assert np.allclose((10**model.transitions).sum(axis=1), 1)
-    empty, none = brown.fit(docs_of(spark, []))
-    assert brown.score(docs_of(spark, []), empty, none).count() == 0
-
-
-def test_brown_places_every_training_word(spark, texts, monkeypatch):
-    monkeypatch.setattr(brown, "RARE", 300)  # so that some words are rare
-    df = docs_of(spark, texts)
-    out, model, placed = brown.class_scores(df)
-    got = {r.doc_id: r for r in out.collect()}
+    monkeypatch.setattr(brown, "COMMON", 150)  # so that some words are not common
+    monkeypatch.setattr(brown, "FLUSH", 500)
+    texts = [*texts, texts[20], (None, texts[21][1]), (None, None)]
+    out, model, placed = brown.class_scores(docs_of(spark, texts))
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(r)
+    key = lambda i: "" if i is None else str(i)
     hashes = lambda t: [int(h) for h in minhash.Shingler(1).words_of([(t or "").encode()])[0]]
-    train, around = collections.Counter(), collections.defaultdict(list)
+    train, around, plain = collections.Counter(), collections.defaultdict(list), collections.Counter()
     known = dict(zip(map(int, model.common), model.classes, strict=True))
     for i, t in texts:
-        if zlib.crc32(str(i).encode()) % 10:
+        if zlib.crc32(key(i).encode()) % 10:
             row = hashes(t)
             train.update(row)
+            plain.update([*(t or "").encode().lower().split(), None])
             c = [model.k + 1, *(known.get(h, model.k) for h in row), model.k + 1]
             for at, h in enumerate(row, 1):
                 around[h].append((c[at - 1], c[at + 1]))
+    assert sorted(train.values())[-150] <= min(train[h] for h in known) and len(known) == 150
     table = {int(np.int64(r.h).view(np.uint64)): r for r in placed.collect()}
     assert len(table) > 20 and set(table) == set(train) - set(known)
-    assert model.rare_tokens == model.rare_distinct == 0
     after, before = (model.pairs / model.pairs.sum(axis=a, keepdims=True) for a in (1, 0))
     for h, r in table.items():
         gain = [sum(np.log(before[b, c]) + np.log(after[c, a]) for b, a in around[h]) for c in range(model.k)]
@@ -384,17 +344,37 @@ def test_brown_places_every_training_word(spark, texts, monkeypatch):
     sizes, k = collections.Counter(), model.k + 2
     for h, c in train.items():
         sizes[classes[h]] += c
-    pairs, rows = np.full((k, k), brown.ADD_CLASS), {}
+    assert [sizes[c] for c in range(model.k)] == list(model.sizes)
+    pairs, rows = np.full((k, k), brown.ADD_CLASS), []
     for i, t in texts:
-        rows[i] = [k - 1, *(classes.get(h, k - 2) for h in hashes(t)), k - 1]
-        if zlib.crc32(str(i).encode()) % 10:
-            np.add.at(pairs, (rows[i][:-1], rows[i][1:]), 1)
+        rows.append([k - 1, *(classes.get(h, k - 2) for h in hashes(t)), k - 1])
+        if zlib.crc32(key(i).encode()) % 10:
+            np.add.at(pairs, (rows[-1][:-1], rows[-1][1:]), 1)
     steps = np.log10(pairs / pairs.sum(axis=1, keepdims=True))
-    for i, t in texts:
-        own = sum(np.log10(train[h] / sizes[classes[h]]) if h in train else np.log10(0.1 / 0.1) for h in hashes(t))
-        want = own + steps[rows[i][:-1], rows[i][1:]].sum()
-        assert abs(got[i].score - want) < 1e-6 * max(1, len(rows[i]))
+    n, v = sum(plain.values()), len(plain)
+    want = collections.defaultdict(list)
+    for (i, t), row in zip(texts, rows, strict=True):
+        own = sum(np.log10(train[h] / sizes[classes[h]]) for h in hashes(t) if h in train)
+        w = [*(t or "").encode().lower().split(), None]
+        base = sum(np.log10((plain[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        want[i].append((own + steps[row[:-1], row[1:]].sum(), base, len(w), sum(plain[x] > 0 for x in w)))
+    for i, rows in want.items():
+        mine = sorted((r.score, r.base_score, r.n_tokens, r.n_known) for r in got[i])
+        assert len(mine) == len(rows)
+        for a, b in zip(mine, sorted(rows), strict=True):
+            assert a[2:] == b[2:] and abs(a[0] - b[0]) < 1e-6 * a[2] and abs(a[1] - b[1]) < 1e-6 * a[2]
+        assert all(r.train_tokens == n and r.held_out == (zlib.crc32(key(i).encode()) % 10 == 0) for r in got[i])
     assert brown.class_scores(docs_of(spark, []))[0].count() == 0
+    assert brown.class_scores(docs_of(spark, [(None, "a b"), (None, None)]))[0].count() == 2
+
+
+def test_classes_help_held_out_texts(spark):
+    rng = random.Random(12)
+    left, right = [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    rows = [(i, " ".join(w for _ in range(60) for w in (rng.choice(left), rng.choice(right)))) for i in range(200)]
+    out, model, _ = brown.class_scores(docs_of(spark, rows))
+    held = [r for r in out.collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held) and 1 <= model.rounds < brown.ROUNDS - 1
 
 
 def test_exchange_finds_alternation():
