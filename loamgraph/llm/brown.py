@@ -8,15 +8,16 @@ likely. Unseen words are in one class of their own; the end is another, and the
 
 Exchange: common words start in classes by turns of falling count. A pass over the training texts counts how often
 each common word follows and precedes each class; then each in turn moves to the class that raises the likelihood of
-the class bigrams most, against counts that follow every move. Passes go on until one has raised the log-likelihood by less than
-``STILL`` nats a token, or for ``ROUNDS`` passes. Placing (``place``) compares the classes by transitions in
+the class bigrams most, against counts that follow every move. All words of a pass move
+by contexts counted before it, so a pass may also lower the likelihood: passes go on until two have not raised the best
+log-likelihood by ``STILL`` nats a token, or for ``ROUNDS`` passes, and the best classes are taken. Placing (``place``) compares the classes by transitions in
 which all words not common are one class, so it is one job whatever the number of words; a last count takes transitions
 between the final classes.
 
-Texts are split twice: once to count words, once to be written as codes (the numbers of common words, and the hashes
-of the others in order), which all later passes read. The counts and classes of words are exact over the whole corpus
-and live in a distributed table; a worker holds the common words and their ``COMMON * 2 * (k + 2)`` context counts, the
-driver the same. All other words of the texts meet their classes in a join.
+Texts are split twice: once to count words, once to be written as codes, which all later passes read: the numbers of
+the ``HELD`` most frequent words, and the hashes of the others in order. The counts and classes of words are exact over
+the whole corpus and live in a distributed table; a worker knows the held words, and counts ``COMMON * 2 * (k + 2)``
+contexts; the driver gets as many. All other words of the texts meet their classes in a join.
 
 Smoothing: transitions add ``ADD_CLASS``; words have their share of their class, and one unseen word has all of the
 class of unseen ones, so probabilities sum to 1.
@@ -42,16 +43,17 @@ from loamgraph.llm.common import bounded_batches, forget, store, table
 from loamgraph.llm.minhash import Shingler, slices
 
 COMMON = 20_000
+HELD = 200_000
 CLASSES = 32
 MOST_CLASSES = 250  # so that a class, the two special ones and OPEN fit a byte
 OPEN = 255  # in a row of classes, a word whose class comes from the join
-ROUNDS = 8
-STILL = 0.005
+ROUNDS = 6
+STILL = 0.03
 ADD = 0.1
 ADD_CLASS = 0.5
 FOLDS = 10
-FLUSH = 1_000_000  # words counted in memory before they are sent on
-END, RARE = -2, -1  # codes of tokens that are no common words
+FLUSH = 3_000_000  # words counted in memory before they are sent on
+END, RARE = -2, -1  # codes of tokens that are no held words
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -90,14 +92,15 @@ def word_counts(df: DataFrame, text: str, id: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """Common words (sorted hashes, counts, classes), class sizes and log10 transitions.
+    """Held words (sorted hashes, counts, classes), class sizes and log10 transitions.
 
-    Class ``k`` holds unseen words and ``k + 1`` the end.
+    Class ``k`` holds unseen words, and until they are placed the words not common; ``k + 1`` is the end.
     """
 
-    common: np.ndarray
+    held: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
+    number: np.ndarray  # among the common words, or -1
     tokens: int  # N
     distinct: int  # V
     texts: int
@@ -108,28 +111,41 @@ class Model:
     rounds: int = 0
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """The number of each common word, or ``RARE``."""
-        if not len(self.common):
+        """The number of each held word, or ``RARE``."""
+        if not len(self.held):
             return np.full(len(words), RARE)
-        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
-        return np.where(self.common[at] == words, at, RARE)
+        at = np.minimum(np.searchsorted(self.held, words), len(self.held) - 1)
+        return np.where(self.held[at] == words, at, RARE)
 
     def class_of(self, codes: np.ndarray) -> np.ndarray:
-        """The class of each code; words not common are class ``k``."""
-        return np.concatenate([self.classes, [self.k + 1, self.k]]).astype(np.int64)[codes]  # codes below 0 count from the end
+        """The class of each code; words not held are class ``k``."""
+        return by_code(self.classes, self.k + 1, self.k)[codes]
+
+    @property
+    def common(self) -> np.ndarray:
+        """The places of the common words among the held ones, by their number."""
+        there = np.flatnonzero(self.number >= 0)
+        return there[np.argsort(self.number[there])]
+
+
+def by_code(held: np.ndarray, end: float, rare: float) -> np.ndarray:
+    """A table to look codes up in, of which those below 0 count from its end."""
+    return np.concatenate([held, [end, rare]]).astype(held.dtype)
 
 
 def word_model(counts: DataFrame) -> Model:
-    """The model of such a table of word counts before clustering; the driver gets ``COMMON`` rows."""
+    """The model of such a table of word counts before clustering; the driver gets ``HELD`` rows."""
     total = counts.agg(F.sum(F.when(F.col("h").isNull(), F.col("c"))), F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.count("h")).first()
     texts, words, distinct = (int(x or 0) for x in total)
-    common = counts.where("h is not null").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
-    h = common.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(h)
+    best = counts.where("h is not null").orderBy(F.desc("c"), "h").limit(HELD).toArrow()
+    h, c = best.column(0).to_numpy().view(np.uint64), best.column(1).to_numpy()
+    rank = np.lexsort((h.view(np.int64), -c))
+    h, c = h[rank], c[rank]
     k = min(MOST_CLASSES, max(CLASSES, round(distinct ** (1 / 3))))
-    model = Model(h[order], common.column(1).to_numpy()[order], np.zeros(len(h), np.int64), words + texts, distinct + bool(texts), texts, k)
-    model.classes[np.argsort(-model.counts, kind="stable")] = np.arange(len(h)) % k
-    return model
+    number = np.where(np.arange(len(h)) < COMMON, np.arange(len(h)), -1)
+    classes = np.where(number >= 0, number % k, k)
+    order = np.argsort(h)
+    return Model(h[order], c[order], classes[order], number[order], words + texts, distinct + bool(texts), texts, k)
 
 
 def coded(df: DataFrame, model: Model, text: str, id: str) -> DataFrame:
@@ -163,32 +179,65 @@ def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), "<i4"), lengths // 4
 
 
-def _training(codes: DataFrame, model: Model, contexts: bool) -> np.ndarray:
-    """Counts over the training rows of ``coded``: with ``contexts`` of (common word, class before | class after), else
-    of (class before, class)."""
+def class_pairs(codes: DataFrame, model: Model) -> np.ndarray:
+    """Counts of (class before, class) over the training rows of ``coded``."""
+    k = model.k + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(k * k, np.int64)
+        for b in batches:
+            classes = model.class_of(codes_of(b.column(0))[0])
+            if len(classes):
+                counts += np.bincount(np.concatenate([[k - 1], classes[:-1]]) * k + classes, minlength=k * k)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "c"])
+
+    total = codes.where("not held_out").select("codes").mapInArrow(run, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    result = np.zeros(k * k)
+    result[total.column(0).to_numpy()] = total.column(1).to_numpy()
+    return result.reshape(k, k)
+
+
+def contexts_of(codes: DataFrame, model: Model) -> np.ndarray:
+    """Counts of (common word, class before | class after) over the training rows of ``coded``.
+
+    A task's counts travel as packed numbers, a row a word.
+    """
     k = model.k + 2
-    height, width = (len(model.common), 2 * k) if contexts else (k, k)
+    height, width = min(COMMON, len(model.held)), 2 * k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(height * width, np.int64)  # of one task
+        counts = np.zeros(height * width, np.uint32)  # of one task
+        number = by_code(model.number, -1, -1)
         for b in batches:
             found, _ = codes_of(b.column(0))
             if not len(found):
                 continue
             classes = model.class_of(found)
             before = np.concatenate([[k - 1], classes[:-1]])  # a text follows the end of another
-            if contexts:
-                there = np.flatnonzero(found >= 0)
-                word = found[there].astype(np.int64) * width
-                np.add.at(counts, word + before[there], 1)
-                np.add.at(counts, word + k + classes[there + 1], 1)
-            else:
-                counts += np.bincount(before * k + classes, minlength=k * k)
+            word = number[found]
+            there = np.flatnonzero(word >= 0)
+            word = word[there] * width
+            np.add.at(counts, word + before[there], 1)
+            np.add.at(counts, word + k + classes[there + 1], 1)
+        at = np.flatnonzero(counts)
+        words, first = np.unique(at // width, return_index=True)
+        lengths = np.diff(np.append(first, len(at)))
+        place, count = binaries((at % width).astype("<u2").view(np.uint8), lengths * 2), binaries(counts[at].astype("<u4").view(np.uint8), lengths * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), place, count], names=["word", "place", "count"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(height * width, np.int64)
+        for b in batches:
+            place, lengths = flat_bytes(b.column(1))
+            count, _ = flat_bytes(b.column(2))
+            at = np.repeat(b.column(0).to_numpy() * width, lengths // 2) + np.frombuffer(place.tobytes(), "<u2")
+            np.add.at(counts, at, np.frombuffer(count.tobytes(), "<u4"))
         at = np.flatnonzero(counts)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(counts[at[i : i + 100_000]])], names=["cell", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["cell", "c"])
 
-    total = codes.where("not held_out").select("codes").mapInArrow(run, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    sent = codes.where("not held_out").select("codes").mapInArrow(run, "word bigint, place binary, count binary")
+    total = sent.repartition("word").mapInArrow(add, "cell bigint, c bigint").toArrow()
     result = np.zeros(height * width)
     result[total.column(0).to_numpy()] = total.column(1).to_numpy()
     return result.reshape(height, width)
@@ -230,21 +279,25 @@ def likelihood(bigrams: np.ndarray) -> float:
 
 def cluster(codes: DataFrame, model: Model) -> None:
     """Give the common words of ``model`` their classes, and take the transitions between them."""
-    k = model.k + 2
-    before = -math.inf
-    for model.rounds in range(ROUNDS):
-        contexts = _training(codes, model, True)
+    k, common = model.k + 2, model.common
+    counts = model.counts[common]
+    best, kept, stale = -math.inf, model.classes, 0
+    for model.rounds in range(ROUNDS + 1):
+        contexts, classes = contexts_of(codes, model), model.classes[common]
         bigrams = np.zeros((k, k))
-        np.add.at(bigrams, model.classes, contexts[:, k:])
+        np.add.at(bigrams, classes, contexts[:, k:])
         for special in (k - 2, k - 1):  # pairs of one common word, counted from its side
-            bigrams[special, : model.k] = np.bincount(model.classes, contexts[:, special], model.k)[: model.k]
+            bigrams[special, : model.k] = np.bincount(classes, contexts[:, special], model.k)[: model.k]
         now = likelihood(bigrams)
-        if now - before < STILL * model.tokens:
+        stale = 0 if now - best >= STILL * model.tokens else stale + 1
+        if now > best:
+            best, kept = now, model.classes.copy()
+        if stale == 2 or model.rounds == ROUNDS:
             break
-        before = now
-        model.classes = exchange(model.classes, model.counts, contexts, bigrams)
-    model.pairs = _training(codes, model, False) + ADD_CLASS
-    model.sizes = np.bincount(model.classes, model.counts, model.k)
+        model.classes[common] = exchange(classes, counts, contexts, bigrams)
+    model.classes = kept
+    model.pairs = class_pairs(codes, model) + ADD_CLASS
+    model.sizes = np.bincount(model.classes[common], counts, model.k)
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +316,8 @@ def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def place(codes: DataFrame, model: Model) -> DataFrame:
-    """The stored table (h, c, class) of all training words that are not common; ``model.sizes`` takes them up.
+    """The stored table (h, c, class) of all training words that are not common; ``model`` takes up their numbers, and
+    the classes of those it holds.
 
     Each goes to the class in which its classes before and after are most likely by the model's transitions, whose
     class ``k`` stands for a neighbour that is not common either. On a tie the first class wins. A word's contexts run
@@ -273,7 +327,8 @@ def place(codes: DataFrame, model: Model) -> DataFrame:
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        kept = 0
+        held, number = by_code(model.held.view(np.int64), 0, 0), by_code(model.number, 0, -1)
 
         def flush() -> pa.RecordBatch:
             h, around = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -287,14 +342,16 @@ def place(codes: DataFrame, model: Model) -> DataFrame:
             if not len(found):
                 continue
             classes = model.class_of(found)
-            there = np.flatnonzero(found == RARE)
+            there = np.flatnonzero(number[found] < 0)
             before = np.concatenate([[k - 1], classes[:-1]])[there]
-            parts.append((b.column(1).flatten().to_numpy(), np.stack([before, classes[there + 1]], axis=1).astype(np.uint8)))
-            held += len(there)
-            if held > FLUSH:
+            words = held[found[there]]
+            words[found[there] == RARE] = b.column(1).flatten().to_numpy()
+            parts.append((words, np.stack([before, classes[there + 1]], axis=1).astype(np.uint8)))
+            kept += len(there)
+            if kept > FLUSH:
                 yield flush()
-                parts, held = [], 0
-        if held:
+                parts, kept = [], 0
+        if kept:
             yield flush()
 
     pairs = model.pairs
@@ -331,6 +388,9 @@ def place(codes: DataFrame, model: Model) -> DataFrame:
     placed = store(ordered.mapInArrow(choose, "h bigint, c bigint, class bigint"), "placed")
     for number, tokens in placed.groupBy("class").agg(F.sum("c")).collect():  # at most one row a class
         model.sizes[number] += tokens
+    mine = codes.sparkSession.createDataFrame(pa.table({"h": model.held[model.number < 0].view(np.int64)}))
+    known = placed.join(F.broadcast(mine), "h").select("h", "class").toArrow()  # HELD rows at most
+    model.classes[model.find(known.column(0).to_numpy().view(np.uint64))] = known.column(1).to_numpy()
     return placed
 
 
@@ -343,10 +403,9 @@ def resolve(codes: DataFrame, model: Model, placed: DataFrame) -> DataFrame:
     met = words.groupBy("row").agg(F.sum("smooth").alias("logs"), F.sum("log").alias("owns"), F.sum("there").alias("seen"), F.collect_list("code").alias("rest"))
     whole = codes.select("row", "id", "held_out", "codes").join(met, "row", "left")
     whole = whole.select("id", "held_out", "codes", *[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in (("logs", "double"), ("owns", "double"), ("seen", "long"))], F.coalesce("rest", F.array().cast("array<bigint>")).alias("rest"))
-    # by code: RARE is the last, END the one before
-    own_of = np.concatenate([np.log10(np.maximum(model.counts, 1)), [0.0, 0.0]])
-    base_of = np.concatenate([np.log10(model.counts + ADD), [math.log10(model.texts + ADD), 0.0]])
-    known_of = np.concatenate([np.ones(len(model.common)), [float(model.texts > 0), 0.0]])
+    own_of = by_code(np.log10(np.maximum(model.counts, 1)), 0, 0)
+    base_of = by_code(np.log10(model.counts + ADD), math.log10(model.texts + ADD), 0)
+    known_of = by_code(np.ones(len(model.held)), model.texts > 0, 0)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
