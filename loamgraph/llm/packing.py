@@ -8,11 +8,14 @@ and so on); then, if a gap stays, its smallest document is taken out and the two
 fits the expanded gap most tightly take its place, if that is tighter. A pattern is used for as many sequences
 as the counts allow before the next one is made.
 
-Each piece then finds its sequence from its rank among pieces of its length. Ranks are taken in buckets of
-(length, hash), so one very common length or document never meets in one task.
-
-Defined results: a null text is an empty document, which is its end token alone; repeated rows are packed one
-by one; a null id is kept; an empty table gives an empty result.
+Each piece then finds its sequence from its rank among pieces of its length: the number of those in earlier parts of
+the table of pieces, and of those before it in its part. So ids are written once and never shuffled, and no length or
+document, however common, meets in one task.
+
+Defined results: a null text is an empty document, which is its end token alone; texts are taken whole, at any length;
+repeated rows are packed one by one; a null id is kept; of equally good lengths the longer one, and of equally tight
+pairs the more uneven one, is taken; an empty table gives an empty result; further columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,16 +25,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgraph.llm.common import bounded_batches, store, table
+from loamgraph.llm.common import bounded_batches, forget, store, table
 
 CAPACITY = 1024
 END = 2
-RANK_ROWS = 20_000  # pieces of one length ranked in one window partition, about
-CACHE_SIZE = 200_000  # chunks of text whose ids a worker remembers
+BROADCAST_FIRSTS = 1_000_000  # rows of 24 bytes; more are joined by a shuffle
+PART, NTH = "_lp_part", "_lp_nth"  # a piece's part of the table, and its place there among pieces of its length
+SEND = 1_000_000  # ids gathered before they are sent on
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,47 +44,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def cached_encoder(encode_many: Callable[[list[str]], list[list[int]]], size: int = CACHE_SIZE) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encode texts by their chunks, each a space and what follows up to the next space.
-
-    The byte-level pre-tokenizer never lets a token cross a space that stands between two other characters and is
-    followed by no white space, so a text's ids are its chunks' ids end to end. A text holding a run of white space
-    with a space before its last character is cut only where that rule holds. Known chunks are remembered.
-    """
-    import re
-
-    run = re.compile(r" \s")
-    cut = re.compile(r"(?<=\S)(?= \S)")
-    known: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str]] = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif run.search(t) or t[-1] == " ":
-                split.append(cut.split(t))
-            else:
-                chunks = t.split(" ")
-                first = [chunks[0]] if chunks[0] else []
-                split.append(first + [" " + c for c in chunks[1:]])
-        if len(known) > size:
-            known.clear()
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for c, ids in zip(part, encode_many(part), strict=True):
-                known[c] = np.array(ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[c] for c in chunks]), "<u4") for chunks in split]
-
-    return encode
-
-
-def byte_bpe_encoder(path: str | None = None, ranks_path: str | None = None) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of the byte-level BPE vocabulary at ``path`` (a ``tokenizers`` file), without special tokens.
+def byte_bpe_encoder(path: str | None = None, ranks_path: str | None = None, special_as_text: bool = False) -> Callable[[str], np.ndarray]:
+    """What gives the ids of a text by the byte-level BPE vocabulary at ``path``, a ``tokenizers`` file.
 
-    If ``ranks_path`` names the same vocabulary as ranks, chunks of Latin letters, digits and ASCII marks are encoded
-    with it, which gives the same ids several times faster; all other chunks go through ``tokenizers``.
+    No special token is added, but one that a text spells out is one, unless ``special_as_text``. If ``ranks_path`` names
+    the same vocabulary as ranks, texts of Latin letters, digits and ASCII marks are encoded with it, which gives the same
+    ids several times faster; all others, those that spell a special token, and those with longer runs of white space
+    than it can take, go through ``tokenizers``.
     """
     import os
     import re
@@ -89,9 +59,10 @@ def byte_bpe_encoder(path: str | None = None, ranks_path: str | None = None) ->
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     slow = Tokenizer.from_file(path or tokenizer_path())
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = special_as_text
+    exact = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     if ranks_path is None:
-        return cached_encoder(lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)])
+        return exact
 
     import base64
 
@@ -101,50 +72,74 @@ def byte_bpe_encoder(path: str | None = None, ranks_path: str | None = None) ->
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    other = re.compile("[^\x00-\x7f¡-¬®-ɏ]")
-
-    def many(texts: list[str]) -> list[list[int]]:
-        out = [None if other.search(t) else fast.encode_ordinary(t) for t in texts]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, slow.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    return cached_encoder(many)
+    special = [] if special_as_text else [t.content for t in slow.get_added_tokens_decoder().values()]
+    other = re.compile("|".join(["[^\x00-\x7f¡-¬®-ɏ]", *map(re.escape, special)]))
 
+    def encode(text: str) -> np.ndarray:
+        if other.search(text):
+            return exact(text)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return exact(text)
 
-def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of each piece of ``n`` tokens; all but the first are full."""
-    first = n % capacity or min(n, capacity)
-    return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
+    return encode
 
 
 def tokenize(df: DataFrame, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY, encoder: Callable[[], Callable] | None = None) -> DataFrame:
-    """One row per piece: id, piece, start, length and ``ids``, an array of token ids."""
+    """One row per piece: id, piece, start, length, ``ids`` (an array of token ids), and what ``pack`` needs.
+
+    ``encoder`` makes a function from a text to its ids, in the worker.
+    """
     kind = df.schema[id].dataType.simpleString()
     make = encoder or (lambda: byte_bpe_encoder(ranks_path=tokenizer_path("byte_bpe_50k.tiktoken")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        end = np.array([END], "<u4")
-        for whole in batches:
+        from pyspark import TaskContext
+
+        encode, part = None, TaskContext.get().partitionId()
+        end = np.array([END], np.uint32)
+        seen = np.zeros(capacity + 1, np.int64)
+
+        def pieces(b: pa.RecordBatch, rows: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            n = np.array([len(x) + 1 for x in found])
+            cuts = -(-n // capacity)  # pieces of each text; all but the first are full
+            row = np.repeat(np.arange(len(n)), cuts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            first = n - (cuts - 1) * capacity
+            start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[row], capacity)
+            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)  # pieces follow one another
+            ids = np.concatenate([x for y in found for x in (y, end)]).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+            nth = seen[length] + place_among_equals(length)
+            seen[:] += np.bincount(length, minlength=capacity + 1)
+            columns = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length)), out, pa.array(np.full(len(row), part), pa.int64()), pa.array(nth)]
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(rows)[row])), *columns], names=[id, "piece", "start", "length", "ids", PART, NTH])
+
+        for b in batches:
             encode = encode or make()
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                rows, piece, start, length, ids = [], [], [], [], []
-                for row, found in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
-                    all_ids = np.concatenate([found, end])
-                    for k, (s, n) in enumerate(cut_pieces(len(all_ids), capacity)):
-                        rows.append(row)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(n)
-                    ids.append(all_ids)
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)  # pieces follow one another
-                out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), out], names=[id, "piece", "start", "length", "ids"])
-
-    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, piece int, start bigint, length bigint, ids array<int>")
+            rows, found, held = [], [], 0
+            for row, t in enumerate(b.column(1)):
+                rows.append(row)
+                found.append(encode(t.as_py() or ""))
+                held += len(found[-1])
+                if held > SEND:
+                    yield pieces(b, rows, found)
+                    rows, found, held = [], [], 0
+            if rows:
+                yield pieces(b, rows, found)
+
+    return df.select(f"`{id}`", f"`{text}`").mapInArrow(run, f"`{id}` {kind}, piece int, start bigint, length bigint, ids array<int>, {PART} bigint, {NTH} bigint")
+
+
+def place_among_equals(x: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value."""
+    order = np.argsort(x, kind="stable")
+    new = np.flatnonzero(np.diff(x[order], prepend=-1))
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+    return out
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -206,63 +201,55 @@ def plan_slots(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in slots.items()}
 
 
-def rank_in_length(pieces: DataFrame, id: str) -> DataFrame:
-    """``pieces`` with ``_lp_rank``, each piece's place among those of its length, from 0."""
-    n = pieces.groupBy("length").count()
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("count") / RANK_ROWS)).cast("int")
-    row = F.xxhash64(F.col(f"`{id}`"), "piece", "_lp_row")
-    dealt = pieces.withColumn("_lp_row", F.monotonically_increasing_id()).join(F.broadcast(n.select("length", buckets.alias("_lp_of"))), "length")  # at most one row a length
-    dealt = dealt.withColumn("_lp_bucket", F.pmod(row, F.col("_lp_of")).cast("int"))
-    sizes = dealt.groupBy("length", "_lp_bucket").count()
-    before = Window.partitionBy("length").orderBy("_lp_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("length", "_lp_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_lp_first"))
-    within = F.row_number().over(Window.partitionBy("length", "_lp_bucket").orderBy(f"`{id}`", "piece", "_lp_row")) - 1
-    ranked = dealt.withColumn("_lp_in", within).join(firsts, ["length", "_lp_bucket"])
-    return ranked.withColumn("_lp_rank", F.col("_lp_first") + F.col("_lp_in")).drop("_lp_row", "_lp_of", "_lp_bucket", "_lp_in", "_lp_first")
-
-
-def pack(pieces: DataFrame, id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a stored table with ``length``) with ``sequence_id`` and ``offset``, and ``ids_crc32`` of its ``ids``,
-    if it has them.
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (of ``tokenize``, stored) with ``sequence_id`` and ``offset``.
 
-    The driver gets one count for each length, ``capacity`` rows at most.
+    The driver gets one count for each length, as many rows as a sequence has tokens at most.
     """
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    sizes = store(pieces.groupBy("length", PART).count(), "sizes")
+    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("count")).collect()}
     slots = plan_slots(plan_patterns(counts, capacity))
-    columns = pieces.columns
-    ranked = rank_in_length(pieces, id).select(*[f"`{c}`" for c in columns], "_lp_rank")
-    at = columns.index("length")
-    ids = columns.index("ids") if "ids" in columns else None  # summed here, so that no second worker gets them
-    more = [] if ids is None else ["ids_crc32"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = b.column(at).to_numpy(), b.column(b.num_columns - 1).to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for n in np.unique(length):
-                mine = np.flatnonzero(length == n)
-                table_of = slots[int(n)]
-                k = np.searchsorted(table_of[:, 0], rank[mine], "right") - 1
-                sequence[mine] = table_of[k, 1] + rank[mine] - table_of[k, 0]
-                offset[mine] = table_of[k, 2]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset), *(checksums(b.column(ids)) for _ in more)], names=[*columns, "sequence_id", "offset", *more])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint" + "".join(f", {c} bigint" for c in more))
-
-
-def checksums(ids: pa.Array) -> pa.Array:
-    """The CRC-32 of each list of ids as little-endian words of 32 bits."""
-    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
-    flat = ids.flatten().to_numpy().astype("<u4", copy=False)
-    return pa.array([zlib.crc32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+    before = Window.partitionBy("length").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = store(sizes.select("length", PART, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_lp_first")), "firsts")
+    few = firsts.count() <= BROADCAST_FIRSTS
+    forget(sizes)
+
+    @F.arrow_udf("sequence_id bigint, offset bigint")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        order = np.argsort(length, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+            table_of = slots[int(length[mine[0]])]
+            k = np.searchsorted(table_of[:, 0], rank[mine], "right") - 1
+            sequence[mine] = table_of[k, 1] + rank[mine] - table_of[k, 0]
+            offset[mine] = table_of[k, 2]
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    ranked = pieces.join(F.broadcast(firsts) if few else firsts, ["length", PART])
+    placed = ranked.withColumn("_lp_place", place("length", F.col("_lp_first") + F.col(NTH)))
+    columns = [f"`{c}`" for c in pieces.columns if c not in (PART, NTH)]
+    return placed.select(*columns, "_lp_place.sequence_id", "_lp_place.offset")
+
+
+def ids_crc32(ids: str) -> Column:
+    """The CRC-32 of ids as little-endian unsigned words of 32 bits; null for null."""
+
+    @F.arrow_udf("bigint")
+    def crc(x: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+        flat = x.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        sums = [zlib.crc32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.array(sums, pa.int64(), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+    return crc(ids)
 
 
 def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack all of ``df``; one row per piece, with its ids, their checksum and its place."""
     bounded_batches(df.sparkSession)
     pieces = store(tokenize(df, text, id, capacity), "pieces")
-    return pack(pieces, id, capacity)
+    return pack(pieces, capacity).withColumn("ids_crc32", ids_crc32("ids"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

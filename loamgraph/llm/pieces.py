@@ -6,20 +6,22 @@ score of that position from the best score of the position where the piece begin
 character that is no piece by itself may also be taken alone, at ``UNKNOWN`` below the lowest score, and is then
 written as byte pieces. Ties go to the longest last piece.
 
-Spaces become U+2581 and one is put before the text, as the model's normalizer does; decoding undoes both. Pieces hold
-U+2581 only at their start or in runs of it, so the best segmentation of a text is that of its space-led chunks end
-to end, and a worker remembers the chunks it has met.
+Spaces become U+2581 and one is put before the text; decoding undoes both. A model whose normalizer does anything else
+is refused. Where pieces hold U+2581 only at their start or in runs of it, which is looked up in the vocabulary, the best
+segmentation of a text is that of its space-led chunks end to end, and a worker remembers the chunks it has met, up to
+``CACHE_BYTES`` of them; else a text is one chunk.
 
 The scores are the model file's. For a vocabulary made by merges they are merge ranks, so ids are those of the best
 path over ranks, not of merges in order; they decode to the same text.
 
 Defined results: a null text is empty and has no ids; empty texts decode to empty ones; U+2581 in a text decodes to a
-space; bytes that are no UTF-8 decode to U+FFFD; nulls in ids are passed over; rows are encoded one by one, whole.
+space; bytes that are no UTF-8 decode to U+FFFD; nulls in ids are passed over; rows are encoded one by one, whole, at any
+length, repeated ones and null ids like any other; an empty table gives an empty table; columns named ``ids`` or
+``decoded`` are replaced and all others travel along.
 """
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -28,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import table
-from loamgraph.llm.packing import CACHE_SIZE, tokenizer_path
+from loamgraph.llm.common import bounded_batches, table
+from loamgraph.llm.packing import ids_crc32, tokenizer_path
 
+CACHE_BYTES = 24 << 20  # chunks of text and their ids that a worker remembers, about
+CACHED_CHUNK = 64  # characters; longer chunks are not remembered
 SPACE = "▁"
 UNKNOWN = 10.0
 NORMAL, UNUSED, BYTE = "normal", "unused", "byte"
@@ -41,6 +45,9 @@ def read_model(path: str) -> list[tuple[str, float, str]]:
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("x", " x ", "a  b", "ﬁ Å①　\t\n"):  # what a normalizer other than the plain one would change
+        if m.normalize(text) != SPACE + text.replace(" ", SPACE):
+            raise ValueError("the model's normalizer does more than mark spaces")
     kind = lambda i: BYTE if m.is_byte(i) else UNUSED if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else NORMAL
     return [(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())]
 
@@ -71,7 +78,9 @@ class Segmenter:
                 self.bytes.append(b"")
         self.table = np.array(self.bytes, object)
         self.automaton.make_automaton()
+        self.by_chunks = not any(k == NORMAL and SPACE in p.lstrip(SPACE) for p, _, k in vocabulary)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the best segmentation of ``text``, in which spaces are U+2581 already."""
@@ -118,6 +127,8 @@ class Segmenter:
         """Ids of a text."""
         if not text:
             return np.zeros(0, np.int32)
+        if not self.by_chunks:
+            return np.array(self.best_path(SPACE + text.replace(" ", SPACE)), np.int32)
         known, out = self.known, []
         lead = ""
         for chunk in text.split(" "):
@@ -128,9 +139,13 @@ class Segmenter:
             lead = ""
             ids = known.get(unit)
             if ids is None:
-                if len(known) > CACHE_SIZE:
-                    known.clear()
-                ids = known[unit] = array("i", self.best_path(SPACE + unit)).tobytes()
+                ids = array("i", self.best_path(SPACE + unit)).tobytes()
+                if len(unit) <= CACHED_CHUNK:
+                    self.held += 150 + len(ids) + 4 * len(unit)
+                    if self.held > CACHE_BYTES:
+                        known.clear()
+                        self.held = 0
+                    known[unit] = ids
             out.append(ids)
         if lead:
             out.append(array("i", self.best_path(lead)).tobytes())
@@ -175,18 +190,9 @@ def decode(df: DataFrame, vocabulary: list[tuple[str, float, str]], ids: str = "
     return df.mapInArrow(run, df.withColumn("decoded", F.lit(None).cast("string")).schema)
 
 
-def ids_crc32(ids: str) -> object:
-    """The unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers, in an Arrow function."""
-
-    @F.arrow_udf("bigint")
-    def crc(x: pa.Array) -> pa.Array:
-        return pa.array([None if not v.is_valid else zlib.crc32(v.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for v in x], pa.int64())
-
-    return crc(ids)
-
-
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole documents encoded and decoded again: numbers and checksums of ids, and whether the text came back."""
+    bounded_batches(spark)
     vocabulary = read_model(tokenizer_path("piece_bpe_32k.model"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     done = decode(encode(rows, vocabulary), vocabulary)
