@@ -80,11 +80,11 @@ def dependents(graph: Graph, seeds: DataFrame, cap: int | None = None) -> DataFr
 
 
 def dependent_files(graph: Graph) -> DataFrame:
-    """(file, dependent): files whose nodes own edges into a file, itself aside."""
+    """(file, dependent): files from whose nodes edges lead into a file, itself aside."""
     files = graph.nodes.where("file is not null").select("id", "file")
-    owners = files.select(F.col("id").alias("owner"), F.col("file").alias("dependent"))
-    into = graph.edges.select("target", "owner").join(files.withColumnRenamed("id", "target"), "target")
-    return into.join(owners, "owner").where("file <> dependent").select("file", "dependent").distinct()
+    ends = graph.edges.select("source", "target").distinct().join(files.withColumnRenamed("id", "target"), "target")
+    ends = ends.join(files.select(F.col("id").alias("source"), F.col("file").alias("dependent")), "source")
+    return ends.where("file <> dependent").select("file", "dependent").distinct()
 
 
 def file_overview(graph: Graph) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.schema import Graph
+from loamgraph.streaming.watch import Language
 
 TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*[\s\S]*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"""
@@ -257,12 +258,16 @@ def declarations(files: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame) -> Graph:
-    """The graph of source files (path, language, content, manifest).
+    """The graph of source files (path, language, content, manifest)."""
+    return resolve(declarations(files))
+
+
+def resolve(rows: DataFrame) -> Graph:
+    """The graph of the ``declarations`` of all files.
 
     A used name is resolved to the declaration of the same file, else to the imported one, else to the only exported
-    method or function of that name among imported files.
+    method or function of that name among imported files. An edge is owned by the file of its source.
     """
-    rows = declarations(files)
     nodes = rows.select("id", "kind", "name", "qualified_name", "file", "start_line", "end_line", "start_offset", "end_offset", "signature", "exported", (F.lower("kind") == "route").alias("entry_point"))
     contains = rows.where("owner_id is not null").select(F.col("owner_id").alias("source"), F.col("id").alias("target"), F.lit("CONTAINS").alias("type"), F.lit(None).cast("int").alias("line"))
     exports = rows.where("exported and owner_id like '%:<file>'").select(F.col("owner_id").alias("source"), F.col("id").alias("target"), F.lit("EXPORTS").alias("type"), F.lit(None).cast("int").alias("line"))
@@ -297,4 +302,8 @@ def extract(files: DataFrame) -> Graph:
     edges = contains.unionByName(exports).unionByName(imports).unionByName(resolved).unionByName(tested).unionByName(settings)
     edges = edges.groupBy("source", "target", "type").agg(F.min("line").alias("line"))
     sure = F.col("type").isin("CONTAINS", "EXPORTS")
-    return Graph(nodes, edges.withColumn("owner", F.col("source")).withColumn("confidence", F.when(sure, 1.0).otherwise(0.75)).withColumn("evidence", F.when(sure, "deterministic").otherwise("heuristic")))
+    owned = edges.join(rows.select(F.col("id").alias("source"), F.col("file").alias("owner")).distinct(), "source", "left")
+    return Graph(nodes, owned.withColumn("confidence", F.when(sure, 1.0).otherwise(0.75)).withColumn("evidence", F.when(sure, "deterministic").otherwise("heuristic")))
+
+
+LANGUAGE = Language(declarations, resolve)

@@ -1,75 +1,77 @@
-"""Incremental indexing from a stream of file changes.
+"""Incremental indexing, also from a stream of file changes.
 
-A file source feeds micro-batches; each batch replaces what changed files had, takes in the files that depend on them,
-and commits a revision.
+What a file declares, imports and uses is kept with each revision. A change parses the changed files alone; names are
+then resolved by joins over the declarations of all files, old and new. So a revision is the graph that indexing all
+files at once would give, whatever was edited, added or deleted, and in whatever batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.operators.adjacency import dependent_files
-from loamgraph.operators.mutations import put_edges, put_files, put_nodes, remove_files
-from loamgraph.operators.traversal import reverse_closure
 from loamgraph.plans.catalog import Catalog, file_changes
-from loamgraph.plans.storage import store
+from loamgraph.plans.storage import forget, store
 from loamgraph.schema import Graph
 
-Extract = Callable[[DataFrame], Graph]
-FILE_COLUMNS = ["path", "hash", "language", "bytes", "lines"]
+FILE_COLUMNS = ["path", "hash", "language", "bytes", "lines", "content", "manifest"]
 
 
-def _kept(graph: Graph) -> Graph:
-    """The graph as written tables, so that what follows does not extract it again."""
-    return Graph(store(graph.nodes, "nodes"), store(graph.edges, "edges"))
+@dataclass(frozen=True)
+class Language:
+    """How files (path, language, content, manifest) are parsed, one by one (``declare``: rows with a ``file``), and how
+    the declarations of all of them become a graph (``resolve``)."""
 
+    declare: Callable[[DataFrame], DataFrame]
+    resolve: Callable[[DataFrame], Graph]
 
-def index(catalog: Catalog, files: DataFrame, extract: Extract, whole: bool = True) -> int:
-    """Bring the catalog up to ``files`` (path, hash, language, bytes, lines, content, manifest); its revision.
+    def extract(self, files: DataFrame) -> Graph:
+        return self.resolve(self.declare(files))
 
-    With ``whole`` the table is all there is, so missing files are deleted; else it is a batch of changes. Nothing is
-    written if nothing changed. Files that depend on changed ones are taken in again; a new file takes in all.
+
+def index(catalog: Catalog, files: DataFrame, language: Language, whole: bool = True, deleted: DataFrame | None = None) -> int:
+    """Bring the catalog up to ``files`` (``FILE_COLUMNS``); its revision.
+
+    With ``whole`` the table is all there is, so missing files are deleted; else it is a batch of changes, and
+    ``deleted`` (path) names the files that went. Nothing is written if nothing changed. Of rows that repeat a path the
+    one of the greatest hash holds.
     """
     revision = catalog.revision()
+    once = files.groupBy("path").agg(F.max_by(F.struct(*FILE_COLUMNS[1:]), "hash").alias("f")).select("path", "f.*")
     if not revision:
-        graph = _kept(extract(files))
-        return catalog.commit({"files": files.select(FILE_COLUMNS), "nodes": graph.nodes, "edges": graph.edges}, 0)
-    stored, old = catalog.table("files"), catalog.graph()
-    changed, deleted = file_changes(stored, files)
-    if not whole:
-        deleted = deleted.where("false")
-    deleted = store(deleted, "deleted")
-    touched = store(changed.unionByName(deleted).distinct(), "touched")
-    if touched.isEmpty():
+        declared = store(language.declare(once), "declared")
+        graph = language.resolve(declared)
+        done = catalog.commit({"files": once.select(FILE_COLUMNS), "declared": declared, "nodes": graph.nodes, "edges": graph.edges}, 0)
+        forget(declared)
+        return done
+    stored, known = catalog.table("files", revision), catalog.table("declared", revision)
+    changed, missing = file_changes(stored, once)
+    gone = missing if whole else (stored.select("path").join(deleted.select("path"), "path", "left_semi") if deleted is not None else stored.select("path").where("false"))
+    changed, gone = store(changed, "changed"), store(gone.distinct(), "gone")
+    if changed.isEmpty() and gone.isEmpty():
+        forget(changed, gone)
         return revision
-    fresh = changed.join(stored.select("path"), "path", "left_anti")
-    if fresh.isEmpty():
-        near = reverse_closure(dependent_files(old), touched.select(F.col("path").alias("seed"))).select(F.col("node").alias("path")).distinct()
-    else:
-        near = files.select("path")
-    affected = store(files.join(near.unionByName(touched).distinct(), "path", "left_semi"), "affected")
-    new = _kept(extract(affected))
-    left_files, left = remove_files(old, stored, deleted.unionByName(affected.select("path")).distinct())
-    left = _kept(left)
-    gone = old.nodes.join(new.nodes.select("id"), "id", "left_anti").join(affected.select(F.col("path").alias("file")), "file", "left_semi").select("id")
-    edges = store(put_edges(left.edges, new.edges.select(left.edges.columns)), "edges")
-    # edges of untouched files into declarations that came back stay
-    back = old.edges.join(new.nodes.select(F.col("id").alias("target")), "target", "left_semi").join(left.nodes.select(F.col("id").alias("source")), "source", "left_semi").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
-    edges = put_edges(back.select(left.edges.columns), edges)
-    tables = {"files": put_files(left_files.select(FILE_COLUMNS), affected.select(FILE_COLUMNS)), "nodes": put_nodes(left.nodes, new.nodes.select(left.nodes.columns)), "edges": edges}
-    return catalog.commit(tables, revision)
-
-
-def watch(spark: SparkSession, root: str, catalog: Catalog, extract: Extract, prepare: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = False):
+    touched = changed.unionByName(gone).distinct()
+    fresh = store(once.join(changed, "path", "left_semi").join(gone, "path", "left_anti").select(FILE_COLUMNS), "fresh")
+    kept = known.join(touched.withColumnRenamed("path", "file"), "file", "left_anti").select(known.columns)
+    declared = store(kept.unionByName(language.declare(fresh).select(known.columns)), "declared")
+    graph = language.resolve(declared)
+    left = stored.join(touched, "path", "left_anti").select(FILE_COLUMNS)
+    done = catalog.commit({"files": left.unionByName(fresh), "declared": declared, "nodes": graph.nodes, "edges": graph.edges}, revision)
+    forget(changed, gone, fresh, declared)
+    return done
+
+
+def watch(spark: SparkSession, root: str, catalog: Catalog, language: Language, prepare: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = False):
     """Start a query that indexes files as they come under ``root``; ``prepare`` makes the rows of ``index`` of them."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
 
     def batch(rows: DataFrame, _: int) -> None:
         if not rows.isEmpty():
-            index(catalog, prepare(rows), extract, whole=False)
+            index(catalog, prepare(rows), language, whole=False)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

@@ -187,16 +187,36 @@ class Workbench:
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """``python -m loamgraph.tools <catalog> <tool> [json arguments]``: the result as JSON."""
-    import sys
+    """``python -m loamgraph.tools <catalog> [--root folder] <tool> [json arguments]``: the result as JSON.
 
-    from loamgraph.plans.catalog import Catalog
+    ``index`` brings the catalog up to the folder. With a folder, the files in it as they are and git's changes there are
+    compared with the indexed ones.
+    """
+    import argparse
+    import os
 
-    root, tool, *rest = sys.argv[1:] if arguments is None else arguments
+    from loamgraph.plans.catalog import Catalog
+    from loamgraph.sources import files, git
+    from loamgraph.sources.typescript import LANGUAGE
+    from loamgraph.streaming.watch import index
+
+    parser = argparse.ArgumentParser(prog="loamgraph.tools")
+    parser.add_argument("catalog")
+    parser.add_argument("--root")
+    parser.add_argument("tool", choices=["index", *TOOLS])
+    parser.add_argument("arguments", nargs="?", default="{}", type=json.loads)
+    given = parser.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
-    catalog = Catalog(spark, root)
-    bench = Workbench(spark, catalog.graph(), catalog.table("files"))
-    print(bench.text(tool, **(json.loads(rest[0]) if rest else {})))
+    catalog = Catalog(spark, given.catalog)
+    live = files.discover(spark, given.root) if given.root else None
+    if given.tool == "index":
+        if live is None:
+            parser.error("index needs --root")
+        print(json.dumps({"revision": index(catalog, live, LANGUAGE)}))
+        return 0
+    hunks = git.change_hunks(spark, given.root) if given.root and os.path.exists(os.path.join(given.root, ".git")) else None
+    bench = Workbench(spark, catalog.graph(), catalog.table("files"), live, hunks)
+    print(bench.text(given.tool, **given.arguments))
     return 0
 
 

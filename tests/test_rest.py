@@ -269,37 +269,120 @@ def test_config():
             config.load(bad)
 
 
-def test_catalog_and_stream(spark, project, tmp_path):
+EDGE = ("source", "target", "type", "owner", "line", "confidence")
+
+
+def edges_of(graph):
+    return {tuple(r[c] for c in EDGE) for r in graph.edges.collect()}
+
+
+def nodes_of(graph):
+    return {(r.id, r.kind, r.file, r.start_line, r.end_line, r.signature) for r in graph.nodes.collect()}
+
+
+def source_rows(spark, sources):
+    rows = [(p, t) for p, t in sources.items()]
+    df = spark.createDataFrame(rows, "path string, content string")
+    return df.select("path", F.sha2("content", 256).alias("hash"), F.lit("typescript").alias("language"), F.length("content").cast("long").alias("bytes"), F.size(F.split("content", "\n", -1)).alias("lines"), "content", F.lit(False).alias("manifest"))
+
+
+def test_catalog(spark, project, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "graph"))
     rows = files.discover(spark, str(project))
     assert catalog.revision() == 0
-    assert index(catalog, rows, typescript.extract) == 1
-    assert index(catalog, rows, typescript.extract) == 1  # nothing changed
+    assert index(catalog, rows, typescript.LANGUAGE) == 1
+    assert index(catalog, rows, typescript.LANGUAGE) == 1  # nothing changed
     with pytest.raises(StaleRevision):
         catalog.commit({}, 0)
-    before = {(r.source, r.target, r.type) for r in catalog.graph().edges.collect()}
-    changed = rows.withColumn("content", F.when(F.col("path") == "src/token.ts", F.concat("content", F.lit("export function extra() { return sign('a', 'b'); }\n"))).otherwise(F.col("content")))
-    changed = changed.withColumn("hash", F.sha2("content", 256))
-    assert index(catalog, changed, typescript.extract) == 2
-    after = {(r.source, r.target, r.type) for r in catalog.graph().edges.collect()}
-    assert before <= after and any("extra" in e[0] for e in after)
-    whole = typescript.extract(changed)
-    assert after == {(r.source, r.target, r.type) for r in whole.edges.collect()}
-    assert index(catalog, changed.where("path <> 'src/auth.ts'"), typescript.extract) == 3
-    assert catalog.graph().nodes.where("file = 'src/auth.ts'").count() == 0
-    assert catalog.table("files", 2).count() == 7
+    # a writer that was overtaken between its check and its end
+    one = spark.range(1).selectExpr("id as source", "id as target", "'CALLS' as type")
+    slow = Catalog(spark, str(tmp_path / "graph"))
+    slow.revision = lambda: 0
+    with pytest.raises(StaleRevision):
+        slow.commit({"edges": one}, 0)
+    assert catalog.revisions() == [1] and edges_of(catalog.graph()) == edges_of(typescript.extract(rows))
+    # a writer that died before its end
+    (tmp_path / "graph" / "staged-dead").mkdir()
+    assert catalog.revision() == 1
+    assert index(catalog, rows.where("path <> 'src/auth.ts'"), typescript.LANGUAGE) == 2
+    assert index(catalog, rows, typescript.LANGUAGE) == 3
+    assert catalog.revisions() == [2, 3] and catalog.table("files", 2).count() == 6
     catalog.clean()
-    assert catalog.revision() == 0
+    assert catalog.revision() == 0 and not list((tmp_path / "graph").iterdir())
+
 
+def test_edits_give_the_graph_of_a_whole_index(spark, tmp_path):
+    sources = {
+        "src/a.ts": 'import { b } from "./b";\nexport function a() { return b(); }\n',
+        "src/b.ts": 'import { c } from "./c";\nexport function b() { return c(); }\n',
+        "src/c.ts": "export function c() { return 1; }\n",
+        "src/late.ts": 'import { soon } from "./soon";\nexport function late() { return soon(); }\n',
+    }
+    catalog = Catalog(spark, str(tmp_path / "graph"))
+    index(catalog, source_rows(spark, sources), typescript.LANGUAGE)
+
+    def check(revision):
+        whole = typescript.extract(source_rows(spark, sources))
+        assert catalog.revision() == revision
+        assert edges_of(catalog.graph()) == edges_of(whole) and nodes_of(catalog.graph()) == nodes_of(whole)
+
+    links = {(s, t) for s, t, kind, *_ in edges_of(catalog.graph()) if kind == "CALLS"}
+    assert ("typescript:src/a.ts:a", "typescript:src/b.ts:b") in links
+    sources["src/a.ts"] += "// an edit that changes nothing\n"
+    index(catalog, source_rows(spark, {"src/a.ts": sources["src/a.ts"]}), typescript.LANGUAGE, whole=False)
+    check(2)
+    assert links == {(s, t) for s, t, kind, *_ in edges_of(catalog.graph()) if kind == "CALLS"}
+    sources["src/soon.ts"] = "export function soon() { return 2; }\n"  # an older file waits for it
+    index(catalog, source_rows(spark, {"src/soon.ts": sources["src/soon.ts"]}), typescript.LANGUAGE, whole=False)
+    check(3)
+    assert any(t.endswith("soon.ts:soon") and s.endswith("late.ts:late") for s, t, kind, *_ in edges_of(catalog.graph()) if kind == "CALLS")
+    sources["src/c.ts"] = "export function renamed() { return 1; }\n"
+    del sources["src/b.ts"]
+    index(catalog, source_rows(spark, {"src/c.ts": sources["src/c.ts"]}), typescript.LANGUAGE, False, spark.createDataFrame([("src/b.ts",), ("src/none.ts",)], "path string"))
+    check(4)
+    sources["src/b.ts"] = 'import { renamed } from "./c";\nexport function b() { return renamed(); }\n'
+    index(catalog, source_rows(spark, sources), typescript.LANGUAGE)
+    check(5)
+
+
+def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "one.ts").write_text("export function one() { return 1; }\n")
     prepare = lambda raw: raw.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("hash"), F.lit("typescript").alias("language"), F.col("length").alias("bytes"), F.lit(1).alias("lines"), F.col("content").cast("string").alias("content"), F.lit(False).alias("manifest"))
     streamed = Catalog(spark, str(tmp_path / "streamed"))
-    for name, count in (("one", 1), ("two", 2)):
-        (folder / f"{name}.ts").write_text(f"export function {name}() {{ return 1; }}\n")
-        watch(spark, str(folder), streamed, typescript.extract, prepare, str(tmp_path / "cp"), once=True).awaitTermination(60)
+    for name, other, count in (("one", "two", 1), ("two", "one", 2)):
+        (folder / f"{name}.ts").write_text(f'import {{ {other} }} from "./{other}";\nexport function {name}() {{ return {other}(); }}\n')
+        watch(spark, str(folder), streamed, typescript.LANGUAGE, prepare, str(tmp_path / "cp"), once=True).awaitTermination(60)
         assert streamed.graph().nodes.where("kind = 'function'").count() == count
+    assert streamed.graph().edges.where("type = 'CALLS'").count() == 2  # the older file found the newer one
+
+
+def test_command_line(spark, project, tmp_path, capsys):
+    import shutil
+
+    from loamgraph.tools import main
+
+    root = tmp_path / "tree"
+    shutil.copytree(project, root)
+    git_of = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=x", "-c", "user.email=x@example.com", *a], check=True, capture_output=True)
+    git_of("init", "-q")
+    git_of("add", ".")
+    git_of("commit", "-qm", "one")
+    catalog = str(tmp_path / "graph")
+
+    def call(*arguments):
+        assert main([catalog, "--root", str(root), *arguments]) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert call("index") == {"revision": 1}
+    assert "issue" in call("slice", '{"name": "TokenService.issue"}')[0]["source"]
+    assert call("file_slice", '{"file": "src/token.ts", "start": 1, "end": 1}')[0]["content"].startswith("export class")
+    assert call("workflow", '{"action": "health"}') == []
+    (root / "src/token.ts").write_text(TOKEN.replace("text + salt", "salt + text"))
+    assert call("workflow", '{"action": "health"}')[0]["status"] == "modified"
+    assert any("sign" in r["id"] for r in call("workflow", '{"action": "changes"}'))
+    assert any(r["node"].endswith("TokenService.issue") for r in call("review_changes"))
+    assert call("workflow", '{"action": "text", "query": "salt"}')
 
 
 def test_git(spark, tmp_path):
