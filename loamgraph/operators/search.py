@@ -120,7 +120,9 @@ def excerpt_window(df: DataFrame, id: str, text: str, query: str, size: int = 20
     ``df`` of a term is the number of lines of the text that hold it; the first of equal windows holds.
     """
     terms = F.array_distinct(words(F.lit(query)))
-    held = lines_of(df, id, text).select("id", "line", F.explode_outer(F.array_intersect(F.array_distinct(words("content")), terms)).alias("term"))
+    holds = lambda c: F.exists(terms, lambda t: F.contains(F.lower(c), t))  # noqa: E731  what holds a word holds its letters
+    own = F.when(holds(F.col("content")), F.array_intersect(F.array_distinct(words("content")), terms))
+    held = lines_of(df.where(holds(F.col(text))), id, text).select("id", "line", F.explode_outer(own).alias("term"))
     spread = held.where("term is not null").groupBy("id", "term").agg(F.count("*").alias("df"))
     weight = F.coalesce(1 / F.sqrt("df"), F.lit(0.0))
     lines = held.join(spread, ["id", "term"], "left").groupBy("id", "line").agg(F.sum(weight).alias("weight"))

@@ -87,6 +87,7 @@ def cross_service_impact(calls: DataFrame, bridges: DataFrame, seeds: DataFrame,
     from loamgraph.plans.storage import store
 
     step = calls.select("src", "dst", F.lit(0).alias("_b")).unionByName(bridges.select("src", "dst", F.lit(1).alias("_b"))).distinct()
+    step = store(step.repartition("src"), "steps")
     frontier = store(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("bridges"), F.lit(0).alias("distance")).distinct(), "bridged")
     seen = frontier
     for d in range(1, depth + 1):

@@ -30,6 +30,7 @@ def reach(seeds: DataFrame, step: DataFrame, depth: int | None, paths: bool = Fa
     else that of any path. ``path`` is the first of the shortest in the order of its ids. Nodes of ``stop`` (id) are
     reached but not left. Without a depth the whole closure is taken.
     """
+    step = store(step.repartition("src"), "steps")  # every level reads it
     start = seeds.select("seed", F.col("seed").alias("node"), F.lit(False).alias("dispatch"), F.lit(0).alias("distance")).distinct()
     if paths:
         start = start.withColumn("path", F.array("node"))
@@ -53,6 +54,7 @@ def reach(seeds: DataFrame, step: DataFrame, depth: int | None, paths: bool = Fa
             forget(frontier)
             break
         levels.append(frontier)
+    forget(step)
     whole = levels[0]
     for level in levels[1:]:
         whole = whole.unionByName(level)
@@ -111,6 +113,7 @@ def capped_order(edges: DataFrame, seed: str, depth: int, limit: int, cap: int =
     from pyspark.sql.window import Window
 
     spark = edges.sparkSession
+    edges = store(edges.repartition("src"), "steps")
     seen = store(spark.createDataFrame([(0, seed, 0)], "position long, node string, distance int"), "capped")
     frontier, size = seen, 1
     for distance in range(1, depth + 1):

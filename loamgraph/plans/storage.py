@@ -32,14 +32,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it.
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, perhaps in folders ``by`` a column, and return a scan of it.
 
     This cuts the lineage: what follows reads files that outlive any executor.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     back._stored_at = path
     return back
 
@@ -54,5 +55,13 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of the files of a table: what tells whether it was written anew."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(where)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,6 @@
 """The registered graph queries and the DuckDB SQL that checks them.
 
-Each query runs over whole tables. Where a query answers for some seeds, these are its parameters: the dearest parts,
-all suppliers, all regions.
+Each query runs over whole tables. Where a query answers for seeds, these are all nodes of a kind, or all that there are.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from loamgraph.operators import search as S
 from loamgraph.operators import topology as P
 from loamgraph.operators import traversal as V
 from loamgraph.operators.cycles import cycles, strong_components
-from loamgraph.plans.projection import GRAPH_SQL, relational_graph
+from loamgraph.plans.projection import ACTIVITY_SQL, GRAPH_SQL, activity_graph, relational_graph
 from loamgraph.plans.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,13 +50,16 @@ def seeds_of(graph, kind: str) -> DataFrame:
     return graph.nodes.where(F.col("kind") == kind).select(F.col("id").alias("seed"))
 
 
-def dear_parts(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """The ``n`` dearest parts as seeds."""
-    best = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(n)
-    return best.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("seed"))
+def on_activity(sql: str) -> str:
+    return f"WITH RECURSIVE {ACTIVITY_SQL} {sql}"
 
 
-DEAR = "dear AS (SELECT 'part:' || p_partkey AS seed FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10)"
+def states(graph) -> DataFrame:
+    """All nodes but those that hold others."""
+    return graph.nodes.where("kind <> 'class'").select(F.col("id").alias("seed"))
+
+
+STATES = "asked AS (SELECT id AS seed FROM nodes WHERE kind <> 'class')"
 
 
 @query(on_graph("SELECT kind, count(*) AS n FROM nodes GROUP BY kind"))
@@ -195,12 +197,12 @@ def sound_edges(spark, d):
     return A.edges_with_nodes(relational_graph(spark, d)).agg(F.count("*").alias("n"))
 
 
-IMPACT = f""", {DEAR}, steps AS (
+IMPACT = f""", {STATES}, steps AS (
       SELECT DISTINCT target AS src, source AS dst, type = 'IMPLEMENTS' AS dispatch FROM edges WHERE type IN {DEPENDS}
       UNION SELECT source, target, type = 'IMPLEMENTS' FROM edges WHERE type IN ('TESTED_BY', 'IMPLEMENTS')
     ), walk AS (
-      SELECT seed, seed AS node, false AS dispatch, 0 AS distance FROM dear
-      UNION SELECT w.seed, s.dst, w.dispatch OR s.dispatch, w.distance + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.distance < %d
+      SELECT seed, seed AS node, false AS dispatch, 0 AS distance FROM asked
+      UNION SELECT w.seed, s.dst, w.dispatch OR s.dispatch, w.distance + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.distance < 3
     ), best AS (
       SELECT seed, node, min(distance) FILTER (NOT dispatch) AS sure, min(distance) AS any_way FROM walk GROUP BY 1, 2
     ), found AS (
@@ -208,100 +210,103 @@ IMPACT = f""", {DEAR}, steps AS (
     )"""
 
 
-@query(on_graph(IMPACT % 3 + " SELECT seed, node, distance::INT AS distance, round(1.0 / (distance + 1), 3)::DOUBLE AS score FROM found"))
+@query(on_activity(IMPACT + " SELECT seed, node, distance::INT AS distance, round(1.0 / (distance + 1), 3)::DOUBLE AS score FROM found"))
 def impact_distance(spark, d):
-    return V.impact(relational_graph(spark, d), dear_parts(spark, d)).select("seed", "node", "distance", "score")
+    graph = activity_graph(spark, d)
+    return V.impact(graph, states(graph)).select("seed", "node", "distance", "score")
 
 
-@query(on_graph(IMPACT % 2 + " SELECT seed, dispatch, count(*) AS n FROM found GROUP BY 1, 2"))
+@query(on_activity(IMPACT + " SELECT seed, dispatch, count(*) AS n FROM found GROUP BY 1, 2"))
 def impact_dispatch_flag(spark, d):
-    return V.impact(relational_graph(spark, d), dear_parts(spark, d), 2).groupBy("seed", "dispatch").agg(F.count("*").alias("n"))
+    graph = activity_graph(spark, d)
+    return V.impact(graph, states(graph)).groupBy("seed", "dispatch").agg(F.count("*").alias("n"))
 
 
 @query(
-    on_graph(
-        IMPACT % 2
+    on_activity(
+        IMPACT
         + """ SELECT seed, CASE WHEN kind = 'test' THEN 'test' WHEN kind = 'route' OR entry_point THEN 'route' WHEN kind IN ('module', 'file', 'package') THEN 'module' WHEN exported THEN 'api' ELSE 'other' END AS surface,
     count(*) AS n FROM found JOIN nodes ON id = node GROUP BY 1, 2"""
     )
 )
 def impact_classified(spark, d):
-    return V.impact(relational_graph(spark, d), dear_parts(spark, d), 2).groupBy("seed", "surface").agg(F.count("*").alias("n"))
+    graph = activity_graph(spark, d)
+    return V.impact(graph, states(graph)).groupBy("seed", "surface").agg(F.count("*").alias("n"))
 
 
 @query(
-    on_graph("""SELECT c.id AS seed, s.id AS node, 2 AS distance, min(e1.target) AS via FROM nodes c JOIN edges e1 ON e1.source = c.id AND e1.type = 'CREATES'
-    JOIN edges e2 ON e2.source = e1.target AND e2.type = 'CALLS' JOIN nodes s ON s.id = e2.target WHERE c.kind = 'class' GROUP BY 1, 2""")
+    on_activity(f""", {STATES}, walk AS (SELECT seed, seed AS node, 0 AS distance FROM asked
+      UNION SELECT w.seed, e.target, w.distance + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE w.distance < 8 AND e.type IN {V.PATH_TYPES})
+    SELECT seed, node, min(distance)::INT AS distance FROM walk GROUP BY 1, 2""")
 )
 def shortest_path_len(spark, d):
-    graph = relational_graph(spark, d)
-    found = V.shortest_paths(graph, seeds_of(graph, "class"), 8)
-    return found.where("node like 'supplier:%'").select("seed", "node", "distance", F.get("path", F.lit(1)).alias("via"))
+    graph = activity_graph(spark, d)
+    return V.shortest_paths(graph, states(graph)).select("seed", "node", "distance")
+
+
+@query(
+    on_activity(f""", {STATES}, walk AS (SELECT seed, [seed] AS path FROM asked
+      UNION ALL SELECT w.seed, list_append(w.path, e.target) FROM walk w JOIN edges e ON e.source = w.path[-1] WHERE len(w.path) < 4 AND e.type IN {V.PATH_TYPES} AND NOT list_contains(w.path, e.target))
+    SELECT seed, path[-1] AS node, array_to_string(min(path), '>') AS path FROM walk w WHERE len(path) = (SELECT min(len(x.path)) FROM walk x WHERE x.seed = w.seed AND x.path[-1] = w.path[-1]) GROUP BY 1, 2""")
+)
+def shortest_path_nodes(spark, d):
+    graph = activity_graph(spark, d)
+    return V.shortest_paths(graph, states(graph), 3).select("seed", "node", F.array_join("path", ">").alias("path"))
 
 
 @query(
-    on_graph(f""", {DEAR}, steps AS (
+    on_activity(f""", {STATES}, steps AS (
       SELECT DISTINCT target AS src, source AS dst, type = 'IMPLEMENTS' AS dispatch FROM edges WHERE type IN ('CALLS', 'REFERENCES', 'IMPLEMENTS')
       UNION SELECT source, target, type = 'IMPLEMENTS' FROM edges WHERE type IN ('TESTED_BY', 'IMPLEMENTS')
     ), walk AS (
-      SELECT seed, seed AS node, false AS dispatch, 0 AS distance FROM dear
-      UNION SELECT w.seed, s.dst, w.dispatch OR s.dispatch, w.distance + 1 FROM walk w JOIN steps s ON s.src = w.node JOIN nodes n ON n.id = w.node AND n.kind <> 'test' WHERE w.distance < 2
+      SELECT seed, seed AS node, false AS dispatch, 0 AS distance FROM asked
+      UNION SELECT w.seed, s.dst, w.dispatch OR s.dispatch, w.distance + 1 FROM walk w JOIN steps s ON s.src = w.node JOIN nodes n ON n.id = w.node AND n.kind <> 'test' WHERE w.distance < 4
     ), best AS (SELECT seed, node, min(distance) FILTER (NOT dispatch) AS sure, min(distance) AS any_way FROM walk GROUP BY 1, 2)
     SELECT seed, node, coalesce(sure, any_way)::INT AS distance, sure IS NULL AS dispatch FROM best JOIN nodes ON id = node AND kind = 'test'""")
 )
 def test_path_len(spark, d):
-    return V.test_paths(relational_graph(spark, d), dear_parts(spark, d), 2)
+    graph = activity_graph(spark, d)
+    return V.test_paths(graph, states(graph))
 
 
 @query(
-    on_graph(f""", {DEAR}, near AS (SELECT seed, seed AS node FROM dear UNION SELECT seed, source FROM dear JOIN edges ON target = seed UNION SELECT seed, target FROM dear JOIN edges ON source = seed)
+    on_activity(f""", {STATES}, near AS (SELECT seed, seed AS node FROM asked UNION SELECT seed, source FROM asked JOIN edges ON target = seed UNION SELECT seed, target FROM asked JOIN edges ON source = seed)
     SELECT DISTINCT a.seed, e.source, e.target, e.type FROM edges e JOIN near a ON a.node = e.source JOIN near b ON b.node = e.target AND b.seed = a.seed""")
 )
 def ego_network_edges(spark, d):
-    return V.relationships(relational_graph(spark, d), dear_parts(spark, d), 1)
+    graph = activity_graph(spark, d)
+    return V.relationships(graph, states(graph), 1)
 
 
 @query(
-    on_graph(f""", {FILE_PAIRS}, walk AS (SELECT 'region:' || r_regionkey AS seed, 'region:' || r_regionkey AS node FROM region
+    on_activity(f""", {FILE_PAIRS}, walk AS (SELECT DISTINCT file AS seed, file AS node FROM nodes WHERE file IS NOT NULL
     UNION SELECT w.seed, p.dependent FROM walk w JOIN pairs p ON p.file = w.node) SELECT seed, node FROM walk""")
 )
 def reverse_closure(spark, d):
-    graph = relational_graph(spark, d)
-    return V.reverse_closure(A.dependent_files(graph), seeds_of(graph, "package"))
+    graph = activity_graph(spark, d)
+    return V.reverse_closure(A.dependent_files(graph), graph.nodes.where("file is not null").select(F.col("file").alias("seed")).distinct())
 
 
-TRADE = """trade AS (SELECT c.c_nationkey AS source, s.s_nationkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer c ON c.c_custkey = o_custkey
-    JOIN supplier s ON s.s_suppkey = l_suppkey WHERE c.c_nationkey <> s.s_nationkey GROUP BY 1, 2),
-    ranked AS (SELECT source, target FROM (SELECT t.*, row_number() OVER (PARTITION BY source ORDER BY (target * 7 + source * 3) % 25, target) AS r FROM trade t) WHERE r = 1)"""
+FLOW = """flow AS (SELECT DISTINCT source, target FROM edges WHERE type <> 'CONTAINS'),
+    reach AS (SELECT source, target FROM flow UNION SELECT r.source, f.target FROM reach r JOIN flow f ON f.source = r.target),
+    mutual AS (SELECT a.source AS id, a.target AS other FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source)"""
 
 
-def trade_routes(spark: SparkSession, d: str) -> DataFrame:
-    """(source, target) of nations: of the nations whose suppliers a nation's customers buy from, one by a fixed rule."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    customers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("source"))
-    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target"))
-    trade = lines.join(orders, "l_orderkey").join(customers, "c_custkey").join(suppliers, "l_suppkey").where("source <> target").select("source", "target").distinct()
-    rank = F.row_number().over(Window.partitionBy("source").orderBy((F.col("target") * 7 + F.col("source") * 3) % 25, "target"))
-    return trade.withColumn("r", rank).where("r = 1").select("source", "target")
+def flow(spark: SparkSession, d: str) -> DataFrame:
+    return activity_graph(spark, d).edges.where("type <> 'CONTAINS'").select("source", "target").distinct()
 
 
-@query(
-    f"""WITH RECURSIVE {TRADE}, reach AS (SELECT source, target FROM ranked UNION SELECT r.source, e.target FROM reach r JOIN ranked e ON e.source = r.target),
-    ids AS (SELECT source AS id FROM ranked UNION SELECT target FROM ranked)
-    SELECT i.id, least(i.id, coalesce(min(a.target), i.id)) AS component FROM ids i LEFT JOIN (SELECT a.source, a.target FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source) a ON a.source = i.id GROUP BY i.id"""
-)
+@query(on_activity(f", {FLOW}, ids AS (SELECT source AS id FROM flow UNION SELECT target FROM flow) SELECT i.id, coalesce(min(least(m.id, m.other)), i.id) AS component FROM ids i LEFT JOIN mutual m ON m.id = i.id GROUP BY i.id"))
 def scc_components(spark, d):
-    return strong_components(trade_routes(spark, d))
+    return strong_components(flow(spark, d))
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, reach AS (SELECT source, target FROM ranked UNION SELECT r.source, e.target FROM reach r JOIN ranked e ON e.source = r.target),
-    own AS (SELECT a.source AS id, least(a.source, min(a.target)) AS component FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY 1)
-    SELECT component, count(*) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM own GROUP BY 1 ORDER BY size DESC, component LIMIT 30"""
+    on_activity(f""", {FLOW}, own AS (SELECT id, min(least(id, other)) AS component FROM mutual GROUP BY 1)
+    SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM own GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, component LIMIT 30""")
 )
 def dependency_cycles(spark, d):
-    return cycles(trade_routes(spark, d)).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+    return cycles(flow(spark, d)).withColumn("members", F.concat_ws(",", "members"))
 
 
 WORDS_SQL = "regexp_extract_all(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\p{{L}}\\p{{N}}]+')"
