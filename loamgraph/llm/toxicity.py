@@ -2,15 +2,18 @@
 
 Categories are predicted in turn by logistic models over the presence of words and word beginnings (3 to 8 bytes).
 Each later model also sees the probabilities of all earlier categories; it is trained with out-of-fold ones, so what
-it learns to expect of them is what it meets on new texts.
+it learns to expect of them is what it meets on new texts. A model that predicts a fold has seen nothing of it: its
+features too are chosen from the other folds alone.
 
-Training uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash of the id) and at most ``FEATURES``
-features, those whose odds of the last category differ most surely from the rest's; every document is scored, over its whole text.
+Training uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash of the id) and, for each model, at most
+``FEATURES`` features, those whose odds of any category differ most surely from the rest's (by ``LEAST_SURPRISE``
+standard errors at least, in ``LEAST_TEXTS`` texts); every document is scored, over its whole text.
 
 Defined results: a null or empty text has no features and gets the models' base rates; rows whose labels are null are
-not learnt from; of labels that repeat an id the largest counts; without a labelled row of both kinds a category has
-the probability of its base rate (0 without rows); an empty table gives an empty table; rows that repeat are scored
-one by one and a null id is kept.
+not learnt from; of labels that repeat an id the largest counts, and of documents that do one is learnt from; without a
+labelled row of both kinds a category has the probability of its base rate (0 without rows); an empty table gives an
+empty table; rows that repeat are scored one by one and a null id is kept; of equally sure features the smaller hash is
+taken; texts are taken whole, at any length; further columns travel along or are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import forget, store, table
+from loamgraph.llm.common import bounded_batches, forget, store, table
 from loamgraph.llm.minhash import Shingler, slices
 
 SAMPLE = 10_000
@@ -113,10 +116,15 @@ def logistic(text_of: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.
     return theta[:width], theta[width:-1], theta[-1]
 
 
-def fit_chain(names: list[str], chosen: np.ndarray, text_of: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> Chain:
-    """Train the chain on a sample: (text, feature) pairs in order and labels of shape (texts, categories)."""
+def fit_chain(names: list[str], chosen: np.ndarray, text_of: np.ndarray, feature: np.ndarray, labels: np.ndarray, folds: np.ndarray | None = None, masks: np.ndarray | None = None) -> Chain:
+    """Train the chain on a sample: (text, feature) pairs in order and labels of shape (texts, categories).
+
+    ``folds`` has the fold of each text; ``masks`` tells which features the model without each fold may use, and in its
+    last row which ones the final models may.
+    """
     n, width = len(labels), len(chosen)
-    folds = np.arange(n) % FOLDS
+    folds = np.arange(n) % FOLDS if folds is None else folds
+    masks = np.ones((FOLDS + 1, width), bool) if masks is None else masks
     earlier = np.zeros((n, len(names)))  # out of fold
     chain = Chain(names, chosen, [], [], [])
     for k in range(len(names)):
@@ -126,17 +134,43 @@ def fit_chain(names: list[str], chosen: np.ndarray, text_of: np.ndarray, feature
             if k == len(names) - 1 or not inside.any():
                 continue
             place = np.cumsum(inside) - 1
-            mine = inside[text_of]
+            mine = inside[text_of] & masks[fold][feature]
             w, c, b = logistic(place[text_of[mine]], feature[mine], earlier[inside, :k], y[inside], width)
-            z = np.bincount(text_of[~mine], w[feature[~mine]], n)[:n] + earlier[:, :k] @ c + b
+            theirs = ~inside[text_of]
+            z = np.bincount(text_of[theirs], w[feature[theirs]], n)[:n] + earlier[:, :k] @ c + b
             earlier[~inside, k] = 1 / (1 + np.exp(-np.clip(z[~inside], -50, 50)))
-        w, c, b = logistic(text_of, feature, earlier[:, :k], y, width)
+        mine = masks[FOLDS][feature]
+        w, c, b = logistic(text_of[mine], feature[mine], earlier[:, :k], y, width)
         chain.weights.append(w)
         chain.links.append(c)
         chain.biases.append(b)
     return chain
 
 
+def choose_features(told: DataFrame, totals: np.ndarray, positives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, sorted, that any model may use, and ``masks`` of ``fit_chain``.
+
+    told: (h, n_<fold>, hits_<category>_<fold>), stored; ``totals`` texts by fold, ``positives`` by category and fold.
+    """
+    sets = []
+    for without in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != without]
+        n = sum((F.col(f"n_{f}") for f in folds), F.lit(0))
+        surprises = []
+        for c in range(len(positives)):
+            hits = sum((F.col(f"hits_{c}_{f}") for f in folds), F.lit(0))
+            yes = float(positives[c, folds].sum())
+            no = float(totals[folds].sum()) - yes
+            odds = F.log((hits + 0.5) / (yes + 1)) - F.log((n - hits + 0.5) / (no + 1))
+            surprises.append(F.abs(odds) / F.sqrt(1 / (hits + 0.5) + 1 / (n - hits + 0.5)))
+        surprise = F.greatest(*surprises) if len(surprises) > 1 else surprises[0]
+        telling = told.where(n >= LEAST_TEXTS).withColumn("surprise", surprise).where(F.col("surprise") >= LEAST_SURPRISE)
+        best = telling.orderBy(F.desc("surprise"), "h").limit(FEATURES).select("h").toArrow()
+        sets.append(np.sort(best.column(0).to_numpy().view(np.uint64)))
+    chosen = np.unique(np.concatenate(sets))
+    return chosen, np.stack([np.isin(chosen, x) for x in sets])
+
+
 def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, text: str = "text", id: str = "doc_id", limit: int = SAMPLE) -> Chain:
     """Train on at most ``limit`` labelled documents (labels: ``id`` and ``toxic``, perhaps more columns)."""
     names = list(categories)
@@ -144,28 +178,31 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
     known = known.orderBy(F.xxhash64(id), id).limit(limit)
     lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
     first = documents.select(id, F.col(text).alias("_text"), lang.alias("lang")).join(F.broadcast(known), id)  # ``limit`` rows at most
-    first = first.dropDuplicates([id])
-    sample = store(first.select("_text", *[F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"_c{i}") for i, e in enumerate(categories.values())]), "labelled")
-    last = f"_c{len(names) - 1}"
+    first = first.dropDuplicates([id])  # of ``limit`` ids at most
+    label_of = [F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"_c{i}") for i, e in enumerate(categories.values())]
+    sample = store(first.select("_text", F.pmod(F.xxhash64(F.lit(7), id), F.lit(FOLDS)).cast("int").alias("_fold"), *label_of), "labelled")
+    counted = ["h", *[f"n_{f}" for f in range(FOLDS)], *[f"hits_{c}_{f}" for c in range(len(names)) for f in range(FOLDS)]]
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
         for b in batches:
-            y = b.column(1).to_numpy()
+            fold = b.column(1).to_numpy()
+            of = [np.ones(b.num_rows), *(b.column(2 + c).to_numpy() for c in range(len(names)))]
             for first, texts in slices(b.column(0), 8 << 20):
                 t, f = features_of(shingler, texts)
                 u, inverse = np.unique(f, return_inverse=True)
-                hits = np.bincount(inverse, y[first + t], len(u)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(hits), pa.array(np.bincount(inverse, minlength=len(u)).astype(np.int64))], names=["h", "hits", "n"])
-
-    totals = sample.agg(F.count("*"), F.sum(last)).first()
-    positive, negative = float(totals[1] or 0), float(totals[0] - (totals[1] or 0))
-    told = sample.select("_text", last).mapInArrow(tell, "h bigint, hits bigint, n bigint").groupBy("h").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-    odds = F.log((F.col("hits") + 0.5) / (positive + 1)) - F.log((F.col("n") - F.col("hits") + 0.5) / (negative + 1))
-    surprise = F.abs(odds) / F.sqrt(1 / (F.col("hits") + 0.5) + 1 / (F.col("n") - F.col("hits") + 0.5))
-    telling = told.where(F.col("n") >= LEAST_TEXTS).withColumn("surprise", surprise).where(F.col("surprise") >= LEAST_SURPRISE)
-    best = telling.orderBy(F.desc("surprise"), "h").limit(FEATURES)
-    chosen = np.sort(best.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+                there = first + t
+                sums = [np.bincount(inverse[m], y[there[m]], len(u)).astype(np.int32) for y in of for m in (fold[there] == k for k in range(FOLDS))]
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, sums)], names=counted)
+
+    by_fold = sample.groupBy("_fold").agg(F.count("*"), *[F.sum(f"_c{c}") for c in range(len(names))]).collect()  # at most one row a fold
+    sums = np.zeros((1 + len(names), FOLDS))
+    for row in by_fold:
+        sums[:, row[0]] = row[1:]
+    told = sample.mapInArrow(tell, "h bigint, " + ", ".join(f"{c} int" for c in counted[1:])).groupBy("h").agg(*[F.sum(c).alias(c) for c in counted[1:]])
+    told = store(told.where(sum((F.col(f"n_{f}") for f in range(FOLDS)), F.lit(0)) >= LEAST_TEXTS), "told")
+    chosen, masks = choose_features(told, sums[0], sums[1:])
+    forget(told)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
@@ -175,13 +212,13 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
                 cuts = np.searchsorted(t, np.arange(1, len(texts)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.split(f.astype(np.int64), cuts), pa.list_(pa.int64())), *[c.slice(first, len(texts)) for c in b.columns[1:]]], names=["at", *b.schema.names[1:]])
 
-    rows = sample.mapInArrow(place, ", ".join(["at array<bigint>", *[f"_c{i} int" for i in range(len(names))]])).toArrow()
+    rows = sample.mapInArrow(place, ", ".join(["at array<bigint>", "_fold int", *[f"_c{i} int" for i in range(len(names))]])).toArrow()
     at = rows.column(0).combine_chunks()
     at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
     sizes = np.diff(at.offsets.to_numpy()) if len(at) else np.zeros(0, int)
-    y = np.stack([rows.column(i + 1).to_numpy() for i in range(len(names))], axis=1) if len(at) else np.zeros((0, len(names)))
+    y = np.stack([rows.column(i + 2).to_numpy() for i in range(len(names))], axis=1) if len(at) else np.zeros((0, len(names)))
     forget(sample)
-    return fit_chain(names, chosen, np.repeat(np.arange(len(at)), sizes), at.flatten().to_numpy().astype(np.int64), y)
+    return fit_chain(names, chosen, np.repeat(np.arange(len(at)), sizes), at.flatten().to_numpy().astype(np.int64), y, rows.column(1).to_numpy(), masks)
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -217,6 +254,7 @@ def drop_toxic(df: DataFrame, chain: Chain, text: str = "text", threshold: float
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of all documents and whether they are toxic."""
+    bounded_batches(spark)
     documents = table(spark, sf_dir, "documents")
     scored = predict(documents, train(documents, table(spark, sf_dir, "labels")))
     return scored.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
