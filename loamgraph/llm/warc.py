@@ -2,17 +2,22 @@
 
 A page becomes one ``response`` record (an HTTP message whose body is framed as ``Transfer-Encoding:
 chunked``) or, if an equal body of at least ``LEAST_SHARED`` bytes belongs to a smaller page id, one
-``revisit`` record without body. A block over ``segment_bytes`` is cut into a first record and
+``revisit`` record without body, which names the record and target it stands for. A block over ``segment_bytes`` is cut into a first record and
 ``continuation`` records, which name the first by ``WARC-Segment-Origin-ID`` and are numbered by
 ``WARC-Segment-Number``; the last states ``WARC-Segment-Total-Length``.
 
 The reader parses archives by their headers' lengths alone, groups continuation records by origin, orders
 them by number, verifies that the numbers are gapless and the total length holds, and decodes the chunked
-framing. A record that fails a check raises an error, so a damaged archive is never read as a shorter one.
+framing. A record that fails a check raises an error, so a damaged archive is never read as a shorter one. A record's
+segments are joined in one pass, however many they are.
+
+An archive is one gzip member, since Spark's writers close a stream once a file; readers that seek by record need them
+written anew with a member each.
 
 Defined results: null html is an empty body; a null url has the target ``urn:page:<id>``; null page ids come
 after all others (they revisit, and are responses only among themselves); repeated page ids with equal bodies
-are each responses if none is smaller; an empty table gives no archives and an empty result.
+are each responses if none is smaller; bodies of any length are segmented; an empty table gives no archives and an empty
+result; further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import new_path, table
+from loamgraph.llm.common import bounded_batches, new_path, table
 
 LEAST_SHARED = 100  # bytes: smaller bodies are never shared
 SEGMENT_BYTES = 16_384
@@ -65,14 +70,16 @@ def _uri(*parts: object) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}>"
 
 
-def page_records(row: int, page_id: int | None, url: str | None, body: bytes, digest: str, refers_to: int | None, revisit: bool, segment_bytes: int) -> Iterator[bytes]:
-    """The WARC records of one page, in order. ``row`` tells repeated page ids apart."""
+def page_records(row: int, page_id: int | None, url: str | None, body: bytes, digest: str, refers_to: dict | None, segment_bytes: int) -> Iterator[bytes]:
+    """The WARC records of one page, in order. ``row`` tells repeated page ids apart; ``refers_to`` has the page_id, row
+    and url of the page that a revisit stands for."""
     id = _uri(page_id, row)
-    target = " ".join((url or "").split()) or f"urn:page:{page_id}"
-    common = [("WARC-Target-URI", target), ("WARC-Date", DATE)]
+    target_of = lambda url, page_id: " ".join((url or "").split()) or f"urn:page:{page_id}"
+    common = [("WARC-Target-URI", target_of(url, page_id)), ("WARC-Date", DATE)]
     own = [("WARC-X-Page-Id", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    if revisit:
-        refers = [("WARC-X-Refers-To-Page-Id", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    if refers_to is not None:
+        first = refers_to["page_id"]
+        refers = [("WARC-Refers-To", _uri(first, refers_to["row"])), ("WARC-Refers-To-Target-URI", target_of(refers_to["url"], first)), ("WARC-Refers-To-Date", DATE), ("WARC-X-Refers-To-Page-Id", str(first)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", id), *common, *own, *refers, ("WARC-X-Payload-Length", str(len(body)))], b"")
         return
     block = STATUS + frame_chunked(body)
@@ -87,13 +94,15 @@ def page_records(row: int, page_id: int | None, url: str | None, body: bytes, di
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with body, digest and ``refers_to``: the smallest page with an equal body."""
+    """``pages`` (page_id, url, html) with row, body, digest and ``refers_to``: of the smallest page with an equal body
+    its page_id, row and url."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select("page_id", "url", body.alias("body")).withColumn("digest", F.sha2("body", 256))
-    shared = own.where(F.octet_length("body") >= LEAST_SHARED).select("page_id", "digest")
-    shared = shared.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return own.join(shared, "digest", "left").select("page_id", "url", "body", "digest", first.alias("refers_to"))
+    own = pages.select("page_id", "url", body.alias("body"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("body", 256))
+    shared = own.where(F.octet_length("body") >= LEAST_SHARED)
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first")
+    shared = shared.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
+    other = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
+    return own.join(shared, "digest", "left").select("page_id", "url", "body", "digest", "row", other.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -107,11 +116,10 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
             for start in range(0, b.num_rows, 64):
                 out = []
                 for r in b.slice(start, 64).to_pylist():
-                    out += page_records(r["row"], r["page_id"], r["url"], r["body"], r["digest"], r["refers_to"], r["refers_to"] is not None, segment_bytes)
+                    out += page_records(r["row"], r["page_id"], r["url"], r["body"], r["digest"], r["refers_to"], segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-2] for x in out], pa.binary())], names=["record"])
 
-    rows = decide(pages).withColumn("row", F.monotonically_increasing_id())
-    records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = decide(pages).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -181,12 +189,10 @@ def reassemble(segments: DataFrame) -> DataFrame:
     """One row per record: whole blocks pass, segmented ones are grouped by origin, ordered, verified and joined."""
     single = segments.where("number is null and type <> 'continuation'")
     cut = segments.where("number is not null or type = 'continuation'")
-    part = F.struct("number", "total", "block")
     heads = [F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c) for c in ("type", "page_id", "refers_to", "digest", "stated")]
-    joined = cut.groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"), *heads)
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["block"]))
-    joined = joined.withColumn("block", block).withColumn("total", F.array_max("parts.total"))
-    numbers = F.col("parts.number") == F.sequence(F.lit(1), F.size("parts"))
+    whole = F.expr("listagg(block) WITHIN GROUP (ORDER BY number)")
+    joined = cut.groupBy("origin").agg(whole.alias("block"), F.sort_array(F.collect_list("number")).alias("numbers"), F.max("total").alias("total"), *heads)
+    numbers = F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))
     sound = numbers & F.col("total").isNotNull() & (F.octet_length("block") == F.col("total")) & F.col("type").isNotNull()
     problem = F.raise_error(F.concat(F.lit("segments missing or of a wrong total length: "), F.col("origin")))
     joined = joined.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(problem.cast("binary")))
@@ -220,6 +226,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through written archives and back; one row per page."""
+    bounded_batches(spark)
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     response = F.col("type") == "response"
