@@ -1,7 +1,6 @@
 """Operators on documents against brute-force versions, with nulls, empty and long texts, ties and empty tables."""
 
 import collections
-import hashlib
 import random
 import re
 import zlib
@@ -443,6 +442,39 @@ def test_chain_uses_earlier_categories():
     assert ((p > 0.5) == y).mean() > 0.98 and chain.links[1][0] > 0.5
 
 
-def test_digest_of_no_spans(spark):
-    got = secrets.find_secrets(docs_of(spark, [(1, None)])).first()
-    assert got.spans == [] and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_models_learn_from_a_table_of_samples(spark):
+    rows = [(t, y) for t, y in secrets.labelled_samples(3000, seed=2)] + [(None, 1), ("x", None)]
+    model = secrets.train_from(spark.createDataFrame(rows, "token string, label int"))
+    assert np.allclose(model, secrets.train([(t, y) for t, y in rows if t is not None and y is not None]))
+    noise = "".join(random.Random(4).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    got = secrets.find_secrets(docs_of(spark, [(None, noise), (None, noise), (1, "get_customer_account_balance_for_transaction")]), model=model).collect()
+    assert sorted(len(r.spans) for r in got) == [0, 1, 1]
+    assert secrets.train_from(spark.createDataFrame([], "token string, label int")).any() == False  # noqa: E712
+
+
+def test_features_of_a_fold_are_chosen_without_it(spark):
+    told = [(1, 9, 0, 0, 9, 0, 0), (2, 5, 5, 5, 5, 5, 5), (3, 5, 5, 5, 0, 0, 0)]
+    df = spark.createDataFrame(told, "h long, n_0 int, n_1 int, n_2 int, hits_0_0 int, hits_0_1 int, hits_0_2 int")
+    chosen, masks = toxicity.choose_features(df, np.array([50.0, 50.0, 50.0]), np.array([[14.0, 5.0, 5.0]]))
+    assert chosen.tolist() == [1, 2] and masks.tolist() == [[False, True], [True, True], [True, True], [True, True]]
+
+
+def test_order_of_files_does_not_follow_their_splits(spark, texts, tmp_path):
+    docs_of(spark, texts + [texts[3]] * 30).repartition(3).write.parquet(str(tmp_path / "d"))
+    spark.read.parquet(str(tmp_path / "d"))
+    key = "spark.sql.files.maxPartitionBytes"
+    got = []
+    for size in ("128m", "20k"):
+        spark.conf.set(key, size)
+        got.append(sorted(map(str, shards.shard(spark.read.parquet(str(tmp_path / "d")), 5, bucket_rows=16).collect())))
+    spark.conf.unset(key)
+    assert got[0] == got[1]
+
+
+def test_buckets_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 4000)
+    df = docs_of(spark, [(i, "x" * 900) for i in range(200)])
+    taken = []
+    scatter = shards.scatter
+    monkeypatch.setattr(shards, "scatter", lambda rows, seed, buckets: taken.append(buckets) or scatter(rows, seed, buckets))
+    assert shards.shard(df, 3).count() == 200 and taken[0] >= 45
