@@ -6,8 +6,9 @@ it learns to expect of them is what it meets on new texts. A model that predicts
 features too are chosen from the other folds alone.
 
 Training uses a bounded sample of labelled rows (``SAMPLE``, the first by a hash of the id) and, for each model, at most
-``FEATURES`` features, those whose odds of any category differ most surely from the rest's (by ``LEAST_SURPRISE``
-standard errors at least, in ``LEAST_TEXTS`` texts); every document is scored, over its whole text.
+``FEATURES`` features, those whose odds of the last category differ most surely from the rest's (by ``LEAST_SURPRISE``
+standard errors at least, in ``LEAST_TEXTS`` texts); what tells of a category by language alone, as the language's common
+words do, is left out so. Every document is scored, over its whole text.
 
 Defined results: a null or empty text has no features and gets the models' base rates; rows whose labels are null are
 not learnt from; of labels that repeat an id the largest counts, and of documents that do one is learnt from; without a
@@ -150,20 +151,16 @@ def fit_chain(names: list[str], chosen: np.ndarray, text_of: np.ndarray, feature
 def choose_features(told: DataFrame, totals: np.ndarray, positives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes, sorted, that any model may use, and ``masks`` of ``fit_chain``.
 
-    told: (h, n_<fold>, hits_<category>_<fold>), stored; ``totals`` texts by fold, ``positives`` by category and fold.
+    told: (h, n_<fold>, hits_<fold>), stored; ``totals`` texts and ``positives`` those of the last category, by fold.
     """
     sets = []
     for without in range(FOLDS + 1):
         folds = [f for f in range(FOLDS) if f != without]
-        n = sum((F.col(f"n_{f}") for f in folds), F.lit(0))
-        surprises = []
-        for c in range(len(positives)):
-            hits = sum((F.col(f"hits_{c}_{f}") for f in folds), F.lit(0))
-            yes = float(positives[c, folds].sum())
-            no = float(totals[folds].sum()) - yes
-            odds = F.log((hits + 0.5) / (yes + 1)) - F.log((n - hits + 0.5) / (no + 1))
-            surprises.append(F.abs(odds) / F.sqrt(1 / (hits + 0.5) + 1 / (n - hits + 0.5)))
-        surprise = F.greatest(*surprises) if len(surprises) > 1 else surprises[0]
+        n, hits = (sum((F.col(f"{c}_{f}") for f in folds), F.lit(0)) for c in ("n", "hits"))
+        yes = float(positives[folds].sum())
+        no = float(totals[folds].sum()) - yes
+        odds = F.log((hits + 0.5) / (yes + 1)) - F.log((n - hits + 0.5) / (no + 1))
+        surprise = F.abs(odds) / F.sqrt(1 / (hits + 0.5) + 1 / (n - hits + 0.5))
         telling = told.where(n >= LEAST_TEXTS).withColumn("surprise", surprise).where(F.col("surprise") >= LEAST_SURPRISE)
         best = telling.orderBy(F.desc("surprise"), "h").limit(FEATURES).select("h").toArrow()
         sets.append(np.sort(best.column(0).to_numpy().view(np.uint64)))
@@ -181,13 +178,14 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
     first = first.dropDuplicates([id])  # of ``limit`` ids at most
     label_of = [F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"_c{i}") for i, e in enumerate(categories.values())]
     sample = store(first.select("_text", F.pmod(F.xxhash64(F.lit(7), id), F.lit(FOLDS)).cast("int").alias("_fold"), *label_of), "labelled")
-    counted = ["h", *[f"n_{f}" for f in range(FOLDS)], *[f"hits_{c}_{f}" for c in range(len(names)) for f in range(FOLDS)]]
+    last = f"_c{len(names) - 1}"
+    counted = ["h", *[f"{c}_{f}" for c in ("n", "hits") for f in range(FOLDS)]]
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
         for b in batches:
             fold = b.column(1).to_numpy()
-            of = [np.ones(b.num_rows), *(b.column(2 + c).to_numpy() for c in range(len(names)))]
+            of = [np.ones(b.num_rows), b.column(2).to_numpy()]
             for first, texts in slices(b.column(0), 8 << 20):
                 t, f = features_of(shingler, texts)
                 u, inverse = np.unique(f, return_inverse=True)
@@ -195,13 +193,12 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
                 sums = [np.bincount(inverse[m], y[there[m]], len(u)).astype(np.int32) for y in of for m in (fold[there] == k for k in range(FOLDS))]
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, sums)], names=counted)
 
-    by_fold = sample.groupBy("_fold").agg(F.count("*"), *[F.sum(f"_c{c}") for c in range(len(names))]).collect()  # at most one row a fold
-    sums = np.zeros((1 + len(names), FOLDS))
-    for row in by_fold:
+    sums = np.zeros((2, FOLDS))
+    for row in sample.groupBy("_fold").agg(F.count("*"), F.sum(last)).collect():  # at most one row a fold
         sums[:, row[0]] = row[1:]
-    told = sample.mapInArrow(tell, "h bigint, " + ", ".join(f"{c} int" for c in counted[1:])).groupBy("h").agg(*[F.sum(c).alias(c) for c in counted[1:]])
+    told = sample.select("_text", "_fold", last).mapInArrow(tell, "h bigint, " + ", ".join(f"{c} int" for c in counted[1:])).groupBy("h").agg(*[F.sum(c).alias(c) for c in counted[1:]])
     told = store(told.where(sum((F.col(f"n_{f}") for f in range(FOLDS)), F.lit(0)) >= LEAST_TEXTS), "told")
-    chosen, masks = choose_features(told, sums[0], sums[1:])
+    chosen, masks = choose_features(told, sums[0], sums[1])
     forget(told)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -454,8 +454,8 @@ def test_models_learn_from_a_table_of_samples(spark):
 
 def test_features_of_a_fold_are_chosen_without_it(spark):
     told = [(1, 9, 0, 0, 9, 0, 0), (2, 5, 5, 5, 5, 5, 5), (3, 5, 5, 5, 0, 0, 0)]
-    df = spark.createDataFrame(told, "h long, n_0 int, n_1 int, n_2 int, hits_0_0 int, hits_0_1 int, hits_0_2 int")
-    chosen, masks = toxicity.choose_features(df, np.array([50.0, 50.0, 50.0]), np.array([[14.0, 5.0, 5.0]]))
+    df = spark.createDataFrame(told, "h long, n_0 int, n_1 int, n_2 int, hits_0 int, hits_1 int, hits_2 int")
+    chosen, masks = toxicity.choose_features(df, np.array([50.0, 50.0, 50.0]), np.array([14.0, 5.0, 5.0]))
     assert chosen.tolist() == [1, 2] and masks.tolist() == [[False, True], [True, True], [True, True], [True, True]]
 
 
