@@ -49,9 +49,10 @@ def row_bytes(df: DataFrame):
     return sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in texts), F.lit(8 * (len(df.columns) - len(texts)))).cast("long")
 
 
-def _fisher_yates(bucket: str, length: str, seed: int):
+def _fisher_yates(bucket: str, length, seed: int):
     """The array of places 0..length-1, shuffled: step i swaps place i and a seeded place from 0 to i."""
-    start = F.sequence(F.lit(0), F.col(length) - 1)
+    length = F.col(length) if isinstance(length, str) else length
+    start = F.sequence(F.lit(0), length - 1)
 
     def swap(acc, i):
         j = F.pmod(F.xxhash64(F.lit(seed), F.col(bucket), i), i + 1).cast("int")
@@ -60,7 +61,7 @@ def _fisher_yates(bucket: str, length: str, seed: int):
         swapped = F.concat(cut(F.lit(0), j), F.array(at(i)), cut(j + 1, i - j - 1), F.array(at(j)), cut(i + 1, F.size(acc) - i - 1))
         return F.when(i == j, acc).otherwise(swapped)
 
-    steps = F.when(F.col(length) > 1, F.sequence(F.col(length) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    steps = F.when(length > 1, F.sequence(length - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, start, swap)
 
 
@@ -78,14 +79,18 @@ def order_rows(df: DataFrame, seed: int = 11, bucket_rows: int = BUCKET_ROWS) ->
     within = Window.partitionBy("_ls_group").orderBy("_ls_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_ls_in", F.coalesce(F.sum("_ls_n").over(within), F.lit(0))).join(groups, "_ls_group")
     starts = store(starts.select("_ls_bucket", (F.col("_ls_base") + F.col("_ls_in")).alias("_ls_first")), "starts")
-    forget(counts)
+    # a bucket's rows in the order of their keys, and the places that Fisher-Yates gives to them
+    places = starts.join(counts, "_ls_bucket").select("_ls_bucket", "_ls_first", _fisher_yates("_ls_bucket", F.col("_ls_n").cast("int"), seed).alias("_ls_order"))
+    places = store(places, "places")
+    forget(counts, starts)
+    rank = F.row_number().over(Window.partitionBy("_ls_bucket").orderBy("_ls_key", *[f"`{c}`" for c in df.columns if _orderable(df, c)])) - 1
+    place = F.col("_ls_first") + F.array_position("_ls_order", F.col("_ls_rank")) - 1
+    placed = scattered.withColumn("_ls_rank", rank.cast("int")).join(places, "_ls_bucket")
+    return placed.select(*[f"`{c}`" for c in df.columns], place.alias("_ls_place")), rows
 
-    whole = F.struct("_ls_key", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    packed = scattered.groupBy("_ls_bucket").agg(F.sort_array(F.collect_list(whole)).alias("_ls_rows")).withColumn("_ls_n", F.size("_ls_rows"))
-    shuffled = packed.withColumn("_ls_order", _fisher_yates("_ls_bucket", "_ls_n", seed))
-    moved = F.transform("_ls_order", lambda k: F.get(F.col("_ls_rows"), k)["row"])
-    placed = shuffled.join(starts, "_ls_bucket").select("_ls_first", F.posexplode(moved).alias("_ls_pos", "r"))
-    return placed.select("r.*", (F.col("_ls_first") + F.col("_ls_pos")).alias("_ls_place")), rows
+
+def _orderable(df: DataFrame, name: str) -> bool:
+    return not any(k in df.schema[name].dataType.simpleString() for k in ("map<", "variant"))
 
 
 def shard(df: DataFrame, shards: int = 24, seed: int = 11, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -99,7 +104,7 @@ def shard(df: DataFrame, shards: int = 24, seed: int = 11, bucket_rows: int = BU
 def write_shards(df: DataFrame, path: str, shards: int = 24, seed: int = 11, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Write every shard as a folder of Parquet files under ``path`` and return a scan of them."""
     done = shard(df, shards, seed, bucket_rows)
-    done.write.partitionBy("_ls_shard").option("compression", "zstd").parquet(path)
+    done.sortWithinPartitions("_ls_shard", "_ls_slot").write.partitionBy("_ls_shard").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(done.schema).parquet(path)
 
 
