@@ -78,6 +78,11 @@ def symbol_id(language: str, path: str, qualified: str) -> Column:
     return F.concat_ws(":", language, slash(path), qualified)
 
 
+def project_identity(path: Column | str) -> Column:
+    """A project's short id: the first 24 hexadecimal digits of its path's SHA-256."""
+    return F.substring(sha256(path), 1, 24)
+
+
 def line_count(text: Column | str) -> Column:
     """Lines of a text; a last line feed begins a further line."""
     return F.size(F.split(text, "\n", -1))

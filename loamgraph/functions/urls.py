@@ -43,3 +43,10 @@ def clean_address(address: Column) -> Column:
     """An address without user information, query and fragment; null if it may hold a connection string."""
     bare = F.regexp_replace(F.regexp_replace(address, r"[?#].*$", ""), r"^(\w+://)[^/@]*@", "$1")
     return F.when(~bare.rlike("[=;]"), bare)
+
+
+def public_endpoint(url: Column | str) -> Column:
+    """Whether an address is http or https and has no user information, query or fragment."""
+    value = F.col(url) if isinstance(url, str) else url
+    plain = url_part(value, "PROTOCOL").isin("http", "https") & url_part(value, "HOST").isNotNull() & url_part(value, "USERINFO").isNull()
+    return F.coalesce(plain & ~value.rlike("[?#]."), F.lit(False))

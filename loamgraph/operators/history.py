@@ -99,3 +99,15 @@ def uncovered(spans: DataFrame, group: str, first: str, last: str) -> DataFrame:
     reached = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
     gaps = spans.select(group, F.col(first).alias("_f"), reached.alias("_r")).where("_r + 1 < _f")
     return gaps.select(group, (F.col("_r") + 1).alias("gap_start"), (F.col("_f") - 1).alias("gap_end")).distinct()
+
+
+def merge_consumers(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(target, node, signature, hash, dispatch, path, snapshot): consumers of two snapshots; one that is equal in all of
+    these on both sides is ``both``."""
+    key = ["target", "node", "signature", "hash", "dispatch", "path"]
+    side = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
+    a, b = side(before, "_b").alias("b"), side(after, "_a").alias("a")
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in key]
+    joined = a.join(b, same, "full_outer")
+    snapshot = F.when(F.col("_b") & F.col("_a"), "both").when(F.col("_b"), "before").otherwise("after")
+    return joined.select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in key], snapshot.alias("snapshot"))

@@ -155,3 +155,39 @@ def trace_frames(df: DataFrame, id: str, trace: str, most: int = 20) -> DataFram
     file = F.regexp_replace(F.regexp_replace(part(2), r"\\", "/"), "^file://", "")
     found = lines.withColumn("frame", frame).where(F.col("frame") <= most)
     return found.select("id", "frame", F.nullif(part(1), F.lit("")).alias("function"), file.alias("file"), part(3).cast("int").alias("line"), part(4).cast("int").alias("col"))
+
+
+IDENTIFIER = r"[\w$]+(?:\.[\w$]+)+"
+
+
+def exact_identifiers(tasks: DataFrame, id: str, task: str) -> DataFrame:
+    """(id, identifier): the dotted identifiers that a task names, each once."""
+    return tasks.select(F.col(id).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(task, F.lit(IDENTIFIER), F.lit(0)))).alias("identifier"))
+
+
+def candidate_score(inherited: Column, ranked: Column, lexical: Column, distance: Column, kind: Column, exact: Column, named: Column, stem: Column) -> Column:
+    """A candidate's score in a context, at most 1: the better of its own and its inherited one (properties not asked for
+    count for two fifths), a quarter of its lexical one if it was reached along the graph, and more if the task names it
+    exactly, by its name, or by its name's stem."""
+    property = (kind == "property") & ~exact
+    base = F.greatest(inherited, ranked) * F.when(property, 0.4).otherwise(1.0)
+    bonus = F.when(exact, 0.5).when(~property & named, 0.2).when(~property & stem, 0.08).otherwise(0.0)
+    return F.least(F.lit(1.0), base + F.when(distance > 0, lexical * 0.25).otherwise(0.0) + bonus)
+
+
+def stemmed_index(df: DataFrame, id: str, fields: dict[str, Column | str]) -> DataFrame:
+    """``index_terms`` by the stems of words."""
+    from loamgraph.functions.text import stems
+
+    rows = df
+    for name, c in fields.items():
+        text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+        rows = rows.withColumn(f"_s_{name}", F.array_join(stems(words(text)), " "))
+    return index_terms(rows, id, {name: f"_s_{name}" for name in fields})
+
+
+def stemmed_search(index: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
+    """``bm25`` of a ``stemmed_index``: the queries' words are stemmed likewise, so forms of a word find one another."""
+    from loamgraph.functions.text import stems
+
+    return bm25(index, queries.withColumn("query", F.array_join(stems(words("query")), " ")), top)

@@ -71,18 +71,34 @@ def changed_files(spark: SparkSession, root: str, most: int = 1000) -> DataFrame
     return spark.createDataFrame(rows, "file string, status string")
 
 
-def snapshot(spark: SparkSession, root: str, revision: str, max_bytes: int = 10_000_000) -> DataFrame:
-    """(file, oid, content) of the text blobs of a revision; each blob is read once, however many files have it."""
+def snapshot(spark: SparkSession, root: str, revision: str, max_bytes: int = 10_000_000, max_total: int = 100_000_000, max_files: int = 5000, accept=None) -> DataFrame:
+    """(file, oid, content) of the text blobs of a revision that ``accept`` (a test of paths) admits; each blob is read
+    once, however many files have it, and all of them by one process. Limits bound what the driver holds."""
     if revision.startswith("-"):
         raise ValueError("not a revision")
-    names = []
-    for line in run_git(root, "ls-tree", "-r", "-l", revision).splitlines():
+    names, sizes = [], {}
+    for line in run_git(root, "ls-tree", "-r", "-l", "-z", revision).split("\0"):
         head, _, name = line.partition("\t")
+        if not name:
+            continue
         mode, kind, oid, size = head.split()
-        if kind == "blob" and mode != "120000" and int(size) <= max_bytes:
+        if kind == "blob" and mode != "120000" and int(size) <= max_bytes and (accept is None or accept(name)):
             names.append((name, oid))
-    blobs = [(oid, run_git(root, "cat-file", "blob", oid)) for oid in sorted({o for _, o in names})]
-    return spark.createDataFrame(names, "file string, oid string").join(spark.createDataFrame(blobs, "oid string, content string"), "oid").select("file", "oid", "content")
+            sizes[oid] = int(size)
+    if len(names) > max_files or sum(sizes.values()) > max_total:
+        raise ValueError("the snapshot is too large")
+    asked = "".join(f"{o}\n" for o in sizes).encode()
+    data = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input=asked, capture_output=True, check=True, timeout=120).stdout
+    blobs, at = [], 0
+    for _ in sizes:
+        end = data.index(b"\n", at)
+        oid, _, size = data[at:end].decode().split()
+        content = data[end + 1 : end + 1 + int(size)]
+        at = end + 2 + int(size)
+        if b"\0" not in content:
+            blobs.append((oid, content.decode("utf-8", "replace")))
+    kept = spark.createDataFrame(blobs, "oid string, content string")
+    return spark.createDataFrame(names, "file string, oid string").join(kept, "oid").select("file", "oid", "content")
 
 
 def snapshot_identity(root: str, revision: str) -> str:

@@ -32,20 +32,24 @@ class Language:
         return self.resolve(self.declare(files))
 
 
-def index(catalog: Catalog, files: DataFrame, language: Language, whole: bool = True, deleted: DataFrame | None = None) -> int:
+def index(catalog: Catalog, files: DataFrame, language: Language, whole: bool = True, deleted: DataFrame | None = None, progress: Callable[[str, int], None] = lambda phase, n: None) -> int:
     """Bring the catalog up to ``files`` (``FILE_COLUMNS``); its revision.
 
     With ``whole`` the table is all there is, so missing files are deleted; else it is a batch of changes, and
     ``deleted`` (path) names the files that went. Nothing is written if nothing changed. Of rows that repeat a path the
-    one of the greatest hash holds.
+    one of the greatest hash holds. ``progress`` is told each phase as it begins, with the number of files concerned.
     """
+    progress("discover", 0)
     revision = catalog.revision()
     once = files.groupBy("path").agg(F.max_by(F.struct(*FILE_COLUMNS[1:]), "hash").alias("f")).select("path", "f.*")
     if not revision:
+        progress("analyze", once.count())
         declared = store(language.declare(once), "declared")
         graph = language.resolve(declared)
+        progress("persist", 0)
         done = catalog.commit({"files": once.select(FILE_COLUMNS), "declared": declared, "nodes": graph.nodes, "edges": graph.edges}, 0)
         forget(declared)
+        progress("complete", done)
         return done
     stored, known = catalog.table("files", revision), catalog.table("declared", revision)
     changed, missing = file_changes(stored, once)
@@ -56,12 +60,15 @@ def index(catalog: Catalog, files: DataFrame, language: Language, whole: bool =
         return revision
     touched = changed.unionByName(gone).distinct()
     fresh = store(once.join(changed, "path", "left_semi").join(gone, "path", "left_anti").select(FILE_COLUMNS), "fresh")
+    progress("analyze", fresh.count())
     kept = known.join(touched.withColumnRenamed("path", "file"), "file", "left_anti").select(known.columns)
     declared = store(kept.unionByName(language.declare(fresh).select(known.columns)), "declared")
     graph = language.resolve(declared)
+    progress("persist", 0)
     left = stored.join(touched, "path", "left_anti").select(FILE_COLUMNS)
     done = catalog.commit({"files": left.unionByName(fresh), "declared": declared, "nodes": graph.nodes, "edges": graph.edges}, revision)
     forget(changed, gone, fresh, declared)
+    progress("complete", done)
     return done
 
 
