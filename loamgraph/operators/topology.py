@@ -99,3 +99,31 @@ def cross_service_impact(calls: DataFrame, bridges: DataFrame, seeds: DataFrame,
         seen = seen.unionByName(frontier)
     best = seen.groupBy("seed", "node").agg(F.min(F.struct("distance", "bridges")).alias("b"))
     return best.select("seed", "node", "b.bridges", "b.distance")
+
+
+def compose(endpoints: DataFrame, services: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The connections between services, and the requests that none serves.
+
+    endpoints: (root, file, id, protocol, direction, method, address, setting); services: (root, path, service, origin);
+    settings: (service, setting, url). An endpoint belongs to the service with the longest path that holds its file; a
+    request that begins with a setting takes its url. Connections: (request_id, service, provider_id, provider,
+    confidence, evidence, protocol); what is left: (request_id, service, address).
+    """
+    prefixes = services.select("root", F.col("path").alias("prefix"), "service", "origin")
+    placed = longest_prefix(endpoints, "file", prefixes, "prefix", ["root"])
+    known = settings.select("service", "setting", F.col("url").alias("_base"))
+    asked = placed.where("direction = 'request'").join(known, ["service", "setting"], "left")
+    requests = asked.select(F.col("id").alias("request_id"), "service", "method", F.col("_base").alias("base"), "address")
+    providers = placed.where("protocol = 'http' and direction = 'provide'").select(F.col("id").alias("provider_id"), F.col("service").alias("provider"), "method", "origin", F.col("address").alias("route"))
+    web = connect_http(requests, providers).withColumn("protocol", F.lit("http"))
+    side = lambda way, names: placed.where((F.col("protocol") != "http") & (F.col("direction") == way)).select(F.col("id").alias(names[0]), F.col("service").alias(names[1]), "protocol", F.lit("").alias("resource"), "address", F.lit(None).cast("string").alias("channel_kind"))
+    sent, received = side("publish", ("request_id", "service")), side("subscribe", ("provider_id", "provider"))
+    channels = connect_channels(sent, received).join(sent.select("request_id", "protocol"), "request_id")
+    links = web.unionByName(channels.select(web.columns))
+    left = requests.join(web.select("request_id").distinct(), "request_id", "left_anti").select("request_id", "service", "address")
+    return links, left
+
+
+def service_map(links: DataFrame) -> DataFrame:
+    """(service, provider, protocol, links): how services depend on one another."""
+    return links.where("service <> provider").groupBy("service", "provider", "protocol").agg(F.count("*").alias("links"))

@@ -131,13 +131,13 @@ MEMBERS = "members AS (SELECT id AS root, id AS seed FROM nodes WHERE kind = 'cl
 
 
 @query(
-    on_graph(""", members AS (SELECT id AS root, id AS seed FROM nodes WHERE kind = 'interface')
-    SELECT DISTINCT root AS seed, target AS id FROM members JOIN edges ON source = seed WHERE type = 'TESTED_BY'
-    UNION SELECT root, source FROM members JOIN edges ON target = seed JOIN nodes ON id = source AND kind = 'test' WHERE type IN ('CALLS', 'REFERENCES')""")
+    on_activity(f""", {MEMBERS}, asked AS (SELECT root, seed FROM members UNION ALL SELECT id, id FROM nodes WHERE kind = 'interface')
+    SELECT DISTINCT root AS seed, target AS id FROM asked JOIN edges ON source = seed WHERE type = 'TESTED_BY'
+    UNION SELECT root, source FROM asked JOIN edges ON target = seed JOIN nodes ON id = source AND kind = 'test' WHERE type IN ('CALLS', 'REFERENCES')""")
 )
 def tests_for(spark, d):
-    graph = relational_graph(spark, d)
-    return A.tests_for(graph, seeds_of(graph, "interface"))
+    graph = activity_graph(spark, d)
+    return A.tests_for(graph, seeds_of(graph, "class").unionByName(seeds_of(graph, "interface")))
 
 
 @query(
@@ -561,15 +561,18 @@ def route_match(spark, d):
 
 @query(
     r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(\w+://[^/]*)', 1) AS origin, regexp_replace(regexp_extract(url, '^\w+://[^/]*(/[^?#]*)', 1), '/$', '') AS path FROM pages),
-    r AS (SELECT DISTINCT origin, string_split(path, '/')[2] AS lang FROM p), m AS (SELECT page_id, r.origin || '/' || lang AS provider_id FROM p JOIN r ON r.origin = p.origin AND len(string_split(p.path, '/')) = 3 AND string_split(p.path, '/')[2] = lang)
+    r AS (SELECT DISTINCT origin, string_split(path, '/')[2] AS lang FROM p), s AS (SELECT origin FROM p GROUP BY 1 HAVING min(page_id) % 2 = 0),
+    m AS (SELECT page_id, r.origin || '/' || lang AS provider_id FROM p JOIN r ON r.origin = p.origin AND len(string_split(p.path, '/')) = 3 AND string_split(p.path, '/')[2] = lang
+      UNION ALL SELECT page_id, s.origin || '/*' FROM p JOIN s USING (origin) WHERE len(string_split(p.path, '/')) = 3)
     SELECT page_id AS request_id, provider_id, CASE WHEN count(*) OVER (PARTITION BY page_id) > 1 THEN 0.5 ELSE 0.85 END::DOUBLE AS confidence FROM m"""
 )
 def link_ambiguity(spark, d):
     pages = table(spark, d, "pages")
     origin, lang = F.regexp_extract("url", r"^(\w+://[^/]*)", 1), F.regexp_extract("url", r"^\w+://[^/]*/([^/?#]*)", 1)
     requests = pages.select(F.col("page_id").alias("request_id"), F.lit("web").alias("service"), F.lit("GET").alias("method"), F.lit("").alias("base"), F.col("url").alias("address"))
-    providers = pages.select(origin.alias("origin"), lang.alias("lang")).distinct()
-    providers = providers.select(F.concat_ws("/", "origin", "lang").alias("provider_id"), F.col("origin").alias("provider"), F.lit("GET").alias("method"), "origin", F.concat("lang", F.lit("/:id")).alias("route"))
+    some = pages.groupBy(origin.alias("origin")).agg(F.min("page_id").alias("first")).where("first % 2 = 0").select("origin", F.lit("*").alias("lang"), F.lit(":lang/:id").alias("route"))
+    own = pages.select(origin.alias("origin"), lang.alias("lang")).distinct().withColumn("route", F.concat("lang", F.lit("/:id")))
+    providers = own.unionByName(some).select(F.concat_ws("/", "origin", "lang").alias("provider_id"), F.col("origin").alias("provider"), F.lit("GET").alias("method"), "origin", "route")
     return P.connect_http(requests, providers).select("request_id", "provider_id", "confidence")
 
 
@@ -579,22 +582,6 @@ def readiness_counts(spark, d):
     return P.status_counts(table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("service"), status.alias("status")))
 
 
-@query(
-    """SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) ORDER BY r, p_brand LIMIT 64"""
-)
-def round_robin_pack(spark, d):
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return table(spark, d, "part").withColumn("r", rank).orderBy("r", "p_brand").limit(64).select("p_brand", "p_partkey")
-
-
-@query(
-    """SELECT lang, sum(n_chars)::BIGINT AS before, sum(least(n_chars, 1000))::BIGINT AS after, round(100.0 * (sum(n_chars) - sum(least(n_chars, 1000))) / sum(n_chars), 2)::DOUBLE AS reduction, bool_and(n_chars > 0) AS whole FROM documents GROUP BY 1"""
-)
-def reduction_summary(spark, d):
-    kept = F.sum(F.least("n_chars", F.lit(1000)))
-    return table(spark, d, "documents").groupBy("lang").agg(F.sum("n_chars").alias("before"), kept.alias("after"), F.round(100 * (F.sum("n_chars") - kept) / F.sum("n_chars"), 2).alias("reduction"), F.bool_and(F.col("n_chars") > 0).alias("whole"))
-
-
 @query("SELECT doc_id, sha256(text) AS hash, len(string_split(text, chr(10)))::INT AS lines FROM documents")
 def source_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sha256("text").alias("hash"), T.line_count("text").alias("lines"))

@@ -22,6 +22,10 @@ TOKEN = re.compile(
     r"|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\.\.\.|\?\.|[{}()\[\];:,.<>=?!&|+\-*/%@#~^])"
 )
 KEYWORD_KINDS = {"class": "class", "interface": "interface", "enum": "enum", "function": "function", "type": "type", "namespace": "namespace", "module": "namespace"}
+HTTP_METHODS = {"GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD", "ALL"}
+CLASS_MARKS = {"Controller": "controller", "Injectable": "service"}  # what a class with a decorator is
+CLIENTS = {"fetch", "axios", "http", "https", "client"}  # whose calls are requests, not routes
+STORES = {"prisma", "db"}
 NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "new", "constructor"}
 MODIFIERS = {"public", "private", "protected", "static", "async", "readonly", "abstract", "override", "get", "set", "declare"}
 
@@ -57,6 +61,8 @@ class Scan:
         self.uses: list[tuple[str, str, str, int]] = []  # owner's qualified name, type, name, line
         self.starts = [0, *[m.end() for m in re.finditer("\n", source)]]
         self.seen: dict[str, int] = {}
+        self.marks: list[tuple[str, str]] = []  # decorators, with their first literal, of what comes next
+        self.bases: dict[str, str] = {}  # a controller's own part of its routes
         self.block(0, len(self.found), "")
         self.file_imports()
         self.relations()
@@ -98,10 +104,17 @@ class Scan:
             after = self.found[i + 1] if i + 1 < stop else ("", "", 0)
             if text == "export":
                 exported = True
+            elif text == "@" and after[0] == "name":
+                i = self.decorator(i, stop)
+                continue
             elif text in KEYWORD_KINDS and after[0] == "name" and kind == "name":
                 braces = self.body(i + 2, stop)
                 last = braces[1] if braces else i + 1
-                name = self.add(KEYWORD_KINDS[text], after[1], owner, i, last, exported)
+                marks = dict(self.marks)
+                kind = next((k for m, k in CLASS_MARKS.items() if m in marks), KEYWORD_KINDS[text]) if text == "class" else KEYWORD_KINDS[text]
+                name = self.add(kind, after[1], owner, i, last, exported)
+                self.bases[name] = marks.get("Controller", "")
+                self.marks = []
                 if braces and text in ("class", "interface"):
                     self.members(braces[0] + 1, braces[1], name, text)
                 elif braces and text in ("namespace", "module"):
@@ -136,6 +149,16 @@ class Scan:
                     i = closing(self.found, i)
             i += 1
 
+    def decorator(self, at: int, stop: int) -> int:
+        """The place after the decorator at ``at``, which is noted."""
+        name, after, literal = self.found[at + 1][1], at + 2, ""
+        if after < stop and self.found[after][1] == "(":
+            if self.found[after + 1][0] == "string":
+                literal = self.found[after + 1][1][1:-1]
+            after = closing(self.found, after) + 1
+        self.marks.append((name, literal))
+        return after
+
     def inner(self, at: int) -> tuple[int, int] | None:
         last = closing(self.found, at)
         for i in range(at, last):
@@ -148,9 +171,7 @@ class Scan:
         while i < stop:
             kind, text, _ = self.found[i]
             if text == "@":
-                i += 2
-                if i < stop and self.found[i][1] == "(":
-                    i = closing(self.found, i) + 1
+                i = self.decorator(i, stop)
                 continue
             if kind == "name":
                 first = i
@@ -170,7 +191,12 @@ class Scan:
                     last = braces[1] if braces else end
                     while not braces and last + 1 < stop and self.found[last][1] not in ";,":
                         last = closing(self.found, last + 1) if self.found[last + 1][1] in "{([" else last + 1
-                    self.add("constructor" if name == "constructor" else "method", name, owner, first, last, not private)
+                    unique = self.add("constructor" if name == "constructor" else "method", name, owner, first, last, not private)
+                    for mark, path in self.marks:
+                        if mark.upper() in HTTP_METHODS:
+                            whole = "/" + "/".join(p for p in (self.bases.get(owner, "").strip("/"), path.strip("/")) if p)
+                            self.uses.append((unique, "ROUTED_FROM", f"{mark.upper()} {whole}", self.line(self.found[first][2])))
+                    self.marks = []
                     i = last
                 else:
                     end = j
@@ -202,17 +228,27 @@ class Scan:
     def relations(self) -> None:
         spans = sorted(self.nodes, key=lambda n: (n["start"], -n["end"]))
         found = self.found
+        inside: list[dict] = []  # the declarations around a token, the innermost last
+        begun = 0
         for i, (kind, text, offset) in enumerate(found):
             if kind != "name":
                 continue
+            while begun < len(spans) and spans[begun]["start"] <= offset:
+                inside.append(spans[begun])
+                begun += 1
+            while inside and inside[-1]["end"] <= offset:
+                inside.pop()
             before = found[i - 1][1] if i else ""
             after = found[i + 1][1] if i + 1 < len(found) else ""
-            owners = [n for n in spans if n["start"] <= offset < n["end"]]
-            owner = owners[-1] if owners else None
-            if owner is None or text == owner["name"] and offset - owner["start"] < 200 and before in ("class", "interface", "function", "enum", "type", "const", "let", "var", "namespace"):
+            owner = inside[-1] if inside else None
+            if owner is None:
+                self.sites(i, "<file>", self.line(offset))
+                continue
+            if text == owner["name"] and offset - owner["start"] < 200 and before in ("class", "interface", "function", "enum", "type", "const", "let", "var", "namespace"):
                 continue
             q = owner["qualified"]
             line = self.line(offset)
+            self.sites(i, q, line)
             if before == "new":
                 self.uses.append((q, "CREATES", text, line))
             elif before in ("extends", "implements"):
@@ -225,6 +261,48 @@ class Scan:
                 self.uses.append((q, "ACCEPTS" if after in (",", ")") else "RETURNS" if after == "{" else "REFERENCES", text, line))
 
 
+    def sites(self, i: int, owner: str, line: int) -> None:
+        """Note a route, request, event or use of a database whose call's name is at ``i``."""
+        found = self.found
+        at = lambda k: found[k][1] if 0 <= k < len(found) else ""
+        if at(i) == "throw":
+            end = next((k for k in range(i, min(i + 8, len(found))) if found[k][0] == "string"), None)
+            if end is not None:
+                self.uses.append((owner, "THROWS", found[end][1][1:-1][:200], line))
+            return
+        if at(i + 1) != "(":
+            return
+        name, root = at(i), at(i - 2) if at(i - 1) in (".", "?.") else ""
+        chain = [name]
+        k = i
+        while at(k - 1) in (".", "?.") and k >= 2 and found[k - 2][0] == "name":
+            k -= 2
+            chain.append(at(k))
+        literal = found[i + 2][1][1:-1] if i + 2 < len(found) and found[i + 2][0] == "string" else None
+        if literal is not None and (name == "fetch" or chain[-1] in CLIENTS) and (name == "fetch" or name.upper() in HTTP_METHODS):
+            method = "GET" if name == "fetch" else name.upper()
+            if name == "fetch":
+                options = [t[1] for t in found[i : closing(found, i + 1)]]
+                method = next((options[j + 2][1:-1].upper() for j in range(len(options) - 2) if options[j] == "method" and options[j + 1] == ":"), method)
+            self.uses.append((owner, "REQUESTS", f"{method} {literal}", line))
+        elif literal is not None and root and name.upper() in HTTP_METHODS and literal.startswith("/"):
+            route = f"{name.upper()} {literal}"
+            self.uses.append((owner, "ROUTES", route, line))
+            last = closing(found, i + 1)
+            for j in range(i + 3, last):
+                if found[j][0] == "name" and at(j - 1) in (",", ".") and at(j + 1) in (",", ")"):
+                    self.uses.append((owner, "HANDLES", f"{route}\n{found[j][1]}", line))
+        elif len(chain) >= 3 and chain[-1] in STORES or len(chain) >= 4 and chain[-2] in STORES:
+            model = chain[1]
+            for begin, kind in (("create", "CREATES"), ("update", "UPDATES"), ("upsert", "UPDATES"), ("delete", "DELETES"), ("find", "READS"), ("count", "READS"), ("aggregate", "READS")):
+                if name.startswith(begin):
+                    self.uses.append((owner, f"MODEL_{kind}", model, line))
+                    break
+        elif literal is not None and root and name in ("emit", "publish", "on", "subscribe", "add"):
+            kind = "queue" if any("queue" in c.lower() for c in chain) else "event"
+            self.uses.append((owner, "CONSUMES" if name in ("on", "subscribe") else "EMITS", f"{kind}:{literal}", line))
+
+
 DECLARED = "file string, id string, kind string, name string, qualified_name string, owner_id string, start_line int, end_line int, start_offset int, end_offset int, exported boolean, signature string, imports array<struct<local:string,name:string,module:string>>, uses array<struct<owner:string,type:string,name:string,line:int>>"
 
 
@@ -283,7 +361,9 @@ def resolve(rows: DataFrame) -> Graph:
     linked = imported.join(targets, "stem")
     imports = linked.select(F.col("file_id").alias("source"), F.col("from_id").alias("target"), F.lit("IMPORTS").alias("type"), F.lit(None).cast("int").alias("line")).distinct()
 
-    uses = file_rows.select("file", F.explode("uses").alias("u")).select("file", F.col("u.owner").alias("source"), F.col("u.type").alias("type"), F.col("u.name").alias("used"), F.col("u.line").alias("line"))
+    every = file_rows.select("file", F.explode("uses").alias("u")).select("file", F.col("u.owner").alias("source"), F.col("u.type").alias("type"), F.col("u.name").alias("used"), F.col("u.line").alias("line"))
+    sites = every.where(F.col("type").isin(*SITES) | F.col("type").startswith("MODEL_"))
+    uses = every.where(~F.col("type").isin(*SITES) & ~F.col("type").startswith("MODEL_"))
     known = nodes.where("kind <> 'file'").select("id", "name", "kind", F.col("file").alias("from_file"), "exported")
     own = uses.alias("u").join(known.alias("k"), (F.col("u.file") == F.col("k.from_file")) & (F.col("u.used") == F.col("k.name"))).select("u.*", F.col("k.id").alias("target"), F.lit(0).alias("tier"))
     by_import = uses.join(linked.select("file", "from_file", F.col("local").alias("used"), "wanted"), ["file", "used"])
@@ -299,11 +379,58 @@ def resolve(rows: DataFrame) -> Graph:
     settings = uses.where("type = 'CONFIGURED_BY'").select("source", F.concat(F.lit("config:"), "used").alias("target"), "type", "line")
     config = settings.select(F.col("target").alias("id")).distinct().select("id", F.lit("configuration").alias("kind"), F.substring("id", 8, 500).alias("name"))
     nodes = nodes.unionByName(config.withColumn("qualified_name", F.col("name")).withColumn("exported", F.lit(False)).withColumn("entry_point", F.lit(False)), allowMissingColumns=True)
-    edges = contains.unionByName(exports).unionByName(imports).unionByName(resolved).unionByName(tested).unionByName(settings)
+    made, found_edges, thrown = _site_graph(sites, nodes)
+    nodes = nodes.join(thrown, "id", "left").unionByName(made, allowMissingColumns=True)
+    edges = contains.unionByName(found_edges).unionByName(exports).unionByName(imports).unionByName(resolved).unionByName(tested).unionByName(settings)
     edges = edges.groupBy("source", "target", "type").agg(F.min("line").alias("line"))
     sure = F.col("type").isin("CONTAINS", "EXPORTS")
     owned = edges.join(rows.select(F.col("id").alias("source"), F.col("file").alias("owner")).distinct(), "source", "left")
     return Graph(nodes, owned.withColumn("confidence", F.when(sure, 1.0).otherwise(0.75)).withColumn("evidence", F.when(sure, "deterministic").otherwise("heuristic")))
 
 
+SITES = ("ROUTES", "ROUTED_FROM", "HANDLES", "REQUESTS", "EMITS", "CONSUMES", "THROWS")
+
+
+def _site_graph(sites: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``Scan.sites`` noted as nodes (routes, models, events, queues), edges, and (id, exceptions) of nodes."""
+    none = F.lit(None).cast("int").alias("line")
+    key = lambda kind, name: F.concat(F.lit(f"{kind}:"), name)
+    routes = sites.where("type in ('ROUTES', 'ROUTED_FROM')").select("file", F.col("used").alias("name"), F.concat(F.lit("route:"), "file", F.lit(":"), "used").alias("id"), "source", "type", "line")
+    models = sites.where("type like 'MODEL_%'").select("source", key("database_model", F.col("used")).alias("id"), F.col("used").alias("name"), F.regexp_replace("type", "^MODEL_", "").alias("type"), "line")
+    kind, topic = F.split_part("used", F.lit(":"), F.lit(1)), F.regexp_replace("used", "^[a-z]+:", "")
+    topics = sites.where("type in ('EMITS', 'CONSUMES')").select("source", F.col("used").alias("id"), kind.alias("kind"), topic.alias("name"), "type", "line")
+
+    made = routes.select("id", F.lit("route").alias("kind"), "name", "file", F.col("name").alias("route"), F.lit(True).alias("entry_point"))
+    made = made.unionByName(models.select("id", F.lit("database_model").alias("kind"), "name"), allowMissingColumns=True)
+    made = made.unionByName(topics.select("id", "kind", "name"), allowMissingColumns=True).dropDuplicates(["id"])
+    made = made.select("id", "kind", "name", "file", "route", F.col("name").alias("qualified_name"), F.lit(False).alias("exported"), F.coalesce("entry_point", F.lit(False)).alias("entry_point"))
+
+    own = routes.where("type = 'ROUTED_FROM'").select(F.col("id").alias("route"), F.col("source").alias("handler"), "line")
+    parts = F.split("used", "\n", 2)
+    named = sites.where("type = 'HANDLES'").select("file", F.concat(F.lit("route:"), "file", F.lit(":"), parts[0]).alias("route"), parts[1].alias("name"), "line")
+    one = nodes.where("kind in ('function', 'method')").groupBy("file", "name").agg(F.count("*").alias("n"), F.min("id").alias("handler")).where("n = 1")
+    own = own.unionByName(named.join(one, ["file", "name"]).select("route", "handler", "line"))
+    edges = own.select(F.col("route").alias("source"), F.col("handler").alias("target"), F.lit("CALLS").alias("type"), "line")
+    edges = edges.unionByName(own.select(F.col("handler").alias("source"), F.col("route").alias("target"), F.lit("ROUTED_FROM").alias("type"), "line"))
+    for t in (models, topics):
+        edges = edges.unionByName(t.select("source", F.col("id").alias("target"), "type", "line"))
+    thrown = sites.where("type = 'THROWS'").groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("used")).alias("exceptions"))
+    return made, edges.unionByName(edges.where("false").select("source", "target", "type", none)), thrown
+
+
+def endpoints(rows: DataFrame) -> DataFrame:
+    """(file, id, protocol, direction, method, address, setting, symbol_id, line): where the ``declarations`` of sources
+    offer and ask over HTTP, and send and receive events. An address that begins with a setting names it."""
+    every = rows.where("kind = 'file'").select("file", F.explode("uses").alias("u")).select("file", F.col("u.owner").alias("symbol_id"), F.col("u.type").alias("type"), F.col("u.name").alias("used"), F.col("u.line").alias("line"))
+    http = every.where("type in ('ROUTES', 'ROUTED_FROM', 'REQUESTS')").withColumn("method", F.split_part("used", F.lit(" "), F.lit(1))).withColumn("whole", F.regexp_replace("used", r"^\S+ ", ""))
+    based = r"^\$\{\s*process\.env\.(\w+)\s*\}"
+    http = http.withColumn("setting", F.nullif(F.regexp_extract("whole", based, 1), F.lit(""))).withColumn("address", F.regexp_replace("whole", based, ""))
+    direction = F.when(F.col("type") == "REQUESTS", "request").otherwise("provide")
+    http = http.where(~F.col("address").contains("${")).select("file", F.lit("http").alias("protocol"), direction.alias("direction"), F.when(F.col("method") == "ALL", "*").otherwise(F.col("method")).alias("method"), "address", "setting", "symbol_id", "line")
+    none = F.lit(None).cast("string")
+    topics = every.where("type in ('EMITS', 'CONSUMES')").select("file", F.split_part("used", F.lit(":"), F.lit(1)).alias("protocol"), F.when(F.col("type") == "EMITS", "publish").otherwise("subscribe").alias("direction"), none.alias("method"), F.regexp_replace("used", "^[a-z]+:", "").alias("address"), none.alias("setting"), "symbol_id", "line")
+    found = http.unionByName(topics)
+    return found.withColumn("id", F.concat_ws("#", "file", "protocol", "direction", F.coalesce("method", F.lit("")), "address", "line"))
+
+
 LANGUAGE = Language(declarations, resolve)

@@ -17,6 +17,7 @@ from loamgraph.operators.context import context
 from loamgraph.operators.cycles import cycles
 from loamgraph.schema import Graph
 from loamgraph.sources.config import bounded
+from loamgraph.sources.files import function_bindings, repository_checks
 
 TOOLS = (
     "workflow", "review_changes", "context", "excerpt", "symbol", "search", "callers", "callees", "references",
@@ -176,8 +177,19 @@ class Workbench:
             "changes": self.changed,
             "change_impact": self.do_review_changes,
             "test_gaps": self.test_gaps,
+            "checks": lambda: repository_checks(self.files.where("manifest")),
+            "connections": self.connections,
         }[action](**given)
 
+    def connections(self) -> DataFrame:
+        """What the declared endpoints need: their settings as missing, since a graph holds no values of them, or fixed."""
+        from loamgraph.operators.topology import readiness
+
+        found = function_bindings(self.files.where("manifest"))
+        status = F.when(F.col("setting").isNull(), "configured").otherwise("missing")
+        folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", r"/[^/]*$", "")).otherwise(".")
+        return readiness(found.select(folder.alias("service"), F.col("protocol").alias("kind"), F.coalesce("setting", F.lit("")).alias("setting"), status.alias("status"), F.col("file").alias("place")))
+
     def test_gaps(self) -> DataFrame:
         """(id, tests): changed callables with the number of tests that may reach them."""
         changed = self.changed().join(self.graph.nodes.where("kind in ('function', 'method', 'constructor')").select("id"), "id", "left_semi")

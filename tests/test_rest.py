@@ -385,6 +385,101 @@ def test_command_line(spark, project, tmp_path, capsys):
     assert call("workflow", '{"action": "text", "query": "salt"}')
 
 
+SITES = """import { jobs } from "./jobs";
+@Controller("users")
+export class UserController {
+  @Get(":id") find(id: string) { return this.prisma.user.findUnique({ where: { id } }); }
+  @Post() async add(body: Body) {
+    if (!body) throw new BadRequest("body is missing");
+    await db.user.create({ data: body });
+    this.bus.emit("user.created", body);
+    jobQueue.add("mail", body);
+    return fetch(`${process.env.MAIL_URL}/send/1`, { method: "POST" });
+  }
+}
+@Injectable()
+export class Helper { run() { return axios.get("https://api.example.com/v1/users"); } }
+export function health(req, res) { res.send("ok"); }
+app.get("/health", guard, health);
+bus.on("user.created", (x) => x);
+"""
+MAILER = """export function send(req, res) { return 1; }
+app.post("/send/:id", send);
+jobQueue.on("mail", send);
+"""
+
+
+def test_sites(spark):
+    rows = source_rows(spark, {"web/u.ts": SITES, "mail/m.ts": MAILER})
+    graph = typescript.extract(rows)
+    nodes = {r.id: r for r in graph.nodes.collect()}
+    kinds = {r.kind: r.name for r in nodes.values()}
+    assert kinds["controller"] == "UserController" and kinds["service"] == "Helper" and kinds["database_model"] == "user" and kinds["queue"] == "mail"
+    routes = {r.route for r in nodes.values() if r.kind == "route"}
+    assert routes == {"GET /users/:id", "POST /users", "GET /health", "POST /send/:id"} and all(r.entry_point for r in nodes.values() if r.kind == "route")
+    assert nodes["typescript:web/u.ts:UserController.add"].exceptions == ["body is missing"]
+    edges = {(r.source.split(":", 2)[-1], r.target.split(":", 1 if r.target.startswith(("event", "queue", "database")) else 2)[-1], r.type) for r in graph.edges.collect()}
+    assert {("UserController.find", "user", "READS"), ("UserController.add", "user", "CREATES"), ("UserController.add", "user.created", "EMITS"), ("UserController.add", "mail", "EMITS"), ("<file>", "user.created", "CONSUMES")} <= edges
+    assert {("GET /health", "health", "CALLS"), ("health", "GET /health", "ROUTED_FROM"), ("GET /users/:id", "UserController.find", "CALLS"), ("POST /send/:id", "send", "CALLS")} <= edges
+
+
+def test_service_map(spark):
+    rows = typescript.endpoints(typescript.declarations(source_rows(spark, {"web/u.ts": SITES, "mail/m.ts": MAILER}))).withColumn("root", F.lit("r"))
+    services = spark.createDataFrame([("r", "web", "web", "http://web"), ("r", "mail", "mail", "http://mail:8080")], "root string, path string, service string, origin string")
+    settings = spark.createDataFrame([("web", "MAIL_URL", "http://mail:8080")], "service string, setting string, url string")
+    links, left = topology.compose(rows, services, settings)
+    assert {(r.service, r.provider, r.protocol) for r in links.collect()} == {("web", "mail", "http"), ("web", "web", "event"), ("web", "mail", "queue")}
+    assert [r.address for r in left.collect()] == ["https://api.example.com/v1/users"]
+    assert {(r.service, r.provider, r.protocol, r.links) for r in topology.service_map(links).collect()} == {("web", "mail", "http", 1), ("web", "mail", "queue", 1)}
+
+
+def test_records(spark, tmp_path):
+    from loamgraph.operators import records
+
+    runs = spark.createDataFrame([(i, i) for i in range(1, 6)], "id long, revision long")
+    metadata = spark.createDataFrame([("revision", "1"), ("x", "y")], "key string, value string")
+    kept, after = records.finish_run(runs, metadata, spark.createDataFrame([(6, 6)], runs.schema), 3)
+    assert [r.id for r in kept.orderBy("id").collect()] == [4, 5, 6]
+    assert {r.key: r.value for r in after.collect()} == {"revision": "6", "x": "y", "lastIndex": '{"id":6,"revision":6}'}
+    for n in (1, 2):
+        records.append_log(spark.createDataFrame([(n, n)], runs.schema), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    add = lambda name: lambda t: t | {name: runs}
+    tables, version = records.migrate({}, 1, {1: add("a"), 2: add("b")})
+    assert set(tables) == {"a", "b"} and version == 3
+    with pytest.raises(ValueError):
+        records.migrate({}, 9, {})
+
+
+def test_stemmed_search(spark):
+    nodes = spark.createDataFrame([(1, "renewMembership", "Renews a lapsed membership"), (2, "issueToken", "Issues tokens for sessions"), (3, "other", "nothing here")], "id int, name string, doc string")
+    index = search.stemmed_index(nodes, "id", {"identity": "name", "documentation": "doc"})
+    asked = spark.createDataFrame([(0, "renewing memberships"), (1, "issued token")], "query_id int, query string")
+    assert {(r.query_id, r.id) for r in search.stemmed_search(index, asked, 1).collect()} == {(0, 1), (1, 2)}
+    assert search.stemmed_search(index, asked, 1).count() == 2
+
+
+def test_limits_of_sources(spark, project, tmp_path):
+    with pytest.raises(ValueError, match="more than the configuration"):
+        files.discover(spark, str(project), config.load('{"limits": {"max_files": 2}}'))
+    found = files.discover(spark, str(project))
+    one = files.config_hash(found, config.Config()).first()[0]
+    assert len(one) == 64 and one != files.config_hash(found, config.Config(token_budget=500)).first()[0]
+    paths = ["secrets.prod/key.ts", "credentials.d/x.ts", "src/a.ts", "x.min.js"]
+    got = spark.createDataFrame([(p,) for p in paths], "path string").where(files.admissible(F.col("path"))).collect()
+    assert [r.path for r in got] == ["src/a.ts"]
+    suite = tmp_path / "suite.json"
+    good = {"id": "a", "category": "c", "task": "t", "baselineFiles": [], "baselineSearchCalls": 0, "requiredSymbols": ["x"], "maxTokens": 500}
+    suite.write_text(json.dumps([good]))
+    assert files.scenarios(spark, str(suite)).count() == 1
+    suite.write_text(json.dumps([good | {"maxTokens": 5}]))
+    with pytest.raises(ValueError):
+        files.scenarios(spark, str(suite))
+    folders = [("/a", "/real/a", True, None), ("/b", "/real/b1", True, "x"), ("/c", "/real/a", True, None), ("/d", "/real/d", False, None)]
+    got = files.projects(spark.createDataFrame(folders, "path string, real_path string, is_repository boolean, child string")).collect()
+    assert {r.path for r in got} == {"/a", "/b/x"} and all(len(r.project) == 24 for r in got)
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@example.com", *a], check=True, capture_output=True)
     run("init", "-q")
