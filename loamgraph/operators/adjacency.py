@@ -98,12 +98,17 @@ def file_overview(graph: Graph) -> DataFrame:
 
 
 def skeleton(graph: Graph, seeds: DataFrame) -> DataFrame:
-    """(seed, members, outline): the names of contained nodes in order, under the seed's own."""
-    inside = neighbors(graph, seeds, "out", ["CONTAINS"]).join(graph.nodes.select("id", "name"), "id")
-    names = inside.groupBy("seed").agg(F.count("*").alias("members"), F.array_sort(F.collect_list("name")).alias("names"))
-    own = graph.nodes.select(F.col("id").alias("seed"), F.col("name").alias("own"))
-    outline = F.concat(F.col("own"), F.lit(" { "), F.array_join("names", "; "), F.lit(" }"))
-    return names.join(own, "seed").select("seed", "members", outline.alias("outline"))
+    """(seed, members, outline): the signatures of contained nodes (names where there are none) by their place in the
+    source, else by name, under the seed's own."""
+    has = set(graph.nodes.columns)
+    place = F.col("start_offset") if "start_offset" in has else F.lit(None).cast("int")
+    text = F.coalesce("signature", "name") if "signature" in has else F.col("name")
+    rows = graph.nodes.select("id", place.alias("at"), text.alias("text"))
+    inside = neighbors(graph, seeds, "out", ["CONTAINS"]).join(rows, "id")
+    listed = inside.groupBy("seed").agg(F.count("*").alias("members"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
+    own = rows.select(F.col("id").alias("seed"), F.col("text").alias("own"))
+    outline = F.concat(F.col("own"), F.lit(" { "), F.array_join(F.transform("all", lambda m: m["text"]), "; "), F.lit(" }"))
+    return listed.join(own, "seed").select("seed", "members", outline.alias("outline"))
 
 
 def architecture(graph: Graph, entry_points: int = 30, per_entry: int = 10) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MOST_BUDGET = 32_000
-MOST_OPTIONS = 254
 
 
 def best_choice(groups: list[list[tuple[int, float]]], budget: int) -> list[tuple[int, int]]:
@@ -25,8 +24,6 @@ def best_choice(groups: list[list[tuple[int, float]]], budget: int) -> list[tupl
     best = np.zeros(budget + 1)
     taken = np.full((len(groups), budget + 1), -1, np.int16)
     for g, options in enumerate(groups):
-        if len(options) > MOST_OPTIONS:
-            raise ValueError("too many options in a group")
         after = best.copy()
         for k, (cost, utility) in enumerate(options):
             if cost < 1 or not np.isfinite(utility) or utility < 0:
@@ -143,3 +140,47 @@ def without_covered(chosen: DataFrame) -> DataFrame:
     holds = (chosen.request_id == members.request_id) & F.col("_m").startswith(F.concat("qualified_name", F.lit(".")))
     parents = chosen.where("representation = 'source'").join(members, holds, "left_semi").select("request_id", "qualified_name").distinct()
     return chosen.join(parents, ["request_id", "qualified_name"], "left_anti")
+
+
+def pack_greedily(rows: DataFrame, request: str, order: list[str], cost: str, budgets: DataFrame) -> DataFrame:
+    """``rows`` that are taken when each, in order, is added to its request if it still fits and passed over if not.
+
+    budgets: (request, budget), of what remains after a package's fixed parts. A request's rows meet in one task: they are
+    the paths, tests or additions of one package.
+    """
+    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(request).orderBy(*order)))
+    thin = numbered.select(request, "_at", F.col(cost).cast("long").alias("_cost")).join(budgets.select(request, F.col("budget").cast("long").alias("_left")), request)
+
+    def take(t: pa.Table) -> pa.Table:
+        at, costs = t.column("_at").to_numpy(), t.column("_cost").to_numpy()
+        left, taken = t.column("_left")[0].as_py(), []
+        for i in np.argsort(at):
+            if costs[i] <= left:
+                left -= costs[i]
+                taken.append(i)
+        return t.select([request, "_at"]).take(pa.array(taken, pa.int64()))
+
+    kind = thin.schema[request].dataType.simpleString()
+    chosen = thin.groupBy(request).applyInArrow(take, f"`{request}` {kind}, _at int")
+    return numbered.join(chosen, [request, "_at"], "left_semi").drop("_at")
+
+
+def shrink(rows: DataFrame, request: str, order: list[str], cost: str, protected: str, budgets: DataFrame) -> DataFrame:
+    """``rows`` without the last unprotected ones of each request until what is left costs no more than its budget."""
+    mine = Window.partitionBy(request)
+    kept = F.coalesce(F.sum(F.when(F.col(protected), F.col(cost))).over(mine), F.lit(0))
+    running = F.sum(F.when(F.col(protected), 0).otherwise(F.col(cost))).over(mine.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    spent = rows.withColumn("_spent", kept + running).join(budgets, request)
+    return spent.where(F.col(protected) | (F.col("_spent") <= F.col("budget"))).drop("_spent", "budget")
+
+
+def self_counting(render: Callable[[int], str], count: Callable[[str], int], most: int = 8) -> tuple[str, int]:
+    """A text that states its own token count, and that count: ``render`` is called until the count stands."""
+    n = 0
+    for _ in range(most):
+        text = render(n)
+        now = count(text)
+        if now == n:
+            break
+        n = now
+    return render(n), n

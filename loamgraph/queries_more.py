@@ -376,6 +376,34 @@ def shares_reserved(spark, d):
     return B.reserve(options, budgets, {"primary": 0.55, "test": 0.25}).select("request_id", "symbol_id", "cost")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS same, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) OVER (PARTITION BY l_orderkey) + sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS spent FROM lineitem) WHERE l_returnflag = 'R' OR spent <= 80")
+def shrunk_packages(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_returnflag") == "R").alias("kept"))
+    budgets = lines.select("l_orderkey").distinct().withColumn("budget", F.lit(80))
+    return B.shrink(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_quantity", "kept", budgets).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem),
+    t AS (SELECT l_orderkey, 0::BIGINT AS r, 0::BIGINT AS spent, NULL::INT AS l_linenumber, false AS taken FROM n WHERE r = 1
+      UNION ALL SELECT n.l_orderkey, n.r, CASE WHEN spent + c <= 50 THEN spent + c ELSE spent END, n.l_linenumber, spent + c <= 50 FROM t JOIN n ON n.l_orderkey = t.l_orderkey AND n.r = t.r + 1)
+    SELECT l_orderkey, l_linenumber FROM t WHERE taken"""
+)
+def greedy_packages(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    budgets = lines.select("l_orderkey").distinct().withColumn("budget", F.lit(50))
+    return B.pack_greedily(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_quantity", budgets).select("l_orderkey", "l_linenumber")
+
+
+@query()
+def context_packages(spark, d):
+    """A package for the first turn of every conversation over the graph of activity; SQL has no knapsack."""
+    from loamgraph.operators.context import context
+
+    asked = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("request_id"), F.concat(F.lit("why does purchase fail after signup? "), "text").alias("task"), F.lit(600).alias("max_tokens"))
+    return context(activity_graph(spark, d), asked)
+
+
 # Sources and addresses
 
 

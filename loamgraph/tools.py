@@ -80,7 +80,8 @@ class Workbench:
         if not query.strip():
             return nodes.orderBy("qualified_name", "id").offset(offset).limit(limit)
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
-        found = S.bm25(S.index_terms(nodes, "id", {"identity": "qualified_name"}), asked, limit + offset)
+        fields = {n: c for n, c in (("identity", "qualified_name"), ("signature", "signature"), ("documentation", "documentation")) if c in nodes.columns}
+        found = S.stemmed_search(S.stemmed_index(nodes, "id", fields), asked, limit + offset)
         if offset == 0 and found.isEmpty():
             return nodes.where(F.lower("name").contains(query.lower())).orderBy("id").limit(limit)
         return found.where(F.col("rank") > offset).join(nodes, "id").orderBy("rank")

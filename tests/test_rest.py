@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions.text import classify_task, overlap, porter_stem, query_terms, stems, words
 from loamgraph.functions.urls import clean_address, join_route, request_url, route_matches
 from loamgraph.operators import budget, history, mutations, search, topology
+from loamgraph.operators import context as context_module
 from loamgraph.operators.context import context
 from loamgraph.plans.catalog import Catalog, StaleRevision
 from loamgraph.schema import Graph
@@ -124,6 +125,38 @@ def test_context_budget_holds(spark, found):
     assert set(spent) == {0, 1, 2} and all(spent[i] <= m for i, m in enumerate((128, 300, 2000)))
 
 
+def test_context_finds_forms_names_and_neighbours(spark, found):
+    graph = typescript.extract(found)
+    asked = spark.createDataFrame([(0, "explain how tokens are issued", 2000), (1, "what does AuthService.login do", 2000), (2, "where is signing", 2000)], "request_id int, task string, max_tokens int")
+    got = {}
+    for r in context_module.candidates(graph, asked).collect():
+        got.setdefault(r.request_id, {})[r.id.split(":", 2)[-1]] = r
+    assert "TokenService.issue" in got[0] and got[0]["TokenService.issue"].distance == 0  # a stem of "issued"
+    assert got[1]["AuthService.login"].exact and got[1]["AuthService.login"].score == max(r.score for r in got[1].values())
+    assert got[1]["TokenService.issue"].score > 0.3  # called by it
+    assert all(r.distance <= 1 for r in got[2].values())  # locating stays near
+    assert not any(name.endswith((".constructor", "<file>")) for rows in got.values() for name in rows)
+    chosen = context(graph, asked.withColumn("max_tokens", F.lit(128)))
+    assert all(r.s <= 128 for r in chosen.groupBy("request_id").agg(F.sum("cost").alias("s")).collect())
+
+
+def test_greedy_packing_and_self_count(spark):
+    rng = random.Random(2)
+    rows = [(r, i, rng.randint(1, 30)) for r in range(20) for i in range(12)]
+    budgets = spark.createDataFrame([(r, 60) for r in range(20)], "r int, budget int")
+    df = spark.createDataFrame(rows, "r int, i int, c int")
+    want = set()
+    for r in range(20):
+        left = 60
+        for _, i, c in [x for x in rows if x[0] == r]:
+            if c <= left:
+                left -= c
+                want.add((r, i))
+    assert {(x.r, x.i) for x in budget.pack_greedily(df, "r", ["i"], "c", budgets).collect()} == want
+    text, n = budget.self_counting(lambda n: f"{'x' * 95} {n}", len)
+    assert len(text) == n
+
+
 def test_words_and_terms(spark):
     row = spark.createDataFrame([("getUserName2Id ÉtéX-y_z", "where does authentication fail for retries")], "a string, b string").select(words("a").alias("w"), query_terms("b").alias("t"), classify_task("b").alias("c")).first()
     assert row.w == ["get", "user", "name2", "id", "étéx", "y", "z"]
