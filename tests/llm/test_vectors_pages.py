@@ -234,3 +234,43 @@ def test_pipeline(spark, tmp_path):
     assert all(seen[2][i].text == seen[1][i].text and seen[2][i].n_chars == seen[1][i].n_chars for i in seen[2] if i != 301)
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == clean - {300}
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _before int, _lm_row int, ids string, sequence_id long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    secret = "x password=abcdefghij " + " ".join(f"q{k}" for k in range(30))
+    rows = [(1, "one text of its own", "en", "s", 19, 7, 8, "i", 9), (1, "another text of that id", "en", "s", 23, 7, 8, "i", 9), (2, secret, "en", "s", len(secret), 7, 8, "i", 9), (2, secret, "en", "s", len(secret), 7, 8, "i", 9), (None, None, None, None, None, None, None, None, None)]
+    for given, want in ((rows, 4), ([], 0)):
+        out = spark.createDataFrame(given, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, d)
+            assert out.columns == [c.split()[0] for c in schema.split(", ")]
+        kept = out.collect()
+        assert len(kept) == want and all(r._before == 7 and r._lm_row == 8 for r in kept if r.doc_id)
+        assert not any("abcdefghij" in (r.text or "") or r.doc_id and r.n_chars != len(r.text) for r in kept)
+        assert corpus_pipeline.STAGES[-1][1](spark, out, d).count() == want
+
+
+def test_pages_with_clashing_columns_and_repeated_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "x" * 200, "r", "d"), (1, "u", "x" * 200, "r", "d"), (None, None, None, "r", "d")], "page_id long, url string, html string, row string, digest string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id is None, r.type, len(r.body)) for r in got) == [(False, "response", 200), (False, "response", 200), (True, "response", 0)]
+    warc.write_archives(df.where("false"), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_revisits_name_their_record(spark, tmp_path):
+    df = spark.createDataFrame([(2, "http://b/", "x" * 200), (1, "http://a/", "x" * 200)], "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    import glob
+    import gzip
+
+    records = [h for f in glob.glob(str(tmp_path / "w/*.gz")) for h, _ in warc.parse(gzip.open(f).read())]
+    first = next(h for h in records if h["warc-type"] == "response")
+    again = next(h for h in records if h["warc-type"] == "revisit")
+    assert again["warc-refers-to"] == first["warc-record-id"] and again["warc-refers-to-target-uri"] == "http://a/" and first["warc-x-page-id"] == "1"
