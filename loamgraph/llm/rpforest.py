@@ -3,7 +3,7 @@
 Each tree splits its vectors at the median of a random projection, again and again; vectors within a margin of the
 split go to both sides. The margin is half the standard deviation of the projected difference of two unit vectors
 at the threshold, so such a pair is parted at a node with a chance of about 2 %: by one tree of depth 20 with a chance
-of a third, by all ``TREES`` trees with one of 0.4 %, and pairs nearer than that far less. A node ends as a leaf when it
+of a third, by all ``TREES`` trees with one of 0.5 %, and pairs nearer than that far less. A node ends as a leaf when it
 is expected to hold ``LEAF`` rows, or when its vectors lie so close that a split would part near-duplicates.
 
 The upper nodes of the trees are fitted on a bounded sample (``SAMPLE`` rows, the first by a seeded hash of the id) and
