@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamgraph.schema import DEPENDENCY_TYPES, Graph
+
 BULK = 30  # files of a commit from which its pairs are not counted
 
 
@@ -111,3 +113,38 @@ def merge_consumers(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = a.join(b, same, "full_outer")
     snapshot = F.when(F.col("_b") & F.col("_a"), "both").when(F.col("_b"), "before").otherwise("after")
     return joined.select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in key], snapshot.alias("snapshot"))
+
+
+def review(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, file, qualified_name, from_file, from_name): what became of the declarations of two snapshots (file,
+    qualified_name, kind, hash, masked, header).
+
+    One that went and one that came are a move if their sources are equal, else a rename if they are equal but for the
+    name (``masked``), each only if both are the only ones of their kind and source.
+    """
+    changes = compare_declarations(before, after)
+    name = F.struct("file", "qualified_name").alias("id")
+    side = lambda df, change: df.join(changes.where(F.col("change") == change).select("file", "qualified_name"), ["file", "qualified_name"], "left_semi").select(name, "kind", "hash", "masked")
+    gone, come = side(before, "removed"), side(after, "added")
+    moved = move_candidates(gone, come)
+    left = gone.join(moved.select(F.col("before").alias("id")), "id", "left_anti"), come.join(moved.select(F.col("after").alias("id")), "id", "left_anti")
+    paired = moved.withColumn("change", F.lit("move")).unionByName(move_candidates(*left, by="masked").withColumn("change", F.lit("rename")))
+    none = F.lit(None).cast("string")
+    used = paired.select(F.lit("removed").alias("change"), "before.file", "before.qualified_name").unionByName(paired.select(F.lit("added").alias("change"), "after.file", "after.qualified_name"))
+    rest = changes.join(used, ["change", "file", "qualified_name"], "left_anti").select("change", "file", "qualified_name", none.alias("from_file"), none.alias("from_name"))
+    return rest.unionByName(paired.select("change", "after.file", "after.qualified_name", F.col("before.file").alias("from_file"), F.col("before.qualified_name").alias("from_name")))
+
+
+def consumers(before: Graph, after: Graph, targets: DataFrame, depth: int = 3, most: int = 8) -> DataFrame:
+    """``merge_consumers`` of what depends on each target (target) within ``depth`` steps, in either snapshot's graph; of
+    each snapshot the first ``most`` by distance and id, as a report."""
+    from loamgraph.operators.traversal import reach, steps
+
+    def side(graph: Graph) -> DataFrame:
+        found = reach(targets.select(F.col("target").alias("seed")), steps(graph, DEPENDENCY_TYPES), depth, paths=True).where("distance > 0")
+        first = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))
+        has = lambda c: F.col(c) if c in graph.nodes.columns else F.lit(None).cast("string")
+        nodes = graph.nodes.select(F.col("id").alias("node"), has("signature").alias("signature"), has("source_hash").alias("hash"))
+        return found.withColumn("_n", first).where(F.col("_n") <= most).withColumnRenamed("seed", "target").join(nodes, "node").select("target", "node", "signature", "hash", "dispatch", "path")
+
+    return merge_consumers(side(before), side(after))

@@ -254,6 +254,27 @@ def consumers_merged(spark, d):
     return H.merge_consumers(before, after).groupBy("snapshot").agg(F.count("*").alias("n"))
 
 
+REVIEW = """b AS (SELECT o_custkey::VARCHAR AS file, o_orderkey::VARCHAR AS q, o_orderpriority AS kind, floor(o_totalprice)::BIGINT AS hash, floor(o_totalprice / 50)::BIGINT AS masked FROM orders WHERE o_orderstatus <> 'O'),
+    a AS (SELECT o_custkey::VARCHAR AS file, o_orderkey::VARCHAR AS q, o_orderpriority AS kind, floor(o_totalprice)::BIGINT + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS hash, floor(o_totalprice / 50)::BIGINT AS masked FROM orders WHERE o_orderstatus <> 'F'),
+    gone AS (SELECT * FROM b WHERE q NOT IN (SELECT q FROM a)), come AS (SELECT * FROM a WHERE q NOT IN (SELECT q FROM b)),
+    m AS (SELECT g.q AS old, c.q AS new FROM (SELECT kind, hash, min(q) AS q FROM gone GROUP BY 1, 2 HAVING count(*) = 1) g JOIN (SELECT kind, hash, min(q) AS q FROM come GROUP BY 1, 2 HAVING count(*) = 1) c USING (kind, hash)),
+    g2 AS (SELECT * FROM gone WHERE q NOT IN (SELECT old FROM m)), c2 AS (SELECT * FROM come WHERE q NOT IN (SELECT new FROM m)),
+    n AS (SELECT g.q AS old, c.q AS new FROM (SELECT kind, masked, min(q) AS q FROM g2 GROUP BY 1, 2 HAVING count(*) = 1) g JOIN (SELECT kind, masked, min(q) AS q FROM c2 GROUP BY 1, 2 HAVING count(*) = 1) c USING (kind, masked))"""
+
+
+@query(
+    f"""WITH {REVIEW} SELECT 'move' AS change, new AS qualified_name, old AS from_name FROM m UNION ALL SELECT 'rename', new, old FROM n
+    UNION ALL SELECT 'removed', q, NULL FROM g2 WHERE q NOT IN (SELECT old FROM n) UNION ALL SELECT 'added', q, NULL FROM c2 WHERE q NOT IN (SELECT new FROM n)
+    UNION ALL SELECT 'modified', q, NULL FROM b JOIN a USING (q) WHERE b.hash <> a.hash"""
+)
+def history_review(spark, d):
+    o = table(spark, d, "orders")
+    price = F.floor("o_totalprice")
+    side = lambda rows, price: rows.select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").cast("string").alias("qualified_name"), F.col("o_orderpriority").alias("kind"), price.alias("hash"), F.floor(F.col("o_totalprice") / 50).alias("masked"), F.col("o_orderpriority").alias("header"))
+    before, after = side(o.where("o_orderstatus <> 'O'"), price), side(o.where("o_orderstatus <> 'F'"), price + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
+    return H.review(before, after).select("change", "qualified_name", "from_name")
+
+
 # Search
 
 

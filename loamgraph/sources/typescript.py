@@ -388,6 +388,33 @@ def resolve(rows: DataFrame) -> Graph:
     return Graph(nodes, owned.withColumn("confidence", F.when(sure, 1.0).otherwise(0.75)).withColumn("evidence", F.when(sure, "deterministic").otherwise("heuristic")))
 
 
+MASK = "<declaration-name>"
+SHAPES = "file string, qualified_name string, kind string, exported boolean, hash string, masked string, header string"
+
+
+def shapes(files: DataFrame) -> DataFrame:
+    """(file, qualified_name, kind, exported, hash, masked, header) of the declarations of (path, language, content,
+    manifest): digests of each one's source, and of it with its own name masked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        names = [c.split()[0] for c in SHAPES.split(", ")]
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                scan = Scan(path, content or "")
+                for n in scan.nodes:
+                    own = scan.source[n["start"] : n["end"]]
+                    masked = re.sub(rf"(?<![\w$]){re.escape(n['name'])}(?![\w$])", MASK, own, count=1)
+                    rows.append((path, n["qualified"], n["kind"], n["exported"], digest(own), digest(masked), n["signature"]))
+            types = [pa.bool_() if c == "exported" else pa.string() for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return files.where("not manifest").select("path", "content").mapInArrow(run, SHAPES)
+
+
 SITES = ("ROUTES", "ROUTED_FROM", "HANDLES", "REQUESTS", "EMITS", "CONSUMES", "THROWS")
 
 

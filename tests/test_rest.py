@@ -513,6 +513,18 @@ def test_limits_of_sources(spark, project, tmp_path):
     assert {r.path for r in got} == {"/a", "/b/x"} and all(len(r.project) == 24 for r in got)
 
 
+def test_history_of_sources(spark):
+    old = {"src/a.ts": "export function kept() { return 1; }\nexport function price(x: number) { return x * 2; }\nexport function gone() { return 3; }\n", "src/b.ts": 'import { price } from "./a";\nexport function total() { return price(2); }\nexport function checkout() { return total(); }\n'}
+    new = {"src/a.ts": "export function kept() { return 1; }\nexport function cost(x: number) { return x * 2; }\n", "src/b.ts": old["src/b.ts"].replace("total() {", "total(y: string) {").replace("return total();", "return  total();"), "src/c.ts": "export function gone() { return 3; }\n"}
+    before, after = (typescript.shapes(source_rows(spark, x)) for x in (old, new))
+    got = {(r.change, r.file, r.qualified_name, r.from_file, r.from_name) for r in history.review(before, after.select(before.columns)).collect()}
+    assert got == {("rename", "src/a.ts", "cost", "src/a.ts", "price"), ("move", "src/c.ts", "gone", "src/a.ts", "gone"), ("signature", "src/b.ts", "total", None, None), ("modified", "src/b.ts", "checkout", None, None)}
+    targets = spark.createDataFrame([("typescript:src/a.ts:price",), ("typescript:src/b.ts:total",)], "target string")
+    found = history.consumers(typescript.extract(source_rows(spark, old)), typescript.extract(source_rows(spark, new)), targets).collect()
+    rows = {(r.target.split(":")[-1], r.node.split(":")[-1], r.snapshot) for r in found}
+    assert {("price", "total", "before"), ("price", "checkout", "before"), ("total", "checkout", "both")} <= rows
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@example.com", *a], check=True, capture_output=True)
     run("init", "-q")
