@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamgraph.functions.text import classify_task, query_terms, stems, words
-from loamgraph.operators.adjacency import resolve
+from loamgraph.operators.adjacency import neighbors, resolve, skeleton
 from loamgraph.operators.budget import count_tokens, optimize_budget, prefix_within, representations, reserve, without_covered
+from loamgraph.operators.metrics import recall, reduction
 from loamgraph.operators.search import candidate_score, exact_identifiers, rank_score, stemmed_index, stemmed_search
 from loamgraph.operators.views import omission
 from loamgraph.plans.storage import forget, store
@@ -154,3 +155,34 @@ def context(graph: Graph, requests: DataFrame, sources: DataFrame | None = None,
     chosen = kept.select("request_id", "symbol_id", "representation", F.col("cost").cast("int").alias("cost")).unionByName(optimize_budget(rest, left))
     names = symbols.select("request_id", "symbol_id", "qualified_name")
     return without_covered(chosen.join(names, ["request_id", "symbol_id"])).select("request_id", "symbol_id", "representation", "cost")
+
+
+SEMANTIC_CHARS, SEMANTIC_RELATIONS = 6000, 15
+
+
+def semantic_input(graph: Graph, seeds: DataFrame, files: DataFrame) -> DataFrame:
+    """(seed, outline, relations, hashes): what a description of each symbol (seed) may be written from: its outline cut to
+    ``SEMANTIC_CHARS``, its first ``SEMANTIC_RELATIONS`` outgoing relations, and the digests of the files (path, hash)
+    that these come from."""
+    own = graph.nodes.select(F.col("id").alias("seed"), "name", F.col("file").alias("path")).join(seeds.select("seed").distinct(), "seed")
+    outline = own.join(skeleton(graph, seeds), "seed", "left").select("seed", "path", F.substring(F.coalesce("outline", "name"), 1, SEMANTIC_CHARS).alias("outline"))
+    near = neighbors(graph, seeds, "out", None, SEMANTIC_RELATIONS).join(graph.nodes.select("id", "qualified_name", "file"), "id")
+    told = near.groupBy("seed").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "type", "qualified_name"))).alias("relations"), F.collect_set("file").alias("_files"))
+    both = outline.join(told, "seed", "left").withColumn("_paths", F.array_distinct(F.concat(F.array("path"), F.coalesce("_files", F.array().cast("array<string>")))))
+    digests = both.select("seed", F.explode("_paths").alias("path")).join(files.select("path", "hash"), "path").groupBy("seed").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "hash")))).alias("hashes"))
+    return both.join(digests, "seed", "left").select("seed", "outline", F.coalesce("relations", F.array().cast("array<string>")).alias("relations"), "hashes")
+
+
+def benchmark(graph: Graph, scenarios: DataFrame, files: DataFrame, count=count_tokens) -> DataFrame:
+    """(scenario_id, before, after, reduction, recall, missing) of scenarios (id, task, baselineFiles, requiredSymbols,
+    maxTokens) against whole files (path, content): tokens of the files that would be read, of the package, and which
+    required symbols it lacks."""
+    chosen = store(context(graph, scenarios.select(F.col("id").alias("request_id"), "task", F.col("maxTokens").alias("max_tokens")), count=count), "packages")
+    after = chosen.groupBy(F.col("request_id").alias("scenario_id")).agg(F.sum("cost").alias("after"))
+    sizes = files.select("path", count("content").alias("_tokens"))
+    before = scenarios.select(F.col("id").alias("scenario_id"), F.explode("baselineFiles").alias("path")).join(sizes, "path").groupBy("scenario_id").agg(F.sum("_tokens").alias("before"))
+    names = chosen.join(graph.nodes.select(F.col("id").alias("symbol_id"), F.col("qualified_name").alias("symbol")), "symbol_id")
+    found = recall(scenarios.select(F.col("id").alias("scenario_id"), F.col("requiredSymbols").alias("required")), names.select(F.col("request_id").alias("scenario_id"), "symbol"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    rows = found.join(before, "scenario_id", "left").join(after, "scenario_id", "left").select("scenario_id", zero("before"), zero("after"), "recall", "missing")
+    return rows.withColumn("reduction", reduction(F.col("before"), F.col("after")))

@@ -22,6 +22,7 @@ TOKEN = re.compile(
     r"|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\.\.\.|\?\.|[{}()\[\];:,.<>=?!&|+\-*/%@#~^])"
 )
 KEYWORD_KINDS = {"class": "class", "interface": "interface", "enum": "enum", "function": "function", "type": "type", "namespace": "namespace", "module": "namespace"}
+EXPORTED = "export"  # in place of an imported name: the module's names are passed on
 HTTP_METHODS = {"GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD", "ALL"}
 CLASS_MARKS = {"Controller": "controller", "Injectable": "service"}  # what a class with a decorator is
 CLIENTS = {"fetch", "axios", "http", "https", "client"}  # whose calls are requests, not routes
@@ -224,6 +225,8 @@ class Scan:
                 self.imports.append((part.removeprefix("* as ").strip(), "*" if part.startswith("*") else "default", module))
         for m in re.finditer(r"""import\s+["']([^"']+)["']""", self.source):
             self.imports.append(("", "", m[1]))
+        for m in re.finditer(r"""export\s+(?:type\s+)?(?:\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s+from\s+["']([^"']+)["']""", self.source):
+            self.imports.append(("", EXPORTED, m[1]))
 
     def relations(self) -> None:
         spans = sorted(self.nodes, key=lambda n: (n["start"], -n["end"]))
@@ -359,7 +362,8 @@ def resolve(rows: DataFrame) -> Graph:
     imported = imported.select("file", "file_id", "i.local", F.col("i.name").alias("wanted"), stem(F.array_join(folded, "/")).alias("stem"))
     targets = file_rows.select(F.col("file").alias("from_file"), F.col("id").alias("from_id"), stem(F.col("file")).alias("stem"))
     linked = imported.join(targets, "stem")
-    imports = linked.select(F.col("file_id").alias("source"), F.col("from_id").alias("target"), F.lit("IMPORTS").alias("type"), F.lit(None).cast("int").alias("line")).distinct()
+    passed_on = F.when((F.col("local") == "") & (F.col("wanted") == EXPORTED), "EXPORTS").otherwise("IMPORTS")
+    imports = linked.select(F.col("file_id").alias("source"), F.col("from_id").alias("target"), passed_on.alias("type"), F.lit(None).cast("int").alias("line")).distinct()
 
     every = file_rows.select("file", F.explode("uses").alias("u")).select("file", F.col("u.owner").alias("source"), F.col("u.type").alias("type"), F.col("u.name").alias("used"), F.col("u.line").alias("line"))
     sites = every.where(F.col("type").isin(*SITES) | F.col("type").startswith("MODEL_"))

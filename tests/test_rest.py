@@ -525,6 +525,40 @@ def test_history_of_sources(spark):
     assert {("price", "total", "before"), ("price", "checkout", "before"), ("total", "checkout", "both")} <= rows
 
 
+def test_workspace(spark, tmp_path):
+    from loamgraph import workspace
+
+    trees = {"a": {"src/t.ts": TOKEN, "src/index.ts": 'export * from "./t";\n'}, "b": {"src/x.ts": "export function signToken() { return 1; }\n"}}
+    catalogs = {p: Catalog(spark, str(tmp_path / p)) for p in [*trees, "c"]}
+    done = workspace.index_all(catalogs, lambda p: source_rows(spark, trees[p]), typescript.LANGUAGE)
+    assert [(d["project"], d["status"]) for d in done] == [("a", "ok"), ("b", "ok"), ("c", "error")] and "c" in done[2]["message"]
+    graphs = {p: catalogs[p].graph() for p in trees}
+    assert ("typescript:src/index.ts:<file>", "typescript:src/t.ts:<file>", "EXPORTS") in {(r.source, r.target, r.type) for r in graphs["a"].edges.collect()}
+    asked = spark.createDataFrame([(0, "sign the token", 60)], "request_id int, task string, max_tokens int")
+    got = workspace.workspace_context(graphs, asked).collect()
+    assert {r.project for r in got} == {"a", "b"} and sum(r.cost for r in got) <= 60
+    benches = {p: Workbench(spark, g, catalogs[p].table("files")) for p, g in graphs.items()}
+    out = workspace.fan_out(benches, "symbol", name="TokenService.issue")
+    assert [(r["project"], r["status"]) for r in out] == [("a", "ok"), ("b", "error")]
+    assert workspace.share(1) == 6000 and workspace.share(64) == 500 and workspace.error_message(KeyError()) == "KeyError"
+    cache = workspace.ContextCache(2)
+    texts = [cache.get((k,), lambda k=k: f"t{k}") for k in (1, 2, 1, 3, 2, 1)]
+    assert texts == ["t1", "t2", "t1", "t3", "t2", "t1"] and cache.hits == 2 and len(cache.held) == 2
+
+
+def test_semantic_input_and_benchmark(spark):
+    rows = source_rows(spark, {"src/auth.ts": AUTH, "src/token.ts": TOKEN})
+    graph = typescript.extract(rows)
+    seeds = spark.createDataFrame([("typescript:src/auth.ts:AuthService",), ("typescript:src/token.ts:sign",)], "seed string")
+    got = {r.seed.split(":")[-1]: r for r in context_module.semantic_input(graph, seeds, rows).collect()}
+    assert "login" in got["AuthService"].outline and any(x.startswith("CONTAINS") for x in got["AuthService"].relations) and set(got["AuthService"].hashes) == {"src/auth.ts"}
+    assert got["sign"].relations == [] and set(got["sign"].hashes) == {"src/token.ts"}
+    kind = "id string, task string, baselineFiles array<string>, requiredSymbols array<string>, maxTokens int"
+    suite = spark.createDataFrame([("s", "how are tokens issued", ["src/auth.ts", "src/token.ts"], ["TokenService.issue", "Nothing"], 500)], kind)
+    r = context_module.benchmark(graph, suite, rows).first()
+    assert r.missing == ["Nothing"] and r.recall == 0.5 and r.before > r.after > 0
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@example.com", *a], check=True, capture_output=True)
     run("init", "-q")
