@@ -29,26 +29,33 @@ def bm25(index: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
 
     Any of the query's first distinct terms may match, as the beginning of a word. A term's frequency is the weighted
     sum over fields and matched words; length is that of all fields.
+
+    What a term gives a row does not depend on the query, so it is computed once for all queries, and queries that share
+    their matching terms share their best rows. Sizes that grow with the index are estimated far too small from compressed
+    files, hence the merge joins: else the index may be broadcast through the driver.
     """
     lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    terms = queries.select("query_id", F.posexplode(F.slice(F.array_distinct(words("query")), 1, MOST_TERMS)).alias("pos", "wanted"))
-    vocabulary = index.select("term").distinct()
+    terms = queries.select("query_id", F.explode(F.slice(F.array_distinct(words("query")), 1, MOST_TERMS)).alias("wanted"))
     # a wanted term's first letters join; whole beginnings are compared after
-    short = lambda c: F.substring(c, 1, 3)
-    wanted = terms.select("wanted").distinct()
-    long = wanted.where(F.length("wanted") >= 3).join(vocabulary, short("wanted") == short("term")).where(F.col("term").startswith(F.col("wanted")))
-    brief = wanted.where(F.length("wanted") < 3).join(vocabulary, F.substring("term", 1, 1) == F.substring("wanted", 1, 1)).where(F.col("term").startswith(F.col("wanted")))
-    expanded = terms.join(long.unionByName(brief), "wanted").select("query_id", "wanted", "term").distinct()
+    first = F.array_distinct(F.array(*[F.substring("term", 1, n) for n in (1, 2, 3)]))
+    vocabulary = index.select("term").distinct().select("term", F.explode(first).alias("_first"))
+    wanted = terms.select("wanted").distinct().withColumn("_first", F.substring("wanted", 1, 3))
+    expanded = wanted.join(vocabulary.hint("merge"), "_first").where(F.col("term").startswith(F.col("wanted"))).select("wanted", "term")
     weight = reduce(lambda acc, kv: acc.when(F.col("field") == kv[0], kv[1]), FIELD_WEIGHTS.items(), F.when(F.lit(False), 0.0)).otherwise(1.0)
-    hits = index.join(expanded, "term").groupBy("query_id", "wanted", "id").agg(F.sum(F.col("tf") * weight).alias("wtf"))
-    spread = hits.groupBy("query_id", "wanted").agg(F.count("*").alias("df"))
-    scored = hits.join(spread, ["query_id", "wanted"]).join(lengths, "id").crossJoin(F.broadcast(size))
+    hits = index.hint("merge").join(expanded, "term").groupBy("wanted", "id").agg(F.sum(F.col("tf") * weight).alias("wtf"))
+    spread = hits.groupBy("wanted").agg(F.count("wtf").alias("df"))  # of the same columns, so that hits are computed once
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    score = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return score.withColumn("rank", rank).where(F.col("rank") <= top)
+    parts = hits.join(spread, "wanted").join(lengths.hint("merge"), "id").crossJoin(F.broadcast(size)).select("wanted", "id", part.alias("part"))
+    asked = terms.join(spread.select("wanted"), "wanted").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("wanted")), " ").alias("_set"))
+    sets = asked.select("_set").distinct().select("_set", F.explode(F.split("_set", " ")).alias("wanted"))
+    score = parts.join(sets, "wanted").groupBy("_set", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("score"), "id"))
+    best = score.withColumn("rank", rank).where(F.col("rank") <= top)
+    listed = best.groupBy("_set").agg(F.collect_list(F.struct("id", "score", "rank")).alias("_best"))
+    found = asked.join(listed, "_set").select("query_id", "_best").repartition("query_id")  # many queries may share a set
+    return found.select("query_id", F.explode("_best").alias("b")).select("query_id", "b.*")
 
 
 def term_coverage(index: DataFrame, queries: DataFrame) -> DataFrame:

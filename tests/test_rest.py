@@ -2,7 +2,9 @@
 
 import itertools
 import json
+import math
 import random
+import re
 import subprocess
 
 import pytest
@@ -163,6 +165,28 @@ def test_words_and_terms(spark):
     assert row.t == ["authentication", "fail", "retries", "auth", "login", "session", "token", "password", "retry"] and row.c == "debug"
 
 
+def test_bm25_does_not_broadcast_its_index(spark, tmp_path):
+    names = ["blue ring", "red ring", "blue steel bolt", "ring ring", "steelwork"]
+    spark.createDataFrame(list(enumerate(names)), "id long, name string").write.parquet(f"{tmp_path}/part")
+    terms = search.index_terms(spark.read.parquet(f"{tmp_path}/part"), "id", {"identity": "name"})
+    asked = spark.createDataFrame([(1, "ring steel"), (2, "steel of the Ring"), (3, "nothing"), (4, "b"), (5, "")], "query_id int, query string")
+    found = search.bm25(terms, asked, 3)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[(id|term)#", plan)
+    mean = sum(len(n.split()) for n in names) / len(names)
+    want = {}
+    for q, wanted in ((1, ("ring", "steel")), (2, ("ring", "steel")), (4, ("b",))):
+        scores = {}
+        for w in wanted:
+            tf = {i: n for i, x in enumerate(names) if (n := 4 * sum(t.startswith(w) for t in x.split()))}
+            for i, n in tf.items():
+                idf = math.log(1 + (len(names) - len(tf) + 0.5) / (len(tf) + 0.5))
+                scores[i] = scores.get(i, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(names[i].split()) / mean))
+        best = sorted((-round(s, 6), i) for i, s in scores.items())[:3]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert {(r.query_id, r["rank"]): (r.id, r.score) for r in found.collect()} == want
+
+
 def test_strategy_beyond_ascii_equals_sql(spark, tmp_path):
     import duckdb
 
