@@ -72,7 +72,9 @@ def candidates(graph: Graph, requests: DataFrame, weights: dict[str, float] | No
     def scored(rows: DataFrame, distance: Column) -> DataFrame:
         """rows: (request_id, id, inherited) as candidates; those that do not belong in a context are left out."""
         mine = exact.withColumn("exact", F.lit(True))
-        rows = rows.join(nodes, "id").join(facts, "request_id").join(mine, ["request_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+        # the thin join first and the requests' texts last: wide rows are dealt out once
+        rows = rows.join(mine, ["request_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+        rows = rows.join(nodes, "id").join(facts, "request_id")
         rank = lambda d: rank_score("terms", "_name", "_path", "_signature", d, F.col("entry_point"), F.col("kind"), F.col("strategy"), F.col("exported"), weights=weights)
         is_named, is_stem = F.array_contains("plain", F.lower("name")), F.coalesce(F.array_contains("plain_stems", F.col("_stem")), F.lit(False))
         score = candidate_score(F.col("inherited"), rank(distance), rank(F.lit(None).cast("double")), distance, F.col("kind"), F.col("exact"), is_named, is_stem)

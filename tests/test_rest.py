@@ -187,6 +187,22 @@ def test_bm25_does_not_broadcast_its_index(spark, tmp_path):
     assert {(r.query_id, r["rank"]): (r.id, r.score) for r in found.collect()} == want
 
 
+def test_queries_with_the_same_matching_terms_are_searched_once(spark):
+    def most_rows(plan):
+        kind = plan.nodeName()
+        below = plan.children()
+        below = [plan.executedPlan()] if kind.startswith("AdaptiveSparkPlan") else [plan.plan()] if "QueryStage" in kind else [below.apply(i) for i in range(below.size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+    terms = search.index_terms(spark.range(100).withColumn("name", F.concat(F.lit("ring "), "id")), "id", {"identity": "name"})
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("which ring was it that x"), "id").alias("query"))
+    found = search.bm25(terms, asked, 5)
+    assert {tuple(r) for r in found.select("query_id", "id", "rank").collect()} == {(q, k, k + 1) for q in range(200) for k in range(5)}
+    found.collect()
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 5_000  # 200 queries meet 100 rows each
+
+
 def test_strategy_beyond_ascii_equals_sql(spark, tmp_path):
     import duckdb
 
