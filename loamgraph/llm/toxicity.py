@@ -15,10 +15,14 @@ not learnt from; of labels that repeat an id the largest counts, and of document
 labelled row of both kinds a category has the probability of its base rate (0 without rows); an empty table gives an
 empty table; rows that repeat are scored one by one and a null id is kept; of equally sure features the smaller hash is
 taken; texts are taken whole, at any length; further columns travel along or are not looked at, whatever their names.
+
+Texts are looked at in runs of about ``RUN_BYTES``, a longer text in parts that end where words do, so a task's Python
+holds a few tens of MB besides the distinct features of one text and the longest word.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +42,8 @@ LEAST_SURPRISE = 3.0  # standard errors of a feature's log odds
 FOLDS = 3
 STEPS = 150
 THRESHOLD = 0.25
+RUN_BYTES = 1 << 18
+EDGE = re.compile(rb"[\t-\r ]")
 
 #: Categories in the order of the chain, as SQL over a labelled document: by language, then at all.
 CATEGORIES = {
@@ -50,7 +56,38 @@ CATEGORIES = {
 
 
 def features_of(shingler: Shingler, texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the distinct features of each text, in order: hashes, or places in ``chosen`` (sorted)."""
+    """(text, feature) of the distinct features of each text, in order: hashes, or places in ``chosen`` (sorted).
+
+    ``texts``: a run of ``slices``.
+    """
+    if len(texts) == 1 and len(texts[0]) > RUN_BYTES:
+        f = union(features_of_run(shingler, [part], chosen)[1] for part in parts_of(texts[0]))
+        return np.zeros(len(f), np.int64), f
+    return features_of_run(shingler, texts, chosen)
+
+
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """Parts of about ``RUN_BYTES`` that end where a word does."""
+    at = 0
+    while at < len(text):
+        edge = EDGE.search(text, at + RUN_BYTES)
+        end = edge.start() if edge else len(text)
+        yield text[at:end]
+        at = end
+
+
+def union(parts: Iterator[np.ndarray], least: int = 1 << 18) -> np.ndarray:
+    """The distinct values of all parts, sorted; holds no more than a few times as many, or ``least``."""
+    held, more, count = np.zeros(0, np.uint64), [], 0
+    for part in parts:
+        more.append(part)
+        count += len(part)
+        if count > max(least, len(held)):
+            held, more, count = np.unique(np.concatenate([held, *more])), [], 0
+    return np.unique(np.concatenate([held, *more]))
+
+
+def features_of_run(shingler: Shingler, texts: list[bytes], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     shingler._grow(len(data) + 1)
     edge = np.flatnonzero(np.diff(shingler.space[data], prepend=True))
@@ -148,6 +185,24 @@ def fit_chain(names: list[str], chosen: np.ndarray, text_of: np.ndarray, feature
     return chain
 
 
+#: Texts that hold a feature, and those of them in the last category, by fold.
+COUNTED = [f"{c}_{f}" for c in ("n", "hits") for f in range(FOLDS)]
+
+
+def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, fold, 0 or 1): the hash and the counts of each feature, run by run."""
+    shingler = Shingler(1)
+    for b in batches:
+        fold = b.column(1).to_numpy()
+        of = [np.ones(b.num_rows), b.column(2).to_numpy()]
+        for first, texts in slices(b.column(0), RUN_BYTES):
+            t, f = features_of(shingler, texts)
+            u, inverse = np.unique(f, return_inverse=True)
+            there = first + t
+            sums = [np.bincount(inverse[m], y[there[m]], len(u)).astype(np.int32) for y in of for m in (fold[there] == k for k in range(FOLDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, sums)], names=["h", *COUNTED])
+
+
 def choose_features(told: DataFrame, totals: np.ndarray, positives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes, sorted, that any model may use, and ``masks`` of ``fit_chain``.
 
@@ -179,24 +234,10 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
     label_of = [F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"_c{i}") for i, e in enumerate(categories.values())]
     sample = store(first.select("_text", F.pmod(F.xxhash64(F.lit(7), id), F.lit(FOLDS)).cast("int").alias("_fold"), *label_of), "labelled")
     last = f"_c{len(names) - 1}"
-    counted = ["h", *[f"{c}_{f}" for c in ("n", "hits") for f in range(FOLDS)]]
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(1)
-        for b in batches:
-            fold = b.column(1).to_numpy()
-            of = [np.ones(b.num_rows), b.column(2).to_numpy()]
-            for first, texts in slices(b.column(0), 8 << 20):
-                t, f = features_of(shingler, texts)
-                u, inverse = np.unique(f, return_inverse=True)
-                there = first + t
-                sums = [np.bincount(inverse[m], y[there[m]], len(u)).astype(np.int32) for y in of for m in (fold[there] == k for k in range(FOLDS))]
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, sums)], names=counted)
-
     sums = np.zeros((2, FOLDS))
     for row in sample.groupBy("_fold").agg(F.count("*"), F.sum(last)).collect():  # at most one row a fold
         sums[:, row[0]] = row[1:]
-    told = sample.select("_text", "_fold", last).mapInArrow(tell, "h bigint, " + ", ".join(f"{c} int" for c in counted[1:])).groupBy("h").agg(*[F.sum(c).alias(c) for c in counted[1:]])
+    told = sample.select("_text", "_fold", last).mapInArrow(tell, "h bigint, " + ", ".join(f"{c} int" for c in COUNTED)).groupBy("h").agg(*[F.sum(c).alias(c) for c in COUNTED])
     told = store(told.where(sum((F.col(f"n_{f}") for f in range(FOLDS)), F.lit(0)) >= LEAST_TEXTS), "told")
     chosen, masks = choose_features(told, sums[0], sums[1])
     forget(told)
@@ -204,7 +245,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] =
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
         for b in batches:
-            for first, texts in slices(b.column(0)):
+            for first, texts in slices(b.column(0), RUN_BYTES):
                 t, f = features_of(shingler, texts, chosen)
                 cuts = np.searchsorted(t, np.arange(1, len(texts)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.split(f.astype(np.int64), cuts), pa.list_(pa.int64())), *[c.slice(first, len(texts)) for c in b.columns[1:]]], names=["at", *b.schema.names[1:]])
@@ -226,7 +267,7 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", id: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
         for b in batches:
-            for first, texts in slices(b.column(1)):
+            for first, texts in slices(b.column(1), RUN_BYTES):
                 t, f = features_of(shingler, texts, chain.chosen)
                 p = chain.predict(t, f.astype(np.int64), len(texts))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=[id, *names])
@@ -241,7 +282,7 @@ def drop_toxic(df: DataFrame, chain: Chain, text: str = "text", threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
         for b in batches:
-            for first, texts in slices(b.column(at)):
+            for first, texts in slices(b.column(at), RUN_BYTES):
                 t, f = features_of(shingler, texts, chain.chosen)
                 kept = chain.predict(t, f.astype(np.int64), len(texts))[:, -1] < threshold
                 yield b.slice(first, len(texts)).filter(pa.array(kept))

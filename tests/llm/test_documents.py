@@ -3,9 +3,11 @@
 import collections
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,3 +480,37 @@ def test_buckets_are_bounded_by_bytes(spark, monkeypatch):
     scatter = shards.scatter
     monkeypatch.setattr(shards, "scatter", lambda rows, seed, buckets: taken.append(buckets) or scatter(rows, seed, buckets))
     assert shards.shard(df, 3).count() == 200 and taken[0] >= 45
+
+
+def test_toxicity_features_need_little_memory(monkeypatch):
+    rng = random.Random(6)
+    make = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 12))) for _ in range(n)).encode()
+    batch = pa.RecordBatch.from_pydict({"_text": [make(400) for _ in range(1000)], "_fold": [i % 3 for i in range(1000)], "_c0": [i % 2 for i in range(1000)]})
+    long = b"\t".join([make(300), "ä".encode() * 400, b" " * 900, make(300)])
+    texts = [long, b"", make(40), long[:300], long, b"x" * 700, b" " * 800, make(9)]
+    chosen = np.unique(toxicity.features_of(minhash.Shingler(1), [long])[1])[::3]
+
+    def found(places):
+        out = []
+        for first, run in minhash.slices(pa.array(texts, pa.binary()), toxicity.RUN_BYTES):
+            t, f = toxicity.features_of(minhash.Shingler(1), run, places)
+            out += zip((first + t).tolist(), f.tolist())
+        return out
+
+    def counted():
+        table = pa.Table.from_batches(toxicity.tell(iter([batch]))).group_by("h").aggregate([(c, "sum") for c in toxicity.COUNTED])
+        return table.sort_by("h").to_pydict()
+
+    once = [found(None), found(chosen)]
+    tracemalloc.start()
+    for work in (lambda: toxicity.features_of(minhash.Shingler(1), [long * 1500]), lambda: collections.deque(toxicity.tell(iter([batch])), 0)):
+        tracemalloc.reset_peak()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    whole = counted()
+    for size in (16, 64, 1 << 11):  # the cuts change nothing
+        monkeypatch.setattr(toxicity, "RUN_BYTES", size)
+        assert [found(None), found(chosen)] == once
+    monkeypatch.setattr(toxicity, "RUN_BYTES", 1 << 15)
+    assert counted() == whole and sum(whole[f"n_{k}_sum"][0] for k in range(3)) > 0
