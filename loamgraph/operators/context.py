@@ -4,6 +4,9 @@ Terms of each task are searched by their stems, and identifiers that the task na
 by their signals; the best are expanded along the graph, level by level, keeping the direction of the first step; what is
 eligible gets representations. The primary symbol, a test and named symbols have shares of the budget kept for them; of
 the rest a knapsack per request takes the most useful.
+
+Nodes, edges, requests and candidates all grow, and Spark estimates their compressed files far too small: their joins are
+merged, so that none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def _steps(graph: Graph) -> DataFrame:
     edges = graph.edges_of(FOLLOWED)
     out = edges.select(F.col("source").alias("_at"), F.lit("out").alias("way"), "type", F.col("target").alias("id"))
     back = edges.where("type <> 'CONTAINS'").select(F.col("target").alias("_at"), F.lit("in").alias("way"), "type", F.col("source").alias("id"))
-    both = out.unionByName(back).distinct().join(kinds, "_at").where((F.col("type") != "CONTAINS") | F.col("_kind").isin(*CONTAINERS))
+    both = out.unionByName(back).distinct().join(kinds.hint("merge"), "_at").where((F.col("type") != "CONTAINS") | F.col("_kind").isin(*CONTAINERS))
     first = F.row_number().over(Window.partitionBy("_at", "way").orderBy("type", "id"))
     return both.withColumn("_n", first).where(F.col("_n") <= FANOUT).select("_at", "way", "type", "id")
 
@@ -61,7 +64,7 @@ def candidates(graph: Graph, requests: DataFrame, weights: dict[str, float] | No
     facts = store(_facts(requests), "facts")
     asked = facts.select(F.col("request_id").alias("query_id"), F.array_join("terms", " ").alias("query"))
     hits = stemmed_search(index, asked, CANDIDATES).select(F.col("query_id").alias("request_id"), "id", "rank")
-    named = exact_identifiers(requests, "request_id", "task").withColumnRenamed("id", "request_id")
+    named = exact_identifiers(requests, "request_id", "task").withColumnRenamed("id", "request_id").hint("merge")
     found = resolve(graph, named.select(F.col("identifier").alias("query")))
     exact = store(named.join(found.select(F.col("query").alias("identifier"), "id"), "identifier").select("request_id", "id").distinct(), "exact")
     text = lambda c: words(F.coalesce(F.col(c), F.lit("")))
@@ -71,10 +74,10 @@ def candidates(graph: Graph, requests: DataFrame, weights: dict[str, float] | No
 
     def scored(rows: DataFrame, distance: Column) -> DataFrame:
         """rows: (request_id, id, inherited) as candidates; those that do not belong in a context are left out."""
-        mine = exact.withColumn("exact", F.lit(True))
+        mine = exact.withColumn("exact", F.lit(True)).hint("merge")
         # the thin join first and the requests' texts last: wide rows are dealt out once
         rows = rows.join(mine, ["request_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
-        rows = rows.join(nodes, "id").join(facts, "request_id")
+        rows = rows.join(nodes.hint("merge"), "id").join(facts.hint("merge"), "request_id")
         rank = lambda d: rank_score("terms", "_name", "_path", "_signature", d, F.col("entry_point"), F.col("kind"), F.col("strategy"), F.col("exported"), weights=weights)
         is_named, is_stem = F.array_contains("plain", F.lower("name")), F.coalesce(F.array_contains("plain_stems", F.col("_stem")), F.lit(False))
         score = candidate_score(F.col("inherited"), rank(distance), rank(F.lit(None).cast("double")), distance, F.col("kind"), F.col("exact"), is_named, is_stem)
@@ -88,7 +91,7 @@ def candidates(graph: Graph, requests: DataFrame, weights: dict[str, float] | No
     frontier = direct.withColumn("_top", top(SEEDS)).where("_top").select("request_id", F.col("id").alias("_at"), F.col("score").alias("_from"), F.lit(None).cast("string").alias("_way"), "depth")
     step, levels = store(_steps(graph), "steps"), [direct]
     for distance in (1, 2):
-        near = frontier.where(F.col("depth") >= distance).join(step, "_at")
+        near = frontier.where(F.col("depth") >= distance).join(step.hint("merge"), "_at")
         near = near.where(F.col("_way").isNull() | (F.col("_way") == F.col("way")) | (F.col("type") == "IMPLEMENTS"))
         flow = F.col("type").isin(*FLOW)
         near = near.withColumn("inherited", F.col("_from") * F.when(flow, FLOW_DECAY).otherwise(OTHER_DECAY)).withColumn("_flow", flow)
@@ -96,7 +99,7 @@ def candidates(graph: Graph, requests: DataFrame, weights: dict[str, float] | No
         best = near.groupBy("request_id", "id").agg(F.max("inherited").alias("inherited"))
         level = store(scored(best, F.lit(distance)), "level")
         levels.append(level)
-        onward = near.where("_flow").select("request_id", "id", "way").distinct().join(level, ["request_id", "id"])
+        onward = near.where("_flow").select("request_id", "id", "way").distinct().join(level.hint("merge"), ["request_id", "id"])
         frontier = onward.withColumn("_top", top(QUEUE)).where("_top").select("request_id", F.col("id").alias("_at"), F.col("score").alias("_from"), F.col("way").alias("_way"), "depth")
     whole = levels[0]
     for level in levels[1:]:
@@ -113,15 +116,15 @@ def eligible(found: DataFrame, graph: Graph, requests: DataFrame) -> DataFrame:
     the task names them, shortlisted by budget; ``position`` from 1."""
     best = F.max("score").over(Window.partitionBy("request_id"))
     kept = found.withColumn("_best", best).where((F.col("score") >= LEAST_SCORE) & (F.col("score") >= F.col("_best") * LEAST_SHARE))
-    held = graph.edges_of(("CONTAINS",)).select(F.col("source").alias("id"), F.col("target").alias("_member")).distinct()
+    held = graph.edges_of(("CONTAINS",)).select(F.col("source").alias("id"), F.col("target").alias("_member")).distinct().hint("merge")
     parents = kept.select("request_id", F.col("id").alias("_member")).join(held, "_member").select("request_id", "id").distinct().withColumn("_parent", F.lit(True))
-    kept = kept.join(parents, ["request_id", "id"], "left").where(F.col("exact") | F.col("_parent").isNull())
+    kept = kept.join(parents.hint("merge"), ["request_id", "id"], "left").where(F.col("exact") | F.col("_parent").isNull())
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "id"))
     most = None
     for tokens, n in SHORTLIST:
         test = F.col("max_tokens") <= tokens
         most = F.when(test, n) if most is None else most.when(test, n)
-    ranked = kept.withColumn("position", rank).join(requests.select("request_id", "max_tokens"), "request_id")
+    ranked = kept.withColumn("position", rank).join(requests.select("request_id", "max_tokens").hint("merge"), "request_id")
     return ranked.where(F.col("position") <= most).select("request_id", "id", "score", "distance", "exact", "position")
 
 
@@ -140,22 +143,22 @@ def context(graph: Graph, requests: DataFrame, sources: DataFrame | None = None,
     """
     short = eligible(candidates(graph, requests, weights), graph, requests)
     texts = graph.nodes.select("id", "kind", "qualified_name", F.concat_ws(" ", "kind", "name").alias("summary"), F.concat_ws(" ", "kind", "qualified_name", F.col("file")).alias("signature"))
-    symbols = roles(short.join(texts, "id"))
+    symbols = roles(short.join(texts.hint("merge"), "id"))
     if sources is not None:
-        symbols = symbols.join(sources.select("id", "source"), "id", "left")
+        symbols = symbols.join(sources.select("id", "source").hint("merge"), "id", "left")
     symbols = store(symbols.withColumn("is_primary", F.col("position") == 1).withColumnRenamed("id", "symbol_id"), "symbols")
-    budgets = requests.select("request_id", F.least("max_tokens", F.lit(32_000)).alias("budget"))
+    budgets = requests.select("request_id", F.least("max_tokens", F.lit(32_000)).alias("budget")).hint("merge")
     options = store(representations(symbols, count).select("request_id", "symbol_id", "representation", "cost", "utility", "position"), "options")
 
-    with_role = options.join(symbols.where("role is not null").select("request_id", "symbol_id", "role"), ["request_id", "symbol_id"])
+    with_role = options.join(symbols.where("role is not null").select("request_id", "symbol_id", "role").hint("merge"), ["request_id", "symbol_id"])
     order = F.array_position(F.array(*[F.lit(r) for r in SHARES]), F.col("role")).alias("_order")
     kept = prefix_within(reserve(with_role, budgets, SHARES).select("*", order), "request_id", ["_order", "position", "symbol_id"], "cost", budgets)
     kept = store(kept.select("request_id", "symbol_id", "representation", "cost"), "reserved")
     spent = kept.groupBy("request_id").agg(F.sum("cost").alias("_spent"))
     left = budgets.join(spent, "request_id", "left").select("request_id", (F.col("budget") - F.coalesce("_spent", F.lit(0))).cast("int").alias("budget"))
-    rest = options.join(kept.select("request_id", "symbol_id"), ["request_id", "symbol_id"], "left_anti")
-    chosen = kept.select("request_id", "symbol_id", "representation", F.col("cost").cast("int").alias("cost")).unionByName(optimize_budget(rest, left))
-    names = symbols.select("request_id", "symbol_id", "qualified_name")
+    rest = options.join(kept.select("request_id", "symbol_id").hint("merge"), ["request_id", "symbol_id"], "left_anti")
+    chosen = kept.select("request_id", "symbol_id", "representation", F.col("cost").cast("int").alias("cost")).unionByName(optimize_budget(rest, left.hint("merge")))
+    names = symbols.select("request_id", "symbol_id", "qualified_name").hint("merge")
     return without_covered(chosen.join(names, ["request_id", "symbol_id"])).select("request_id", "symbol_id", "representation", "cost")
 
 

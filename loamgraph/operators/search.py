@@ -31,8 +31,8 @@ def bm25(index: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
     sum over fields and matched words; length is that of all fields.
 
     What a term gives a row does not depend on the query, so it is computed once for all queries, and queries that share
-    their matching terms share their best rows. Sizes that grow with the index are estimated far too small from compressed
-    files, hence the merge joins: else the index may be broadcast through the driver.
+    their matching terms share their best rows. Sizes that grow with the index or the queries are estimated far too small from
+    compressed files, hence the merge joins: else they may be broadcast through the driver.
     """
     lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
@@ -48,7 +48,7 @@ def bm25(index: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     parts = hits.join(spread, "wanted").join(lengths.hint("merge"), "id").crossJoin(F.broadcast(size)).select("wanted", "id", part.alias("part"))
-    asked = terms.join(spread.select("wanted"), "wanted").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("wanted")), " ").alias("_set"))
+    asked = terms.hint("merge").join(spread.select("wanted"), "wanted").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("wanted")), " ").alias("_set"))
     sets = asked.select("_set").distinct().select("_set", F.explode(F.split("_set", " ")).alias("wanted"))
     score = parts.join(sets, "wanted").groupBy("_set", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("score"), "id"))

@@ -203,6 +203,30 @@ def test_queries_with_the_same_matching_terms_are_searched_once(spark):
     assert most_rows(found._jdf.queryExecution().executedPlan()) < 5_000  # 200 queries meet 100 rows each
 
 
+def test_context_broadcasts_neither_nodes_nor_requests_nor_candidates(spark, tmp_path, monkeypatch):
+    joins, write = {}, context_module.store
+
+    def store(df, name):
+        plan = df._jdf.queryExecution().sparkPlan().toString()  # as estimated from files, before any runs
+        joins.setdefault(name, []).extend(re.findall(r"(\w+Join) \[(\w+)#", plan))
+        return write(df, name)
+
+    monkeypatch.setattr(context_module, "store", store)
+    n, name = 40, F.concat(F.lit("ring"), "id")
+    node = lambda c: F.concat(F.lit("n"), c)
+    fixed = [F.lit("class").alias("kind"), F.lit("").alias("file"), F.lit(True).alias("exported"), F.lit(False).alias("entry_point")]
+    spark.range(n).select(node("id").alias("id"), name.alias("name"), name.alias("qualified_name"), *fixed).write.parquet(f"{tmp_path}/nodes")
+    edge = lambda way: spark.range(n - 1).select(node("id").alias("source"), node(F.col("id") + 1).alias("target"), F.lit(way).alias("type"))
+    edge("CALLS").unionByName(edge("CONTAINS")).write.parquet(f"{tmp_path}/edges")
+    task = F.concat(F.lit("change ring"), "id", F.lit(" and a.b"))
+    spark.range(10).select(F.col("id").alias("request_id"), task.alias("task"), F.lit(100).alias("max_tokens")).write.parquet(f"{tmp_path}/asked")
+    read = lambda t: spark.read.parquet(f"{tmp_path}/{t}")
+    store(context(Graph(read("nodes"), read("edges")), read("asked"), read("nodes").select("id", F.col("name").alias("source"))), "chosen")
+    assert {"exact", "direct", "steps", "near", "level", "candidates", "symbols", "reserved", "chosen"} <= set(joins)
+    sent = {(name, key) for name, found in joins.items() for how, key in found if how == "BroadcastHashJoin"}
+    assert sent <= {("direct", "wanted"), ("direct", "_set")}, sent  # of bm25: products of joins, never estimated too small
+
+
 def test_strategy_beyond_ascii_equals_sql(spark, tmp_path):
     import duckdb
 
